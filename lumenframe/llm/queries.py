@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import bpe, decontamination, language, pii, simhash, toxicity
+from lumenframe.llm import bpe, decontamination, embeddings, language, pii, simhash, toxicity
 from lumenframe.llm.common import remainder
 
 
@@ -20,6 +20,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "langs")
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.decontaminate(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "spans")
@@ -50,6 +54,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending")
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op5_decontamination, op6_bpe, op7_simhash, op9_pii, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op4_embedding_dedup, op5_decontamination, op6_bpe, op7_simhash, op9_pii, op10_toxicity)}
 
 ORACLES: dict[str, str] = {}
