@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -44,6 +45,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files that no DataFrame in use needs any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def extended(schema: StructType, ddl: str) -> StructType:
     """``schema`` with more columns at its end."""
     return StructType(schema.fields + StructType.fromDDL(ddl).fields)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import bpe, decontamination, embeddings, language, pii, simhash, toxicity
+from lumenframe.llm import bpe, decontamination, embeddings, language, pii, simhash, suffixes, toxicity
 from lumenframe.llm.common import remainder
 
 
@@ -41,6 +41,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal("fingerprint").alias("fingerprint"), "component_id")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.removals(_documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(_documents(spark, sf_dir))
     counts = [F.expr(f"bigint(size(filter(base, x -> x.kind = '{k}')))").alias(f"n_{k}") for k in pii.BASE]
@@ -54,6 +58,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending")
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op4_embedding_dedup, op5_decontamination, op6_bpe, op7_simhash, op9_pii, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op4_embedding_dedup, op5_decontamination, op6_bpe, op7_simhash, op8_suffix_dedup, op9_pii, op10_toxicity)}
 
 ORACLES: dict[str, str] = {}
