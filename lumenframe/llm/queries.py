@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import bpe, decontamination, embeddings, language, pii, simhash, suffixes, toxicity
+from lumenframe.llm import bpe, decontamination, embeddings, language, lines, pii, simhash, suffixes, toxicity
 from lumenframe.llm.common import remainder
 
 
@@ -20,6 +20,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "langs")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup_lines(_documents(spark, sf_dir))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -58,6 +63,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending")
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op4_embedding_dedup, op5_decontamination, op6_bpe, op7_simhash, op8_suffix_dedup, op9_pii, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op3_line_dedup, op4_embedding_dedup, op5_decontamination, op6_bpe, op7_simhash, op8_suffix_dedup, op9_pii, op10_toxicity)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_line_dedup": lines.ORACLE_SQL}
