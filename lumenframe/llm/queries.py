@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import bpe, decontamination, embeddings, language, lines, pii, simhash, suffixes, toxicity
+from lumenframe.llm import bpe, decontamination, embeddings, kneser_ney, language, lines, pii, simhash, suffixes, toxicity
 from lumenframe.llm.common import remainder
 
 
@@ -13,6 +13,12 @@ def _documents(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", *more, "text")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = remainder(F.col("doc_id"), 5) == 1
+    scored = kneser_ney.held_out(_documents(spark, sf_dir), ~held)
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir, "lang")
     held = remainder(F.col("doc_id"), 3) == 1
@@ -63,6 +69,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending")
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_line_dedup, op4_embedding_dedup, op5_decontamination, op6_bpe, op7_simhash, op8_suffix_dedup, op9_pii, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_language_id, op3_line_dedup, op4_embedding_dedup, op5_decontamination, op6_bpe, op7_simhash, op8_suffix_dedup, op9_pii, op10_toxicity)}
 
 ORACLES: dict[str, str] = {"op3_line_dedup": lines.ORACLE_SQL}
