@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import bpe, decontamination, toxicity
+from lumenframe.llm import bpe, decontamination, lines, simhash, toxicity
 from lumenframe.llm.common import remainder, stored
 
 
@@ -15,6 +15,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.filter("score < 0.5").select(docs.columns)
 
 
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the later copies of repeated line runs, n_chars anew; one that loses all its text goes."""
+    found = lines.dedup_lines(docs)
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return found.filter("n_removed = 0 OR text IS NULL OR text <> ''").select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the least id of each group of near-duplicates; rows without an id stay if their group has none."""
+    near = simhash.near_duplicates(docs.select("doc_id", "text"))
+    stay = near.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
+    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi").select(docs.columns)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by a benchmark item."""
     found = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -29,7 +44,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(docs, vocabulary, digests=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-STAGES = [("toxicity", drop_toxic), ("benchmark decontamination", drop_contaminated), ("BPE encoding", encode)]
+STAGES = [("toxicity", drop_toxic), ("line dedup", drop_repeated_lines), ("SimHash near-dedup", drop_near_duplicates), ("benchmark decontamination", drop_contaminated), ("BPE encoding", encode)]
 
 #: Stages here are fitted models and tokenizers, which SQL can't express.
 ORACLE_SQL = None
