@@ -19,7 +19,7 @@ from lumenframe.llm.common import extended, flat_bytes, lower_ascii, runs, slice
 #: Hashed features; the fitted weights are this many 4-byte floats, whatever the input.
 BUCKETS = 1 << 20
 #: Labelled documents of each class that the fit takes at most.
-TRAIN_PER_CLASS = 4000
+TRAIN_PER_CLASS = 1200
 #: Bytes of a word's beginning that are features beside the whole word.
 BEGINNINGS = (4, 5, 6)
 
@@ -59,11 +59,12 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], *, rounds: int = 60, rat
     per_doc = np.array([len(b[1]) for b in bags])
     per_sentence = np.concatenate([b[1] for b in bags])
     flat = np.concatenate([b[2] for b in bags])
+    bags = len(bags)
     used, which = np.unique(flat, return_inverse=True)
     which = which.reshape(flat.shape)
     seen = np.zeros((2, len(used)))
-    doc_of_word = np.repeat(np.repeat(np.arange(len(bags)), per_doc), per_sentence)
-    pairs = np.unique(np.concatenate([doc_of_word * np.int64(len(used)) + which[:, k] for k in range(which.shape[1])]))
+    doc_of_word = np.repeat(np.repeat(np.arange(bags, dtype=np.int32), per_doc), per_sentence)
+    pairs = np.unique(np.concatenate([np.unique(doc_of_word * np.int64(len(used)) + which[:, k]) for k in range(which.shape[1])]))
     np.add.at(seen, (label[pairs // len(used)].astype(int), pairs % len(used)), 1)
     del pairs
     size = np.array([(label == 0).sum(), (label == 1).sum()])[:, None] + 1
@@ -78,7 +79,7 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], *, rounds: int = 60, rat
     sent, feat = np.concatenate([sentence_of_word] * which.shape[1]), number[which.T.reshape(-1)]
     sent, feat = sent[feat >= 0].astype(np.int32), feat[feat >= 0]
     doc_start = np.concatenate(([0], np.cumsum(per_doc)[:-1]))
-    doc_of = np.repeat(np.arange(len(bags)), per_doc)
+    doc_of = np.repeat(np.arange(bags), per_doc)
     w, m, v, b, mb, vb = (0.5 * odds[common], np.zeros(len(common)), np.zeros(len(common)), bias, 0.0, 0.0)
     balance = np.where(label == 1, 0.5 / max(1, label.sum()), 0.5 / max(1, (1 - label).sum()))
     for t in range(1, rounds + 1):
