@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import gc
-import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -13,31 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lumenframe.plans.shared import cut, shared_dir  # noqa: F401
+
 #: Text bytes that a Python task works on at once.
 SLICE_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lumenframe-"))
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder, where no lost executor takes it away."""
-    spark = df.sparkSession
-    root = shared_dir(spark)
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(root)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame) -> DataFrame:
     """Like ``cut``, as compressed Parquet: for tables whose size follows the input."""
     path = f"{shared_dir(df.sparkSession)}/lumenframe/{uuid.uuid4().hex}"
@@ -46,9 +27,11 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def released(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files that no DataFrame in use needs any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark delete shuffle files that no DataFrame in use needs any more; it takes them up in the background."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def extended(schema: StructType, ddl: str) -> StructType:

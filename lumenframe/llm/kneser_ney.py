@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from lumenframe.llm.common import flat_bytes, lower_ascii, mix64, released, slices, space_words, span_hashes, stored
 
 #: Text bytes of a bucket; text bytes of the training part for each shard.
-BUCKET_BYTES, SHARD_BYTES = 10 << 20, 10 << 20
+BUCKET_BYTES, SHARD_BYTES = 7 << 20, 10 << 20
 #: Text bytes whose bigrams a task adds up before it sends them.
-COUNT_BYTES = 14 << 20
+COUNT_BYTES = 10 << 20
 #: Hash bits that are kept of a word or bigram within its shard; a lookup errs once in 2**40 over a shard's entries.
 WIDTH = 5
 START, END = np.uint64(0x51ED270B2C9E3A17), np.uint64(0xC3A5C85C97CB3127)
@@ -46,19 +46,40 @@ class Model:
     low_rest: float
 
 
-def _pack(h: np.ndarray) -> bytes:
-    """The upper 40 bits of each hash, as 5 bytes."""
-    return np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, 8 - WIDTH :].tobytes()
+def _pack(short: np.ndarray, size: int = WIDTH) -> bytes:
+    """Numbers under 2 ** (8 * size), all lowest bytes first, then all second ones and so on: what Spark compresses well."""
+    return np.ascontiguousarray(short.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :size].T).tobytes()
 
 
-def _unpack(raw: bytes) -> np.ndarray:
-    """Packed hashes as the numbers that their bits are."""
-    x = np.frombuffer(raw, np.uint8).reshape(-1, WIDTH)
-    out = np.zeros((len(x), 8), dtype=np.uint8)
-    out[:, :WIDTH] = x
+def _unpack(raw: bytes, size: int = WIDTH) -> np.ndarray:
+    x = np.frombuffer(raw, np.uint8).reshape(size, -1)
+    out = np.zeros((x.shape[1], 8), dtype=np.uint8)
+    out[:, :size] = x.T
     return out.view(np.uint64).reshape(-1)
 
 
+def _pack_sorted(short: np.ndarray) -> bytes:
+    """The steps between sorted numbers, whose upper bytes are nearly all zero."""
+    return _pack(np.diff(short, prepend=np.uint64(0)))
+
+
+def _unpack_sorted(raw: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(raw), dtype=np.uint64)
+
+
+def _pack_counts(n: np.ndarray) -> bytes:
+    return _pack(n, 4)
+
+
+def _counts(column) -> np.ndarray:
+    """The counts of all rows of a column, end to end."""
+    return np.concatenate([np.zeros(0, np.int64), *(_unpack(x, 4).astype(np.int64) for x in column.to_pylist() if x is not None)])
+
+
+def _all(column, unpack) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint64), *(unpack(x) for x in column.to_pylist() if x is not None)])
+
+
 def _short(h: np.ndarray) -> np.ndarray:
     return h >> np.uint64(64 - 8 * WIDTH)
 
@@ -108,10 +129,6 @@ def _table(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array([r[k] if k < len(r) else None for r in rows], t) for k, t in enumerate(types)], names=["kind", "shard", "bucket", "a", "b", "c", "d", "e"])
 
 
-def _numbers(column: pa.ChunkedArray, dtype=np.uint32) -> np.ndarray:
-    return np.frombuffer(b"".join(x for x in column.to_pylist() if x is not None), dtype).astype(np.int64)
-
-
 def discounts(n: np.ndarray) -> tuple[float, float, float]:
     """Of how many entries are counted 1, 2, 3 and 4 times: what is taken off entries of 1, 2, and 3 or more."""
     n1, n2, n3, n4 = (float(x) for x in n)
@@ -138,7 +155,7 @@ def train(docs: DataFrame, *, text_col: str = "text") -> Model:
                 for s in range(shards):
                     x = order[at[s] : at[s + 1]]
                     if len(x):
-                        rows.append((1, s, 0, words[x].tobytes(), n[x].astype(np.uint32).tobytes()))
+                        rows.append((1, s, 0, words[x].tobytes(), _pack_counts(n[x])))
                 v, w = _short(_contexts(h, off)), _short(h)
                 del h
                 key = _pair(v, w)
@@ -147,12 +164,14 @@ def train(docs: DataFrame, *, text_col: str = "text") -> Model:
                 start = np.flatnonzero(np.concatenate((np.ones(min(1, len(k)), bool), k[1:] != k[:-1])))
                 n = np.diff(np.concatenate((start, [len(k)]))).astype(np.uint32)
                 v, w, k = v[order[start]], w[order[start]], k[start]
+                # by context within a shard: equal contexts then cost next to nothing
+                order = np.argsort(v, kind="stable")
+                v, w, k, n = v[order], w[order], k[order], n[order]
                 order, at = _cut((k % np.uint64(shards)).astype(np.int64), shards)
-                pack = np.uint64(64 - 8 * WIDTH)
                 for s in range(shards):
                     x = order[at[s] : at[s + 1]]
                     if len(x):
-                        rows.append((0, s, 0, _pack(v[x] << pack), _pack(w[x] << pack), n[x].tobytes()))
+                        rows.append((0, s, 0, _pack_sorted(v[x]), _pack(w[x]), _pack_counts(n[x])))
                 yield from _table(rows).to_batches()
 
     def add(table: pa.Table) -> pa.Table:
@@ -160,11 +179,11 @@ def train(docs: DataFrame, *, text_col: str = "text") -> Model:
         shard = table.column("shard")[0].as_py()
         own = table.filter(pa.compute.equal(table.column("kind"), 1))
         out: list[tuple] = []
-        words, n = _sum_by(np.frombuffer(b"".join(own.column("a").to_pylist()), np.uint64), _numbers(own.column("b")))
-        out.append((3, shard, 0, words.tobytes(), n.astype(np.uint32).tobytes()))
+        words, n = _sum_by(np.frombuffer(b"".join(own.column("a").to_pylist()), np.uint64), _counts(own.column("b")))
+        out.append((3, shard, 0, words.tobytes(), _pack_counts(n)))
         pairs = table.filter(pa.compute.equal(table.column("kind"), 0))
-        v, w = _unpack(b"".join(pairs.column("a").to_pylist())), _unpack(b"".join(pairs.column("b").to_pylist()))
-        n = _numbers(pairs.column("c"))
+        v, w = _all(pairs.column("a"), _unpack_sorted), _all(pairs.column("b"), _unpack)
+        n = _counts(pairs.column("c"))
         key = _pair(v, w)
         order = np.argsort(key, kind="stable")
         k = key[order]
@@ -172,33 +191,32 @@ def train(docs: DataFrame, *, text_col: str = "text") -> Model:
         n = np.add.reduceat(n[order], start) if len(start) else n
         v, w, key = v[order[start]], w[order[start]], k[start]
         coc = np.bincount(np.minimum(n, 5), minlength=6)[1:5]
-        out.append((0, shard, 0, _pack(key), n.astype(np.uint32).tobytes(), coc.astype(np.int64).tobytes()))
+        out.append((0, shard, 0, _pack_sorted(_short(key)), _pack_counts(n), coc.astype(np.int64).tobytes()))
         v, *followers = _sum_by(v, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n > 2).astype(np.int64))
         w, before = _sum_by(w, np.ones(len(n), dtype=np.int64))
-        pack = np.uint64(64 - 8 * WIDTH)
         for kind, hashes, values in ((4, v, followers), (5, w, [before])):
             order, at = _cut((hashes % np.uint64(shards)).astype(np.int64), shards)
             for s in np.flatnonzero(np.diff(at)):
                 x = order[at[s] : at[s + 1]]
-                out.append((kind, int(s), 0, _pack(hashes[x] << pack), *(y[x].astype(np.uint32).tobytes() for y in values)))
+                out.append((kind, int(s), 0, _pack_sorted(hashes[x]), *(_pack_counts(y[x]) for y in values)))
         return _table(out)
 
     def gather(table: pa.Table) -> pa.Table:
         """One word shard: its words with counts, distinct contexts, and followers by count; START is a context only."""
         of = {k: table.filter(pa.compute.equal(table.column("kind"), k)) for k in (3, 4, 5)}
-        words, n = _sum_by(np.frombuffer(b"".join(of[3].column("a").to_pylist()), np.uint64), _numbers(of[3].column("b")))
+        words, n = _sum_by(np.frombuffer(b"".join(of[3].column("a").to_pylist()), np.uint64), _counts(of[3].column("b")))
         if table.column("shard")[0].as_py() == int(_short(START) % np.uint64(shards)):
             at = np.searchsorted(words, START)
             words, n = np.insert(words, at, START), np.insert(n, at, 0)
         short = _short(words)
         sums = np.zeros((4, len(words)), dtype=np.int64)
         for k, columns in ((4, "bcd"), (5, "b")):
-            at = np.searchsorted(short, _unpack(b"".join(of[k].column("a").to_pylist())))
+            at = np.searchsorted(short, _all(of[k].column("a"), _unpack_sorted))
             for j, c in enumerate(columns):
-                np.add.at(sums[j if k == 4 else 3], at, _numbers(of[k].column(c)))
+                np.add.at(sums[j if k == 4 else 3], at, _counts(of[k].column(c)))
         before = sums[3]
         totals = np.array([n.sum(), (n > 0).sum(), before.sum(), *np.bincount(np.minimum(before, 5), minlength=6)[1:5], (before > 2).sum()], dtype=np.int64)
-        return _table([(1, table.column("shard")[0].as_py(), 0, words.tobytes(), n.astype(np.uint32).tobytes(), before.astype(np.uint32).tobytes(), sums[:3].astype(np.uint32).tobytes(), totals.tobytes())])
+        return _table([(1, table.column("shard")[0].as_py(), 0, words.tobytes(), _pack_counts(n), _pack_counts(before), _pack_counts(sums[:3].reshape(-1)), totals.tobytes())])
 
     counted = stored(src.mapInArrow(count, _PART).groupBy("shard").applyInArrow(add, _PART))
     released(docs.sparkSession)
@@ -210,14 +228,14 @@ def train(docs: DataFrame, *, text_col: str = "text") -> Model:
     return Model(counted.filter("kind = 0").unionByName(words), shards, int(t[0]), int(t[1]), int(t[2]), discounts(high), low, float(rest))
 
 
-def _mapped(raw: bytes, dtype) -> np.ndarray:
-    """The array that ``raw`` holds, in a file of this worker that is mapped into memory and gone once unused."""
-    if not raw:
-        return np.zeros(0, dtype)
+def _mapped(x: np.ndarray) -> np.ndarray:
+    """The same array in a file of this worker that is mapped into memory, and gone once it is not used."""
+    if not len(x):
+        return x
     with tempfile.TemporaryFile() as f:
-        f.write(raw)
+        x.tofile(f)
         f.flush()
-        return np.memmap(f, dtype=dtype, mode="r")
+        return np.memmap(f, dtype=x.dtype, mode="r")
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -251,7 +269,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
         *_, (words, order, at), (pairs, order2, at2) = distinct(table)
         bucket = table.column("bucket")[0].as_py()
         rows = [(1, int(s), bucket, words[order[at[s] : at[s + 1]]].tobytes()) for s in np.flatnonzero(np.diff(at))]
-        rows += [(0, int(s), bucket, _pack(pairs[order2[at2[s] : at2[s + 1]]])) for s in np.flatnonzero(np.diff(at2))]
+        rows += [(0, int(s), bucket, _pack_sorted(_short(pairs[order2[at2[s] : at2[s + 1]]]))) for s in np.flatnonzero(np.diff(at2))]
         return _table(rows)
 
     def answer(key, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -259,15 +277,15 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
         have = right.num_rows > 0
         kind = left.column("kind")[0].as_py() if left.num_rows else 0
         a, b, c, d = (right.column(x)[0].as_py() if have else b"" for x in "abcd")
-        keys = _mapped(np.ascontiguousarray(_unpack(a)).tobytes() if kind == 0 else a, np.uint64)
-        counts = _mapped(b, np.uint32)
-        more = [_mapped(c, np.uint32), *(_mapped(d, np.uint32).reshape(3, -1) if len(d) else [np.zeros(0, np.uint32)] * 3)] if kind else []
+        keys = _mapped(_unpack_sorted(a) if kind == 0 else np.frombuffer(a, np.uint64))
+        counts = _mapped(_unpack(b, 4).astype(np.uint32))
+        more = [_mapped(_unpack(c, 4).astype(np.uint32)), *_mapped(_unpack(d, 4).astype(np.uint32)).reshape(3, -1)] if kind else []
         for shard, bucket, asked in zip(left.column("shard").to_pylist(), left.column("bucket").to_pylist(), left.column("a").to_pylist(), strict=True):
-            q = np.frombuffer(asked, np.uint64) if kind else _unpack(asked)
+            q = np.frombuffer(asked, np.uint64) if kind else _unpack_sorted(asked)
             at = np.minimum(np.searchsorted(keys, q), max(0, len(keys) - 1))
             known = keys[at] == q if len(keys) else np.zeros(len(q), bool)
-            got = [(np.where(known, x[at], 0) if len(keys) else np.zeros(len(q))).astype(np.uint32).tobytes() for x in [counts, *more]]
-            rows.append((kind, shard, bucket, got[0], *([got[1], b"".join(got[2:])] if kind else [])))
+            got = [(np.where(known, x[at], 0) if len(keys) else np.zeros(len(q))).astype(np.uint32) for x in [counts, *more]]
+            rows.append((kind, shard, bucket, _pack_counts(got[0]), *([_pack_counts(got[1]), _pack_counts(np.concatenate(got[2:]))] if kind else [])))
         return _table(rows)
 
     def finish(key, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -277,10 +295,10 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
         for kind, s, a, b, c in zip(*(right.column(x).to_pylist() for x in ("kind", "shard", "a", "b", "c")), strict=True):
             if kind:
                 x = order[at[s] : at[s + 1]]
-                got[0, x], got[1, x] = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-                got[2:, x] = np.frombuffer(c, np.uint32).reshape(3, -1)
+                got[0, x], got[1, x] = _unpack(a, 4), _unpack(b, 4)
+                got[2:, x] = _unpack(c, 4).reshape(3, -1)
             else:
-                pair_count[order2[at2[s] : at2[s + 1]]] = np.frombuffer(a, np.uint32)
+                pair_count[order2[at2[s] : at2[s + 1]]] = _unpack(a, 4)
         n, before = got[0], got[1]
         base = np.log10((n + 0.5) / (size["tokens"] + 0.5 * (size["words"] + 1)))
         if size["types"]:
