@@ -17,6 +17,8 @@ from lumenframe.plans.shared import cut, shared_dir  # noqa: F401
 
 #: Text bytes that a Python task works on at once.
 SLICE_BYTES = 4 << 20
+#: Bytes whose prefix sums are held at once to hash spans.
+HASH_BYTES = 1 << 20
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -105,7 +107,21 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end], equal for equal bytes wherever they lie."""
+    """64-bit hashes of data[start:end], equal for equal bytes wherever they lie. Starts and ends are sorted.
+
+    Spans are taken in pieces of about HASH_BYTES, so that memory does not follow the length of ``data``.
+    """
+    out = np.empty(len(starts), dtype=np.uint64)
+    k = 0
+    while k < len(starts):
+        low = int(starts[k])
+        m = max(k + 1, int(np.searchsorted(ends, low + HASH_BYTES, side="right")))
+        out[k:m] = _piece_hashes(data[low : int(ends[m - 1])], starts[k:m] - low, ends[k:m] - low)
+        k = m
+    return out
+
+
+def _piece_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     base, inverse = _powers(len(data))
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     # bytes are spread first so that short strings do not share low bits
