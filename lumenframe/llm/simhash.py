@@ -3,7 +3,7 @@
 Only distinct fingerprints are compared. The top of a vantage-point tree, built on a bounded sample, deals them to
 shards by their Hamming distance to its vantage points: within the median inside, beyond it outside. A fingerprint
 outside by no more than the link distance could link to one inside, by the triangle inequality, so it also visits the
-inner side; every linked pair therefore meets in a shard where one of both is at home. Within a shard the tree goes on
+inner side; every linked pair therefore stays together at each node and meets in a shard. Within a shard the tree goes on
 down to small leaves, and the exact distances decide. A shard reports its links as a forest, which holds the
 same components with fewer edges than fingerprints.
 """
@@ -107,62 +107,44 @@ def vantage(x: np.ndarray, rng: np.random.Generator, tries: int = 8, most: int =
     return best
 
 
-def _deal(x: np.ndarray, points: np.ndarray, radius: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which of ``x`` goes to which leaf, and whether it is at home there."""
-    at, node, home = np.arange(len(x)), np.zeros(len(x), dtype=np.int64), np.ones(len(x), dtype=bool)
+def _deal(x: np.ndarray, points: np.ndarray, radius: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``x`` goes to which leaf: to its own, and to the inner side of each boundary that it lies just beyond."""
+    at, node = np.arange(len(x)), np.zeros(len(x), dtype=np.int64)
     depth = (len(points) + 1).bit_length() - 1
     for _ in range(depth):
         d = _distance(x[at], points[node]).astype(np.int64)
         out = d > radius[node]
         visit = np.flatnonzero(out & (d <= radius[node] + reach))
-        at, node, home = np.concatenate((at, at[visit])), np.concatenate((2 * node + 1 + out, 2 * node[visit] + 1)), np.concatenate((home, np.zeros(len(visit), dtype=bool)))
-    return at, node - len(points), home
+        at, node = np.concatenate((at, at[visit])), np.concatenate((2 * node + 1 + out, 2 * node[visit] + 1))
+    return at, node - len(points)
 
 
-class _Forest:
-    def __init__(self, n: int):
-        self.up = np.arange(n)
+def link_shard(x: np.ndarray, reach: int) -> np.ndarray:
+    """The root, an index, of each fingerprint among those of one shard.
 
-    def find(self, k: int) -> int:
-        up = self.up
-        while up[k] != k:
-            up[k] = up[up[k]]
-            k = up[k]
-        return int(k)
-
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            x, y = self.find(x), self.find(y)
-            if x != y:
-                self.up[max(x, y)] = min(x, y)
-
-
-def link_shard(x: np.ndarray, home: np.ndarray, reach: int) -> np.ndarray:
-    """The root, an index, of each fingerprint among those of one shard."""
-    forest = _Forest(len(x))
+    A group's links are never listed: each row of a leaf takes all that it reaches into one component at once.
+    """
+    root = np.arange(len(x))
     rng = np.random.default_rng(SEED)
-    todo = [(np.arange(len(x)), home)]
+    todo = [np.arange(len(x))]
     while todo:
-        at, own = todo.pop()
-        if not own.any():
-            continue
+        at = todo.pop()
         if len(at) > LEAF:
             point, r = vantage(x[at], rng)
             d = _distance(x[at], point).astype(np.int64)
-            inside, near = d <= r, (d > r) & (d <= r + reach)
+            near, outside = d <= r + reach, d > r
             # a split that leaves a side as large as before does not help
-            if max(int((inside | near).sum()), int((~inside).sum())) < 0.95 * len(at):
-                pick = inside | near
-                todo += [(at[pick], own[pick] & inside[pick]), (at[~inside], own[~inside])]
+            if max(int(near.sum()), int(outside.sum())) < 0.95 * len(at):
+                todo += [at[near], at[outside]]
                 continue
-        homes = np.flatnonzero(own)
-        for k in range(0, len(homes), 1024):
-            h = homes[k : k + 1024]
-            for j in range(0, len(at), 4096):
-                i, o = np.nonzero(np.bitwise_count(x[at[h]][:, None] ^ x[at[j : j + 4096]][None]) <= reach)
-                a, b = at[h[i]], at[j : j + 4096][o]
-                forest.join(a[a != b], b[a != b])
-    return np.array([forest.find(k) for k in range(len(x))], dtype=np.int64)
+        for k in range(0, len(at), 256):
+            hit = np.bitwise_count(x[at[k : k + 256]][:, None] ^ x[at][None]) <= reach
+            for i in np.flatnonzero(hit.sum(axis=1) > 1):
+                own = root[at[hit[i]]]
+                if (own != own[0]).any():
+                    own = np.unique(own)
+                    root[np.isin(root, own)] = own[0]
+    return root
 
 
 def link(prints: DataFrame, *, reach: int = 2) -> DataFrame:
@@ -179,18 +161,18 @@ def link(prints: DataFrame, *, reach: int = 2) -> DataFrame:
         points, radius = tree.value
         for batch in batches:
             x = batch.column(0).to_numpy().view(np.uint64)
-            at, shard, home = _deal(x, points, radius, reach)
+            at, shard = _deal(x, points, radius, reach)
             for k in range(0, len(at), 100_000):
                 s = slice(k, k + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(shard[s]), pa.array(x[at[s]].view(np.int64)), pa.array(home[s])], names=["shard", "fingerprint", "home"])
+                yield pa.RecordBatch.from_arrays([pa.array(shard[s]), pa.array(x[at[s]].view(np.int64))], names=["shard", "fingerprint"])
 
     def pairs(table: pa.Table) -> pa.Table:
         x = table.column("fingerprint").to_numpy().view(np.uint64)
-        root = link_shard(x, table.column("home").to_numpy(), reach)
+        root = link_shard(x, reach)
         away = np.flatnonzero(root != np.arange(len(root)))
         return pa.table({"a": x[away].view(np.int64), "b": x[root[away]].view(np.int64)})
 
-    dealt = prints.mapInArrow(deal, "shard long, fingerprint long, home boolean")
+    dealt = prints.mapInArrow(deal, "shard long, fingerprint long")
     return components(dealt.groupBy("shard").applyInArrow(pairs, "a long, b long"))
 
 
