@@ -58,4 +58,4 @@ def stack_name(index: Column, path: Column) -> Column:
 
 def split_suffixes(text: Column) -> Column:
     """Entries between commas, semicolons and bars, trimmed, empty ones left out."""
-    return F.filter(F.transform(F.split(text, r"[,;|]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, r"[,;|]"), lambda x: F.trim(x)), lambda x: x != "")
