@@ -128,7 +128,7 @@ def randomise_phases(volume: np.ndarray, from_shell: int, seed: int) -> np.ndarr
     axes = [np.fft.fftfreq(n) * n] * (volume.ndim - 1) + [np.fft.rfftfreq(n) * n]
     r = np.sqrt(sum(x**2 for x in np.meshgrid(*axes, indexing="ij")))
     phase = np.random.default_rng(seed).uniform(0, 2 * np.pi, f.shape)
-    return np.fft.irfftn(np.where(r > from_shell, abs(f) * np.exp(1j * phase), f), volume.shape)
+    return np.fft.irfftn(np.where(r > from_shell, abs(f) * np.exp(1j * phase), f), volume.shape, axes=range(volume.ndim))
 
 
 def guinier(resolution: np.ndarray, amplitude: np.ndarray, low: float, high: float) -> float:
