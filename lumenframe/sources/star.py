@@ -70,7 +70,8 @@ def read(spark: SparkSession, path: str, table: str | None = None, columns: list
                         cells = pd.DataFrame(rows[:limit], columns=found, dtype=str).reindex(columns=columns)
                         cells.insert(0, "_row", range(len(cells)))
                         cells.insert(0, "_path", name)
-                        yield cells
+                        # plain objects: chunked string columns don't fit in the struct that Spark makes of a frame
+                        yield cells.astype({c: object for c in cells.columns if c != "_row"})
                         break
 
     return files.mapInPandas(parse, ", ".join(["_path string", "_row long", *(f"`{c}` string" for c in columns)]))
