@@ -70,12 +70,12 @@ def _rows(batch: pa.RecordBatch, text_col: str, window: int, gram: int) -> Itera
             row = np.searchsorted(off, p, side="right") - 1
             new = np.ones(len(p), dtype=bool)
             new[1:] = (h[1:] != h[:-1]) | (p[1:] != p[:-1] + 1) | (row[1:] != row[:-1])
-            # a run that goes on over places with tied grams is cut, so that no snippet is long
+            # a run that goes on over places with tied grams is cut at each multiple of the window, so that no snippet is
+            # long; each run by itself, as both passes have to cut a row alike whatever rows they see with it
             start = np.flatnonzero(new)
             long = np.diff(np.concatenate((start, [len(p)])))
-            if len(long) and long.max() > 2 * window:
-                new |= (np.arange(len(p)) - np.repeat(start, long)) % window == 0
-                start = np.flatnonzero(new)
+            new |= (np.arange(len(p)) - np.repeat(start, long)) % window == 0
+            start = np.flatnonzero(new)
             yield part, data, off, row[start], p[start], h[start], np.diff(np.concatenate((start, [len(p)])))
         done += part.num_rows
 

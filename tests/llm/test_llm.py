@@ -247,6 +247,17 @@ def test_op8(spark, rows, odd, odd_rows, none):
     assert suffixes.removals(none).count() == 0
 
 
+def test_op8_long_runs(spark):
+    """Rules of dashes beside a longer periodic stretch that only the first pass sees with them."""
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(chr(97 + x) for x in rng.integers(0, 26, n))
+    shared = [word(80) for _ in range(60)]
+    given = [(k, "-" * (90 + 5 * k) + "".join(word(60) + s for s in shared)) for k in range(12)] + [(99, "x" * 400)]
+    out = suffixes.removals(spark.createDataFrame(given, "doc_id long, text string").coalesce(1))
+    columns = "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"
+    assert got(out, *columns) == want((i, *x) for (i, _), x in zip(given, brute.suffix_dedup(given), strict=True))
+
+
 def test_op9(spark, rows, odd, odd_rows, none):
     def check(out, given):
         for r, (i, t) in zip(sorted(out.collect(), key=lambda r: (brute.order(r["doc_id"]), r["was"] or "")), sorted(given, key=lambda x: (brute.order(x[0]), x[1] or "")), strict=True):
