@@ -9,7 +9,7 @@ copy of one after the first is deleted.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.llm.common import released, stored
@@ -63,7 +63,11 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         tail = level.select("doc", "key", F.col("pos").alias("p2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
         named = here.join(level, ["doc", "key", "pos"]).withColumn("p2", F.col("pos") + F.col("len") - n).join(tail, ["doc", "key", "p2"])
         hits = hits.unionByName(_later(named.select("doc", "key", "pos", "len", *[h.alias(k) for h, k in zip(_name("len", "x", "y", "x2", "y2"), ("x", "y"), strict=True)])))
-    return hits.select("doc", "key", F.explode(F.sequence("pos", F.col("pos") + F.col("len") - 1)).alias("pos")).groupBy("doc", "key").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
+    # runs over many empty lines overlap each other: of each only the lines beyond those that start before it
+    ends = hits.groupBy("doc", "key", "pos").agg(F.max(F.col("pos") + F.col("len") - 1).alias("end"))
+    before = Window.partitionBy("doc", "key").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("from", F.greatest("pos", F.max("end").over(before) + 1)).filter("from <= end")
+    return ends.select("doc", "key", F.explode(F.sequence("from", "end")).alias("pos")).groupBy("doc", "key").agg(F.array_sort(F.collect_list("pos")).alias("removed"))
 
 
 def _later(runs: DataFrame) -> DataFrame:
@@ -80,13 +84,15 @@ def _windows(level: DataFrame, min_chars: int) -> DataFrame:
     # stretches without a gap, each as the characters before each line and in all
     gaps = F.expr("filter(sequence(0, size(a) - 1), i -> i = 0 OR a[i].pos <> a[i - 1].pos + 1)")
     parts = of_doc.withColumn("g", gaps).select("doc", "key", F.explode(F.expr("transform(g, (s, k) -> slice(a, s + 1, coalesce(get(g, k + 1), size(a)) - s))")).alias("a"))
-    # a line that is long enough is a run of its own; only short ones need a look at their neighbours
-    ahead = "aggregate(slice(a, i + 1, {m}), struct(0 AS c, 0 AS k), (s, x) -> IF(s.c >= {m}, s, struct(s.c + x.n AS c, s.k + 1 AS k)))"
-    back = "aggregate(reverse(slice(a, greatest(0, i - {m} + 1) + 1, least({m}, i + 1))), struct(0 AS c, 0 AS k), (s, x) -> IF(s.c >= {m}, s, struct(s.c + x.n AS c, s.k + 1 AS k)))"
+    # empty lines add nothing: b has the others, k of them in a row reach min_chars or fewer do
+    parts = parts.withColumn("b", F.expr("filter(a, x -> x.n > 0)")).filter("size(b) > 0")
+    ahead = "aggregate(slice(b, k + 1, {m}), struct(0 AS c, 0 AS k), (s, x) -> IF(s.c >= {m}, s, struct(s.c + x.n AS c, s.k + 1 AS k)))"
+    back = "aggregate(reverse(slice(b, greatest(0, k - {m} + 1) + 1, least({m}, k + 1))), struct(0 AS c, 0 AS k), (s, x) -> IF(s.c >= {m}, s, struct(s.c + x.n AS c, s.k + 1 AS k)))"
+    # an empty line's run ahead ends with that of the next line of b, its run back starts with that of the one before
     whole = F.expr(
-        f"""flatten(transform(sequence(0, size(a) - 1), i -> IF(a[i].n >= {min_chars}, array(struct(a[i].pos AS pos, 1 AS len)),
-        filter(array(transform(array({ahead.format(m=min_chars)}), s -> IF(s.c >= {min_chars}, struct(a[i].pos AS pos, s.k AS len), null))[0],
-        transform(array({back.format(m=min_chars)}), s -> IF(s.c >= {min_chars}, struct(a[i].pos - s.k + 1 AS pos, s.k AS len), null))[0]), r -> r is not null))))"""
+        f"""flatten(transform(sequence(0, size(b) - 1), k -> concat(
+        flatten(transform(array({ahead.format(m=min_chars)}), s -> IF(s.c >= {min_chars}, transform(sequence(IF(k = 0, a[0].pos, b[greatest(k - 1, 0)].pos + 1), b[k].pos), p -> struct(p AS pos, b[k + s.k - 1].pos - p + 1 AS len)), array()))),
+        flatten(transform(array({back.format(m=min_chars)}), s -> IF(s.c >= {min_chars}, transform(sequence(b[k].pos, coalesce(get(b, k + 1).pos - 1, a[size(a) - 1].pos)), p -> struct(b[k - s.k + 1].pos AS pos, p - b[k - s.k + 1].pos + 1 AS len)), array()))))))"""
     )
     return parts.select("doc", "key", F.explode(whole).alias("r")).select("doc", "key", "r.*").distinct()
 

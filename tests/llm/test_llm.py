@@ -150,6 +150,23 @@ def test_op3(spark, rows, odd, odd_rows, none, duck):
     assert lines.dedup_lines(none).count() == 0
 
 
+def test_op3_blank_lines(spark):
+    """Runs in which no 50 consecutive lines hold 50 characters."""
+    head, foot = "h" * 30, "f" * 30
+    given = [
+        (1, "one\n" + head + "\n" * 61 + foot + "\nend"),
+        (2, "two\n" + head + "\n" * 61 + foot + "\nlast"),
+        (3, head + "\n" * 60 + foot),
+        (4, "\n\n".join("123456789" * 7)),
+        (5, "x\n" + "\n\n".join("123456789" * 7) + "\n" * 80),
+        (6, "\n" * 200),
+        (7, "\n" * 70 + "l" * 60 + "\n" * 70),
+        (8, "y" + "\n" * 75 + "l" * 60 + "\n" * 65 + "z"),
+    ]
+    out = lines.dedup_lines(spark.createDataFrame(given, "doc_id long, text string")).withColumn("kept_sha256", F.sha2("text", 256))
+    assert got(out, "doc_id", "n_lines", "n_removed", "kept_sha256") == want(line_results(given))
+
+
 def test_op4(spark):
     e = pq.read_table(f"{SF}/embeddings.parquet").to_pydict()
     vectors = list(zip(e["vec_id"], e["embedding"], e["label"], strict=True))
