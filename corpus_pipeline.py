@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import bpe, decontamination, lines, simhash, toxicity
+from lumenframe.llm import bpe, decontamination, jaccard, lines, toxicity
 from lumenframe.llm.common import remainder, stored
 
 
@@ -24,8 +24,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each group of near-duplicates; rows without an id stay if their group has none."""
-    near = simhash.near_duplicates(docs.select("doc_id", "text"))
+    """The document of the least id of each group of near-duplicates, 0.8 or more alike in five-word shingles; rows without an id stay if their group has none."""
+    near = jaccard.near_duplicates(docs.select("doc_id", "text"))
     stay = near.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
     return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi").select(docs.columns)
 
