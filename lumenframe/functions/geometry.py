@@ -38,24 +38,25 @@ def rotate_x(angle: Column) -> Column:
 
 
 def from_euler(rot: Column, tilt: Column, psi: Column) -> Column:
-    """Rotation about z by rot, then about the new y by tilt, then about the new z by psi.
+    """The matrix that turns the frame about z by rot, about the new y by tilt, about the new z by psi: rows are the new axes.
 
     The product is written out, so that each entry names each angle once or twice and plans stay small.
     """
     (cr, sr), (ct, st), (cp, sp) = ((F.cos(F.radians(x)), F.sin(F.radians(x))) for x in (rot, tilt, psi))
     return F.array(
-        cr * ct * cp - sr * sp, -cr * ct * sp - sr * cp, cr * st,
-        sr * ct * cp + cr * sp, -sr * ct * sp + cr * cp, sr * st,
-        -st * cp, st * sp, ct,
+        cp * ct * cr - sp * sr, cp * ct * sr + sp * cr, -cp * st,
+        -sp * ct * cr - cp * sr, -sp * ct * sr + cp * cr, sp * st,
+        st * cr, st * sr, ct,
     )
 
 
 def to_euler(m: Column) -> Column:
-    """The angles of ``from_euler``, tilt from 0 to 180; rot holds the whole turn where tilt is 0 or 180."""
-    tilt = F.atan2(F.hypot(m[2], m[5]), m[8])
-    flat = F.hypot(m[2], m[5]) < 1e-9
-    rot = F.when(flat, F.when(m[8] > 0, F.atan2(m[3], m[0])).otherwise(F.atan2(-m[3], -m[0]))).otherwise(F.atan2(m[5], m[2]))
-    psi = F.when(flat, 0.0).otherwise(F.atan2(m[7], -m[6]))
+    """The angles of ``from_euler``, tilt from 0 to 180; psi holds the whole turn where tilt is 0 or 180."""
+    sine = F.hypot(m[2], m[5])
+    flat = sine <= 16 * 2.0**-23
+    tilt = F.when(flat, F.when(m[8] > 0, 0.0).otherwise(math.pi)).otherwise(F.atan2(sine, m[8]))
+    rot = F.when(flat, 0.0).otherwise(F.atan2(m[7], m[6]))
+    psi = F.when(flat, F.when(m[8] > 0, F.atan2(-m[3], m[0])).otherwise(F.atan2(m[3], -m[0]))).otherwise(F.atan2(m[5], -m[2]))
     return F.struct(F.degrees(rot).alias("rot"), F.degrees(tilt).alias("tilt"), F.degrees(psi).alias("psi"))
 
 

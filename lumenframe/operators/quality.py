@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.operators.table import fresh
+
 
 @dataclass(frozen=True)
 class Ranges:
@@ -44,11 +46,12 @@ def range_filter(items: DataFrame, ranges: Ranges, *, fit_phase: bool = False) -
     motion without motion correction, particles without picking; mask always counts.
     """
     stats = astigmatism_statistics(items.filter("defocus is not null"), "astigmatism_x", "astigmatism_y")
-    df = items.crossJoin(F.broadcast(stats))  # one row
-    dx, dy = F.col("astigmatism_x") - F.col("mean_x"), F.col("astigmatism_y") - F.col("mean_y")
+    own = fresh(items, "_astigmatism")
+    df = items.crossJoin(F.broadcast(stats.select(F.struct("*").alias(own))))  # one row
+    dx, dy = F.col("astigmatism_x") - F.col(f"{own}.mean_x"), F.col("astigmatism_y") - F.col(f"{own}.mean_y")
     clauses = {
         "defocus": at_least(F.col("defocus"), ranges.defocus[0]) & at_most(F.col("defocus"), ranges.defocus[1]),
-        "astigmatism_x": at_most(F.sqrt(dx * dx + dy * dy) / F.col("std"), ranges.astigmatism),
+        "astigmatism_x": at_most(F.sqrt(dx * dx + dy * dy) / F.col(f"{own}.std"), ranges.astigmatism),
         "resolution": at_most(F.col("resolution"), ranges.resolution),
         "motion": at_most(F.col("motion"), ranges.motion),
         "particles": (F.col("particles") < 0) | (F.col("particles") >= ranges.particles),
@@ -58,7 +61,7 @@ def range_filter(items: DataFrame, ranges: Ranges, *, fit_phase: bool = False) -
     good = F.coalesce(at_most(F.col("mask"), ranges.mask), F.lit(True))
     for stage, clause in clauses.items():
         good = good & F.when(F.col(stage).isNull(), True).otherwise(clause)
-    return df.withColumn("accepted", good).drop("mean_x", "mean_y", "std")
+    return df.withColumn("accepted", good).drop(own)
 
 
 def status(manual: Column, filtered_out: Column, stored: dict[str, Column], wanted: dict[str, tuple[Column, Column]], is_series: Column) -> Column:
@@ -95,14 +98,20 @@ def valid_items(items: DataFrame, *, filtered: bool = False, left_out: bool = Fa
 
 def name_filter(items: DataFrame, pattern: str, statuses: list[str] | None = None, *, name: str = "name", state: str = "status") -> DataFrame:
     """Items whose name the pattern finds and whose status is one of those given; a pattern that is none lets all pass."""
-    import re
+    if pattern and _is_pattern(items, pattern):
+        items = items.filter(F.col(name).rlike(pattern))
+    return items if statuses is None else items.filter(F.col(state).isin(statuses))
+
+
+def _is_pattern(df: DataFrame, pattern: str) -> bool:
+    """Asked of the engine that will run it."""
+    from py4j.protocol import Py4JJavaError
 
     try:
-        re.compile(pattern)
-        items = items.filter(F.col(name).rlike(pattern)) if pattern else items
-    except re.error:
-        pass
-    return items if statuses is None else items.filter(F.col(state).isin(statuses))
+        df.sparkSession.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+    except Py4JJavaError:
+        return False
+    return True
 
 
 def score_threshold(picks: DataFrame, items: DataFrame, suffix: str, *, key: str = "item_id", score: str = "fom", thresholds: str = "picking_thresholds") -> DataFrame:

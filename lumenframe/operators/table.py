@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenframe.plans.shared import stored
+
 # What columns of particle tables are taken to be where a table lacks them.
 PARTICLE_DEFAULTS = {
     "rlnCoordinateX": "0.0",
@@ -25,16 +27,30 @@ PARTICLE_DEFAULTS = {
 }
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it as long as ``df`` has such a column."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name = "_" + name
+    return name
+
+
 def with_row_id(df: DataFrame, order: Iterable[str | Column], name: str = "row_id") -> DataFrame:
     """Numbers the rows from 0 in the given order, by ranges: each range is sorted and numbered on its own.
 
-    The counts of the ranges before it, one number each, are all that is gathered.
+    The sorted ranges are stored once, as a second computation could draw other bounds; counts and numbers come from the
+    stored rows. The counts of the ranges, one number each, are all that is gathered. Ties are spread over ranges by a hash
+    of their rows, so that no range holds a key of many rows alone; their order among each other is open.
     """
     order = [F.col(c) if isinstance(c, str) else c for c in order]
-    sorted_ = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    counts = sorted_.groupBy("_part").agg(F.count("*").alias("_count"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_count")
-    return sorted_.join(before, "_part").withColumn(name, F.col("_before") + F.col("_n") - 1).drop("_part", "_n", "_before")
+    at, part, before, n = fresh(df, "_at"), fresh(df, "_part"), fresh(df, "_before"), fresh(df, "_n")
+    plain = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    order = [*order, F.xxhash64(*plain)]
+    rows = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()))
+    rows = rows.withColumn(part, F.shiftright(at, 33))
+    counts = rows.groupBy(part).agg(F.count("*").alias(n))
+    before_ = counts.select(part, (F.sum(n).over(Window.orderBy(part)) - F.col(n)).alias(before))  # a row for each range
+    numbered = rows.join(F.broadcast(before_), part)
+    return numbered.select(*[F.col(f"`{c}`") for c in df.columns if c != name], (F.col(before) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).alias(name))
 
 
 def get_column(df: DataFrame, name: str) -> DataFrame | None:

@@ -426,10 +426,14 @@ def scalar_functions(spark, sf_dir):
     return p.select("vec_id", F.round(maths.sinc(F.col("x")), 6).alias("sinc"), F.round(maths.fraction(F.col("x")), 6).alias("fraction"), maths.next_multiple(F.col("vec_id"), 8).alias("multiple"))
 
 
-@_query("SELECT vec_id, round(cos(r) * cos(t) * cos(p) - sin(r) * sin(p), 6) AS m11, round(cos(t), 6) AS m33 FROM (SELECT vec_id, radians(vec_id % 360) AS r, radians(vec_id % 180) AS t, radians(vec_id % 90) AS p FROM embeddings)")
+_EULER = ("cp*ct*cr - sp*sr", "cp*ct*sr + sp*cr", "-cp*st", "-sp*ct*cr - cp*sr", "-sp*ct*sr + cp*cr", "sp*st", "st*cr", "st*sr", "ct")
+
+
+@_query(f"""SELECT vec_id, {", ".join(f"round({e}, 6) + 0.0 AS m{k // 3 + 1}{k % 3 + 1}" for k, e in enumerate(_EULER))} FROM (SELECT vec_id, cos(r) AS cr, sin(r) AS sr, cos(t) AS ct, sin(t) AS st, cos(p) AS cp, sin(p) AS sp
+    FROM (SELECT vec_id, radians(vec_id % 360) AS r, radians(vec_id % 180) AS t, radians(vec_id % 90) AS p FROM embeddings))""")
 def euler_matrices(spark, sf_dir):
     m = geometry.from_euler((F.col("vec_id") % 360).cast("double"), (F.col("vec_id") % 180).cast("double"), (F.col("vec_id") % 90).cast("double"))
-    return _t(spark, sf_dir, "embeddings").select("vec_id", m.alias("m")).select("vec_id", F.round(F.get("m", F.lit(0)), 6).alias("m11"), F.round(F.get("m", F.lit(8)), 6).alias("m33"))
+    return _t(spark, sf_dir, "embeddings").select("vec_id", m.alias("m")).select("vec_id", *[(F.round(F.get("m", F.lit(k)), 6) + 0.0).alias(f"m{k // 3 + 1}{k % 3 + 1}") for k in range(9)])
 
 
 @_query("SELECT CAST(floor(o_totalprice / 1000) AS BIGINT) AS voxel, arg_min(o_orderkey, (o_custkey % 97, o_orderkey)) AS map_id FROM orders GROUP BY 1")
@@ -461,7 +465,7 @@ def positional_join(spark, sf_dir):
     return matching.positional_join(a, b, ["s_acctbal", "s_suppkey"], ["c_acctbal", "c_custkey"]).select(F.col("s_suppkey").alias("left_key"), F.col("c_custkey").alias("right_key"))
 
 
-@_query("WITH RECURSIVE r AS (SELECT x // 2 AS ancestor, x AS node, 1 AS depth FROM (SELECT c_custkey AS x FROM customer WHERE c_custkey <= 1000000) WHERE x > 1 UNION ALL SELECT ancestor // 2, node, depth + 1 FROM r WHERE ancestor > 1) SELECT ancestor, node, depth FROM r WHERE ancestor > 0")
+@_query("WITH RECURSIVE r AS (SELECT x // 2 AS ancestor, x AS node, 1 AS depth FROM (SELECT c_custkey AS x FROM customer) WHERE x > 1 UNION ALL SELECT ancestor // 2, node, depth + 1 FROM r WHERE ancestor > 1) SELECT ancestor, node, depth FROM r WHERE ancestor > 0")
 def descendants(spark, sf_dir):
     """All pairs of ancestor and descendant of a binary tree over customers."""
     from lumenframe.operators import catalog

@@ -200,3 +200,35 @@ def test_components_of_variance(spark):
     df = spark.createDataFrame([(r.tolist(),) for r in x], "v array<double>")
     c = kernels.principal_components(df, vector="v", n=2, rounds=10)
     assert abs(c[0, 0]) > 0.98 and abs(c[0] @ c[1]) < 1e-6
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_row_ids_over_many_ranges(spark, adaptive):
+    """Every number from 0 on once, in order, whatever columns a reader asks for; ties and a hot key included."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        n = 600_000
+        df = spark.range(n).select(F.when(F.col("id") % 3 == 0, 5).otherwise(F.pmod(F.xxhash64("id"), F.lit(100_000))).alias("k"), F.col("id").alias("v"), F.repeat(F.lit("x"), 40).alias("_part"))
+        out = table.with_row_id(df, ["k"])
+        assert out.columns == ["k", "v", "_part", "row_id"]
+        r = out.agg(F.count("*"), F.count_distinct("row_id"), F.min("row_id"), F.max("row_id"), F.count_distinct("v")).first()
+        assert tuple(r) == (n, n, 0, n - 1, n)
+        low = out.groupBy("k").agg(F.min("row_id").alias("a"), F.max("row_id").alias("b"), F.count("*").alias("n"))
+        assert low.filter("b - a + 1 <> n").count() == 0
+        keys = [x["k"] for x in low.orderBy("a").collect()]
+        assert keys == sorted(keys)
+        joined = matching.positional_join(spark.range(n).select(F.xxhash64("id").alias("a")), spark.range(n).select(F.xxhash64("id").alias("b"), F.lit("wide").alias("c")), ["a"], ["b"])
+        assert joined.filter("a = b").count() == n
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_euler_rows_are_the_new_axes(spark):
+    a = one(spark, geometry.from_euler(F.lit(30.0), F.lit(40.0), F.lit(50.0)))
+    r, t, p = np.radians([30.0, 40.0, 50.0])
+    assert a[2] == pytest.approx(-np.cos(p) * np.sin(t)) and a[6] == pytest.approx(np.sin(t) * np.cos(r)) and a[5] == pytest.approx(np.sin(p) * np.sin(t))
+    back = one(spark, geometry.to_euler(geometry.from_euler(F.lit(30.0), F.lit(0.0), F.lit(50.0))))
+    assert (back["rot"], back["tilt"], back["psi"]) == pytest.approx((0.0, 0.0, 80.0))
