@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import gc
-import time
-import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lumenframe.plans.shared import cut, shared_dir  # noqa: F401
+from lumenframe.plans.shared import cut, dropped, stored  # noqa: F401
 
 #: Text bytes that a Python task works on at once.
 SLICE_BYTES = 4 << 20
@@ -21,19 +18,12 @@ SLICE_BYTES = 4 << 20
 HASH_BYTES = 1 << 20
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Like ``cut``, as compressed Parquet: for tables whose size follows the input."""
-    path = f"{shared_dir(df.sparkSession)}/lumenframe/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def released(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files that no DataFrame in use needs any more; it takes them up in the background."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+def fresh(columns: Iterable[str], name: str) -> str:
+    """``name``, with underscores before it as long as there is such a column."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def extended(schema: StructType, ddl: str) -> StructType:
@@ -160,8 +150,3 @@ def runs(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def space_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words between ASCII white space."""
     return runs(~_SPACE[data], off)
-
-
-def per_row(positions: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """How many of the sorted ``positions`` lie in each row: offsets into them, one more than rows."""
-    return np.searchsorted(positions, off, side="left")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import flat_bytes, lower_ascii, mix64, released, slices, space_words, span_hashes, stored
+from lumenframe.llm.common import flat_bytes, lower_ascii, mix64, slices, space_words, span_hashes, stored
 
 #: Text bytes of a bucket; text bytes of the training part for each shard.
 BUCKET_BYTES, SHARD_BYTES = 7 << 20, 10 << 20
@@ -219,7 +219,6 @@ def train(docs: DataFrame, *, text_col: str = "text") -> Model:
         return _table([(1, table.column("shard")[0].as_py(), 0, words.tobytes(), _pack_counts(n), _pack_counts(before), _pack_counts(sums[:3].reshape(-1)), totals.tobytes())])
 
     counted = stored(src.mapInArrow(count, _PART).groupBy("shard").applyInArrow(add, _PART))
-    released(docs.sparkSession)
     words = stored(counted.filter("kind >= 3").groupBy("shard").applyInArrow(gather, _PART))
     high = np.sum([np.frombuffer(r["c"], np.int64) for r in counted.filter("kind = 0").select("c").collect()] or [np.zeros(4, np.int64)], axis=0)
     t = np.sum([np.frombuffer(r["e"], np.int64) for r in words.select("e").collect()] or [np.zeros(8, np.int64)], axis=0)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import _SPREAD, _powers, flat_bytes, mix64, released, slices, stored
+from lumenframe.llm.common import _SPREAD, _powers, flat_bytes, mix64, slices, stored
 
 WINDOW = 50
 GRAM = 24
@@ -230,7 +230,6 @@ def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         return pa.table([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "shard", "rows", "places"])
 
     found = stored(src.withColumn("tid", F.xxhash64("text")).mapInArrow(anchors, "shard int, rows binary, hashes binary").groupBy("shard").applyInArrow(repeated, "bucket int, shard int, rows binary, places binary"))
-    released(spark)
     n_found = found.agg(F.sum(F.octet_length("places").cast("long"))).first()[0] or 0
     pieces = max(16, n_found // 4 * 2 * window // SHARD_BYTES)
 
@@ -311,7 +310,6 @@ def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     firsts = sums.groupBy("sum").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
     copies = sums.join(firsts, "sum").filter("id > first").select("id", F.lit(0).cast("long").alias("start"), F.col("n").cast("long").alias("end"))
     spans = stored(cuts.unionByName(copies).select(deal, "id", "start", "end"))
-    released(spark)
 
     def finish(key, left: pa.Table, right: pa.Table) -> pa.Table:
         ids, start, end = (right.column(c).to_numpy() for c in ("id", "start", "end"))
