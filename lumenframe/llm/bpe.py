@@ -1,8 +1,9 @@
 """BPE encoding and decoding by tree concatenation.
 
-A text is a row of unsplit pieces: the vocabulary's own splitter never joins across white space, so
-each piece is encoded alone, and pieces that come again are looked up. A piece of over ``leaf`` bytes
-becomes a binary tree: Spark encodes its leaves as separate rows and joins two neighbours a round.
+A text is a row of unsplit pieces: the vocabulary's own splitter never joins across white space, so each piece is encoded
+alone, and words that come again are looked up. Every piece is a binary tree of leaves of a few bytes, whose halves are
+encoded and joined. Up to LEAF_BYTES a task does that by itself; of longer pieces Spark encodes stretches of that length
+as separate rows, each such a tree, and joins two neighbours a round.
 At a join a window of tokens on both sides is encoded again, growing until its first token agrees with the
 one before it and its last with the one after it: a sequence whose every adjacent pair of tokens is what
 the merges make of that pair's own text is what they make of the whole.
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import cut, extended
+from lumenframe.llm.common import extended, fresh, stored
 
-#: Unsplit bytes that one task encodes at once.
-LEAF_BYTES = 4096
+#: Unsplit characters that one task encodes at once, and those of a leaf of its tree.
+LEAF_BYTES, TWIG = 4096, 16
 #: Distinct words whose ids a worker remembers.
 MEMORY_WORDS = 300_000
 
@@ -42,6 +44,7 @@ class Codec:
         self.tokenizer.no_padding()
         spec = json.loads(vocabulary)
         self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.names = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
         model = spec["model"]
         self.suffix = model.get("end_of_word_suffix") or ""
@@ -58,17 +61,14 @@ class Codec:
             if len(known) + len(new) > MEMORY_WORDS:
                 known.clear()
                 new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                ids = e.ids
+            for w in new:
+                ids = [i for piece, i in self.pieces(w.decode()) for i in ([i] if i >= 0 else self.tree(piece))]
                 known[w] = np.array(ids, dtype="<u4").tobytes(), " ".join(map(self.names.__getitem__, ids)).encode()
         return [known[w] for w in words]
 
     def pieces(self, text: str) -> Iterator[tuple[str, int]]:
         """The splitter's pieces in the byte alphabet, with -1, or a special token's text and id."""
-        import re
-
-        parts = re.split("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")", text) if self.special else [text]
-        for part in parts:
+        for part in self.cut.split(text) if self.cut else [text]:
             if part in self.special:
                 yield part, self.special[part]
             elif part:
@@ -101,12 +101,12 @@ class Codec:
     def _pair(self, x: int, y: int, last: bool) -> bool:
         return self.leaf(self.text([x], False) + self.text([y], last), last) == [x, y]
 
-    def tree(self, piece: str, leaf: int = LEAF_BYTES) -> list[int]:
-        """The same tree within one process."""
-        parts = [self.leaf(piece[i : i + leaf], i + leaf >= len(piece)) for i in range(0, len(piece), leaf)]
-        while len(parts) > 1:
-            parts = [self.join(parts[i], parts[i + 1], i + 2 >= len(parts)) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
-        return parts[0] if parts else []
+    def tree(self, piece: str, last: bool = True, twig: int = TWIG) -> list[int]:
+        """A piece, or a stretch of one that is not its ``last``, as a tree within one process."""
+        if len(piece) <= twig:
+            return self.leaf(piece, last)
+        half = len(piece) // 2
+        return self.join(self.tree(piece[:half], False, twig), self.tree(piece[half:], last, twig), last)
 
 
 def read_vocabulary(path: str) -> str:
@@ -137,7 +137,10 @@ def encode_decode(docs: DataFrame, vocabulary: str, *, text_col: str = "text", l
     kept = docs.drop(*names)
     given = kept.columns
     schema = extended(kept.schema, f"n_tokens long, {names[1]} {'string' if digests else 'binary'}, {names[2]} string")
-    long = F.coalesce(F.col(text_col), F.lit("")).rlike(rf"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]{{{leaf}}}")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # only texts of that length are searched
+    long = (F.char_length(text) >= leaf) & text.rlike(rf"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]{{{leaf}}}")
+    row, parts_of = fresh(given, "_row"), fresh(given, "_ids")
 
     def finish(table: pa.Table | pa.RecordBatch, counts, ids, decoded) -> pa.RecordBatch:
         if digests:
@@ -161,10 +164,10 @@ def encode_decode(docs: DataFrame, vocabulary: str, *, text_col: str = "text", l
                 yield finish(part, counts, ids, decoded)
 
     rest = kept.filter(~long).mapInArrow(short, schema)
-    keyed = cut(kept.filter(long).withColumn("_row", F.monotonically_increasing_id()))
+    keyed = stored(kept.filter(long).withColumn(row, F.monotonically_increasing_id()))
     if keyed.isEmpty():
         return rest
-    text_of = keyed.select("_row", F.col(text_col).alias("_text"))
+    text_of = keyed.select(F.col(row).alias("_row"), F.col(text_col).alias("_text"))
 
     def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(shared)
@@ -186,7 +189,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, *, text_col: str = "text", l
     def leaves(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(shared)
         for frame in frames:
-            frame["ids"] = [i if p is None else np.array(c.leaf(p, k + 1 == n), "<u4").tobytes() for p, k, n, i in zip(frame["piece"], frame["node"], frame["nodes"], frame["ids"], strict=True)]
+            frame["ids"] = [i if p is None else np.array(c.tree(p, k + 1 == n, min(TWIG, leaf)), "<u4").tobytes() for p, k, n, i in zip(frame["piece"], frame["node"], frame["nodes"], frame["ids"], strict=True)]
             yield frame.drop(columns="piece")
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
@@ -197,21 +200,21 @@ def encode_decode(docs: DataFrame, vocabulary: str, *, text_col: str = "text", l
         return pd.DataFrame([(head["_row"], head["part"], head["node"] // 2, -(-head["nodes"] // 2), np.array(ids, "<u4").tobytes())], columns=["_row", "part", "node", "nodes", "ids"])
 
     node = "_row long, part long, node long, nodes long, "
-    tree = cut(text_of.mapInPandas(split, node + "piece string, ids binary").repartition("_row", "part", "node").mapInPandas(leaves, node + "ids binary"))
+    tree = stored(text_of.mapInPandas(split, node + "piece string, ids binary").repartition("_row", "part", "node").mapInPandas(leaves, node + "ids binary"))
     done = tree.filter("nodes = 1")
     for _ in range(max(0, int(tree.agg(F.max("nodes")).first()[0] or 1) - 1).bit_length()):
-        tree = cut(tree.filter("nodes > 1").groupBy("_row", "part", F.expr("node div 2").alias("_pair")).applyInPandas(lambda f: merge(f), node + "ids binary"))
+        tree = stored(tree.filter("nodes > 1").groupBy("_row", "part", F.expr("node div 2").alias("_pair")).applyInPandas(lambda f: merge(f), node + "ids binary"))
         done = done.unionByName(tree.filter("nodes = 1"))
-    gathered = done.groupBy("_row").agg(F.expr("transform(array_sort(collect_list(struct(part, ids))), x -> x.ids)").alias("_ids"))
+    gathered = done.groupBy(F.col("_row").alias(row)).agg(F.expr("transform(array_sort(collect_list(struct(part, ids))), x -> x.ids)").alias(parts_of))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(shared)
         for batch in batches:
-            ids = [b"".join(x or []) for x in batch.column("_ids").to_pylist()]
+            ids = [b"".join(x or []) for x in batch.column(parts_of).to_pylist()]
             decoded = [" ".join(map(c.names.__getitem__, np.frombuffer(x, "<u4").tolist())).encode() for x in ids]
             yield finish(batch.select(given), [len(x) // 4 for x in ids], ids, decoded)
 
-    return rest.unionByName(keyed.join(gathered, "_row", "left").drop("_row").mapInArrow(decode, schema))
+    return rest.unionByName(keyed.join(gathered, row, "left").drop(row).mapInArrow(decode, schema))
 
 
 def decode_ids(ids: DataFrame, vocabulary: str, *, ids_col: str = "ids") -> DataFrame:
