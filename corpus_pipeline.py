@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm import bpe, decontamination, jaccard, lines, toxicity
-from lumenframe.llm.common import remainder, stored
+from lumenframe.llm.common import dropped, fresh, remainder, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,10 +24,15 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each group of near-duplicates, 0.8 or more alike in five-word shingles; rows without an id stay if their group has none."""
-    near = jaccard.near_duplicates(docs.select("doc_id", "text"))
-    stay = near.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi").select(docs.columns)
+    """One row of each group of near-duplicates, 0.8 or more alike in five-word shingles: that of the least id.
+
+    Of rows of that id, repeated ones included, one stays, and of a group without ids one.
+    """
+    own, row = fresh(docs.columns, "_own"), F.monotonically_increasing_id()
+    rows = stored(docs.withColumn(own, F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), row.alias("row"))))
+    near = jaccard.near_duplicates(rows.select(own, "text"), id_col=own)
+    stay = near.filter(F.col(own) == F.col("component_id")).select(F.col(f"{own}.row").alias("stay"))
+    return rows.join(stay, F.col(f"{own}.row") == F.col("stay"), "left_semi").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +57,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each result written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stored(docs)
+            if before is not None:
+                dropped(before)
+            before = docs
     return docs

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import cut, flat_bytes, lower_ascii, released, slices, stored
+from lumenframe.llm.common import cut, dropped, extended, flat_bytes, lower_ascii, slices, stored
 from lumenframe.llm.graph import components
 from lumenframe.llm.simhash import SEED
 
@@ -51,7 +51,7 @@ def shingle_sets(docs: DataFrame, *, text_col: str, shingle: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets)))
                 yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(node), lists], names=["_id", "node", "s"])
 
-    return docs.mapInArrow(run, f"_id {dict(docs.dtypes)['_id']}, node long, s array<long>")
+    return docs.mapInArrow(run, extended(docs.select("_id").schema, "node long, s array<long>"))
 
 
 def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
@@ -101,8 +101,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sets = rows.select("node", "s")
     places = stored(_prefixes(sets, similarity))
     meet = stored(places.groupBy("token").agg(F.min(F.struct("node", "n")).alias("low"), F.max("node").alias("high")).filter("low.node < high").drop("high"))
-    places = stored(places.join(meet, "token").dropDuplicates(["token", "node"]))
-    released(docs.sparkSession)
+    all_places, places = places, stored(places.join(meet, "token").dropDuplicates(["token", "node"]))
+    dropped(all_places, meet)
     fits = F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9
     hubs = places.select(F.col("low.node").alias("a"), F.col("low.n").alias("m"), F.col("node").alias("b"), "n").filter(F.col("a") != F.col("b")).filter(fits)
     links = _similar(hubs.select("a", "b"), sets, similarity)

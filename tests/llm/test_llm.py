@@ -196,7 +196,24 @@ def test_op4_blocks(spark, monkeypatch):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     hit = (u @ u.T >= 0.93) & ~np.eye(400, dtype=bool)
     of = brute.named(range(400), brute.components(400, np.argwhere(hit).tolist()))
-    assert got(embeddings.near_duplicates(df), "vec_id", "n_links", "component_id") == want((k, int(hit[k].sum()), of[k]) for k in range(400))
+    assert got(embeddings.near_duplicates(df, exact=True), "vec_id", "n_links", "component_id") == want((k, int(hit[k].sum()), of[k]) for k in range(400))
+
+
+def test_op4_probes(spark, monkeypatch):
+    """A vector visits a bounded number of cells, at least nine tenths of the links are found, each counted on both sides."""
+    monkeypatch.setattr(embeddings, "BLOCK", 32)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 32))[rng.integers(0, 300, 2000)] + rng.normal(size=(2000, 32)) * rng.choice([0.1, 0.3], (2000, 1))
+    df = spark.createDataFrame([(k, v.tolist(), k % 2) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = (u @ u.T >= 0.93) & ~np.eye(2000, dtype=bool) & (np.arange(2000)[:, None] % 2 == np.arange(2000)[None] % 2)
+    found = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(df).collect()}
+    n = np.array([found[k] for k in range(2000)])
+    assert (n <= hit.sum(axis=1)).all() and n.sum() % 2 == 0 and n.sum() >= 0.9 * hit.sum() > 0
+    centres = embeddings.spherical_kmeans(u, 64)
+    assert max(len(c) for c in embeddings.visits(u, centres, (1 - 0.93**2) ** 0.5, embeddings.PROBES)[2]) <= embeddings.PROBES
+    exact = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(df, exact=True).collect()}
+    assert [exact[k] for k in range(2000)] == hit.sum(axis=1).tolist()
 
 
 def test_op5(spark, rows, odd, odd_rows, none, monkeypatch):
@@ -235,6 +252,27 @@ def test_op6(spark, rows, odd, odd_rows, none):
     again = bpe.decode_ids(out.select("ids", F.col("decoded").alias("was")), vocabulary())
     assert again.filter("not decoded <=> was").count() == 0
     assert bpe.encode_decode(none, vocabulary()).count() == 0
+    clash = odd.withColumn("_row", F.lit("r")).withColumn("_ids", F.lit("i"))
+    out = bpe.encode_decode(clash, vocabulary(), digests=True)
+    assert out.columns[: len(clash.columns)] == clash.columns and out.filter("_row = 'r' and _ids = 'i'").count() == odd.count()
+    assert got(out, *columns) == want(encoded(odd_rows))
+
+
+def test_op6_long_pieces(spark):
+    """Pieces of many lengths go through trees of leaves of a few bytes, in one task and over several."""
+    rng = np.random.default_rng(6)
+    letters = "etaoinshrdlu-äß0123456789'.,<|>"
+    given = [(k, " ".join("".join(rng.choice(list(letters[: 5 + k % 26]), int(n))) for n in rng.integers(1, 400, 6))) for k in range(60)]
+    given.append((99, "".join(rng.choice(list("abcdefgh"), 30_000))))
+    docs = spark.createDataFrame(given, "doc_id long, text string")
+    for leaf in (50, bpe.LEAF_BYTES):
+        assert got(bpe.encode_decode(docs, vocabulary(), digests=True, leaf=leaf), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == want(encoded(given))
+    c = bpe.Codec(vocabulary())
+    for _, text in given[:20]:
+        for word in text.split():
+            ids = c.tokenizer.encode(word, add_special_tokens=False).ids
+            for twig in (1, 3, 16):
+                assert [i for piece, known in c.pieces(word) for i in ([known] if known >= 0 else c.tree(piece, True, twig))] == ids
 
 
 def test_op7(spark, rows, odd, odd_rows, none):
@@ -283,6 +321,16 @@ def test_pipeline_near_copies(spark, monkeypatch):
     assert got(corpus_pipeline.drop_near_duplicates(spark, docs, SF), "doc_id") == want((k,) for k, c in enumerate(of) if k == c)
 
 
+def test_pipeline_repeated_ids(spark):
+    """One row of each group stays, also where rows share an id or have none."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    given = [(1, a), (5, b), (5, a), (5, b), (None, c), (None, c), (7, c), (None, None), (None, "only words without an id here")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(given)], "doc_id long, text string, _own int").repartition(3)
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert out.columns == docs.columns
+    assert got(out, "doc_id", "text") == want([(1, a), (5, b), (7, c), (None, None), (None, "only words without an id here")])
+
+
 def test_op8(spark, rows, odd, odd_rows, none):
     columns = "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"
     for out, given in ((queries.op8_suffix_dedup(spark, SF), rows), (suffixes.removals(odd), odd_rows)):
@@ -335,6 +383,19 @@ def test_op10(spark, odd, none):
     assert {t[x["start"] : x["end"]].strip() for (t, _), r in zip(texts, found, strict=True) for x in r["offending"]} == {"You awful creep", "What an awful creep"}
 
 
+def test_op10_length(spark):
+    """A text of many sentences without offence stays clean; one offending sentence among them is found."""
+    texts = [("You awful creep. The weather is fine.", 1), ("The weather is fine. We go out.", 0), ("A quiet day. What an awful creep!", 1), ("A quiet day. We stay in.", 0)] * 20
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(texts)], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(k, y) for k, (_, y) in enumerate(texts)], "doc_id long, toxic int"))
+    clean = "The harbour was calm and nobody spoke. " * 5000
+    found = toxicity.score(spark.createDataFrame([(clean,), (clean * 4,), (clean + "What an awful creep!",)], "text string"), model).collect()
+    assert [r["score"] >= 0.5 for r in found] == [False, False, True]
+    assert [len(r["offending"]) for r in found] == [0, 0, 1]
+    big = toxicity.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    assert toxicity.score(spark.createDataFrame([(clean,), ("!".join(f"word{k} other{k % 7}" for k in range(5000)),)], "text string"), big).filter("score >= 0.5").count() == 0
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(k, k + 1) for k in range(400, 460)] + [(500, k) for k in range(501, 560)]
