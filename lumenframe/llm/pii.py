@@ -26,8 +26,10 @@ BASE = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Candidates beyond the base.
+#: Candidates beyond the base; those of cards pass the Luhn test.
 WIDER = {
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?:\x20?[\[(](?:at|AT)[\])]\x20?|\x20at\x20|\x20?@\x20?)[A-Za-z0-9-]{1,63}+(?:(?:\x20?[\[(](?:dot|DOT)[\])]\x20?|\x20dot\x20|\.)[A-Za-z0-9-]{2,24}+)++",
+    "ip": r"(?<![0-9A-Za-z:.])[0-9A-Fa-f]{1,4}(?::{1,2}[0-9A-Fa-f]{1,4}){2,7}+(?![0-9A-Za-z:])",
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{4})(?![0-9])",
     "phone": r"(?<![0-9])\+?(?:[0-9]{1,3}[\x20.-])?\([0-9]{2,4}\)[\x20.-]?[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])",
     "secret": r"(?<![A-Za-z0-9])(?=[0-9]{0,64}[A-Za-z])(?=[A-Za-z]{0,64}[0-9])(?:[0-9a-f]{16,64}|[A-Z0-9]{16,40})(?![A-Za-z0-9])",
@@ -35,12 +37,32 @@ WIDER = {
 #: Kinds in the order of results.
 KINDS = ("email", "ip", "card", "phone", "secret")
 #: A regular expression that a candidate with a plausible form matches.
-SHAPES = {"card": r"^[0-9]{15,16}$|[\x20-]", "phone": r"^\+[0-9]", "secret": r"^(?:[0-9a-f]{18}|[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[A-Z0-9]{20})$"}
-#: Gazetteers: how numbers of each kind begin, and words that stand before them.
-ISSUERS = {"card": r"^(?:4|5[1-5]|2[2-7]|34|37|6011|65)", "phone": r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])[^0-9]", "secret": r"^(?:AKIA|ASIA)"}
-WORDS = {"card": r"(?i)(?:card|visa|mastercard|karte|carte|tarjeta)\W{0,3}$", "phone": r"(?i)(?:phone|call|tel|telefon|mobile|fax)\W{0,3}$", "secret": r"(?i)(?:password|passwd|pwd|secret|token|key)\W{0,4}$"}
+SHAPES = {
+    "email": r"[\[(@]|\x20at\x20.*\x20dot\x20",
+    "ip": r"::|^(?:[^:]+:){7}[^:]+$",
+    "card": r"^[0-9]{15,16}$|[\x20-]",
+    "phone": r"^\+?[0-9]|^\([0-9]{3,4}\)",
+    "secret": r"^(?:[0-9a-f]{18}|[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[A-Z0-9]{20})$",
+}
+#: Gazetteers: how each kind begins or ends, and words that stand before it.
+ISSUERS = {
+    "email": r"(?i)[\x20.)\]](?:com|org|net|edu|gov|info|io|co|eu|uk|de|fr|es|it|nl|example)$",
+    "ip": r"(?i)^(?:20[0-9a-f]{2}|2[4-9a-f][0-9a-f]{2}|fe80|f[cd][0-9a-f]{2}):",
+    "card": r"^(?:4|5[1-5]|2[2-7]|34|37|6011|65)",
+    "phone": r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])[^0-9]|^\(?0[1-9]|^\([2-9][0-9]{2}\)",
+    "secret": r"^(?:AKIA|ASIA)",
+}
+WORDS = {
+    "email": r"(?i)(?:e-?mail|mail|write to|contact|correo|courriel)\W{0,3}$",
+    "ip": r"(?i)(?:ip|ipv6|host|server|addr|address|from)\W{0,3}$",
+    "card": r"(?i)(?:card|visa|mastercard|karte|carte|tarjeta)\W{0,3}$",
+    "phone": r"(?i)(?:phone|call|tel|telefon|mobile|fax)\W{0,3}$",
+    "secret": r"(?i)(?:password|passwd|pwd|secret|token|key)\W{0,4}$",
+}
 LABELERS = ("shape", "digits", "gazetteer", "context")
-FORMS = ("long", "separated", "card", "phone", "secret")
+FORMS = ("long", "separated", *KINDS)
+#: Counts of prior belief that each labeler's rates start with.
+PRIOR = 4.0
 
 _BLOCK = 256
 
@@ -56,7 +78,7 @@ def _found(df: DataFrame, patterns: dict[str, str], prefix: str) -> DataFrame:
     for step in ("match", "gap"):
         columns = {}
         for kind, pattern in patterns.items():
-            maybe = F.col("_text").contains("@") if kind == "email" else F.col("_text").contains("+") if (prefix, kind) == ("base", "phone") else F.lit(True)
+            maybe = F.col("_text").contains("@") if (prefix, kind) == ("base", "email") else F.col("_text").rlike("(?i)[ \\[(]at[ \\])]|@") if kind == "email" else F.col("_text").contains(":") if (prefix, kind) == ("wider", "ip") else F.col("_text").contains("+") if (prefix, kind) == ("base", "phone") else F.lit(True)
             found = F.regexp_extract_all("_text", F.lit(pattern), F.lit(0)) if step == "match" else F.when(F.size(f"{prefix}_{kind}_match") > 0, F.split("_text", pattern, -1))
             columns[f"{prefix}_{kind}_{step}"] = F.when(maybe, found).otherwise(F.array().cast("array<string>")) if step == "match" else found
         df = df.withColumns(columns)
@@ -77,12 +99,18 @@ def _found(df: DataFrame, patterns: dict[str, str], prefix: str) -> DataFrame:
 def _votes(kind: str) -> str:
     """SQL: the candidate ``x`` with its labelers' votes (1, -1, 0: none) and its form."""
     digits = "regexp_replace(x.t, '[^0-9]', '')"
-    good = {"card": _luhn("x.t"), "phone": f"char_length({digits}) BETWEEN 9 AND 15", "secret": "x.t rlike '[0-9]' AND x.t rlike '[A-Za-z]'"}[kind]
+    good = {
+        "email": "x.t rlike '[A-Za-z]{2,}[^A-Za-z0-9]*$'",
+        "ip": "x.t rlike '[A-Fa-f]' AND x.t rlike '[0-9]' AND NOT x.t rlike '^([0-9A-Fa-f]{2}:){2,5}[0-9A-Fa-f]{2}$'",
+        "card": f"char_length({digits}) = IF({digits} rlike '^3[47]', 15, 16)",
+        "phone": f"char_length({digits}) BETWEEN 9 AND 15",
+        "secret": "char_length(regexp_replace(x.t, '[^0-9]', '')) BETWEEN char_length(x.t) div 8 AND char_length(x.t) * 7 div 8",
+    }[kind]
     start = "substring(_text, int(greatest(0, x.start - 16)) + 1, int(least(16, x.start)))"
     return f"""struct('{kind}' AS kind, x.start AS start, x.end AS end,
         IF(x.t rlike r'{SHAPES[kind]}', 1, -1) AS shape,
         IF({good}, 1, -1) AS digits,
-        IF(x.t rlike r'{ISSUERS[kind]}' OR {start} rlike r'{WORDS[kind]}', 1, {0 if kind == "secret" else -1}) AS gazetteer,
+        IF(x.t rlike r'{ISSUERS[kind]}' OR {start} rlike r'{WORDS[kind]}', 1, {0 if kind in ("secret", "phone") else -1}) AS gazetteer,
         IF({start} rlike r'[A-Za-z0-9_/#-]$' OR substring(_text, int(x.end) + 1, 1) rlike r'[A-Za-z0-9_/#]', -1, 1) AS context,
         int(char_length(x.t) > 16) AS long, int(x.t rlike r'[\\x20().-]') AS separated)"""
 
@@ -103,7 +131,7 @@ def candidates(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     df = df.withColumn("base", F.expr(base)).drop(*[f"base_{k}" for k in BASE])
     df = _found(df, WIDER, "wider")
     inside = "exists(base, b -> b.kind = '{k}' AND b.start < x.end AND x.start < b.end)"
-    wider = "concat(" + ", ".join(f"transform(filter(wider_{k}, x -> NOT {inside.format(k=k)}), x -> {_votes(k)})" for k in WIDER) + ")"
+    wider = "concat(" + ", ".join(f"transform(filter(wider_{k}, x -> NOT {inside.format(k=k)}{' AND ' + _luhn('x.t') if k == 'card' else ''}), x -> {_votes(k)})" for k in WIDER) + ")"
     return df.select(*[F.col(f"given_{i}").alias(c) for i, c in enumerate(given)], "base", F.expr(wider).alias("wider"))
 
 
@@ -129,7 +157,7 @@ def fit(patterns: list[tuple[tuple[int, ...], tuple[int, ...], int]], *, rounds:
                 yes = sum(x for x, (v, _, _) in zip(w, patterns, strict=True) if v[k] > 0)
                 no = sum(x for x, (v, _, _) in zip(w, patterns, strict=True) if v[k] < 0)
                 # a few counts of prior belief keep the rates inside (0, 1) and the classes apart
-                rate[k][side] = (yes + 50 * (0.8, 0.3)[side]) / (yes + no + 50)
+                rate[k][side] = (yes + PRIOR * (0.8, 0.3)[side]) / (yes + no + PRIOR)
     weights = [0.0] * (1 + len(LABELERS) + len(FORMS))
     for t in range(400 if total else 0):
         slope = [1e-3 * w for w in weights]
@@ -153,11 +181,11 @@ def find_pii(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     kept = docs.drop("base", "wider", "spans")
     found = stored(candidates(kept, text_col=text_col))
     x = found.select(F.explode("wider").alias("x")).select("x.*")
-    form = [F.col("long"), F.col("separated"), *[(F.col("kind") == k).cast("int").alias(k) for k in ("card", "phone", "secret")]]
+    form = [F.col("long"), F.col("separated"), *[(F.col("kind") == k).cast("int").alias(k) for k in KINDS]]
     rows = x.select(*LABELERS, *form).groupBy(*LABELERS, *FORMS).agg(F.count("*").alias("n")).collect()
     patterns = sorted((tuple(r[k] for k in LABELERS), tuple(r[k] for k in FORMS), r["n"]) for r in rows)
     _, w = fit(patterns)
-    z = " + ".join([str(w[0]), *(f"({a}) * x.{k}" for a, k in zip(w[1:], [*LABELERS, "long", "separated"], strict=False)), *(f"({a}) * int(x.kind = '{k}')" for a, k in zip(w[-3:], ("card", "phone", "secret"), strict=True))])
+    z = " + ".join([str(w[0]), *(f"({a}) * x.{k}" for a, k in zip(w[1 : 3 + len(LABELERS)], [*LABELERS, "long", "separated"], strict=False)), *(f"({a}) * int(x.kind = '{k}')" for a, k in zip(w[-len(KINDS):], KINDS, strict=True))])
     added = F.expr(f"transform(filter(wider, x -> {z} >= 0), x -> struct(x.kind AS kind, x.start AS start, x.end AS end))")
     return found.withColumn("spans", _ordered(F.concat("base", added))).drop("wider")
 
