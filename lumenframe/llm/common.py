@@ -6,10 +6,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lumenframe.operators.table import with_row_id  # noqa: F401
 from lumenframe.plans.shared import cut, dropped, stored  # noqa: F401
 
 #: Text bytes that a Python task works on at once.
@@ -31,6 +32,15 @@ def extended(schema: StructType, ddl: str) -> StructType:
     return StructType(schema.fields + StructType.fromDDL(ddl).fields)
 
 
+def with_number(df: DataFrame, id_col: str, name: str) -> DataFrame:
+    """``df`` with a long in the order of the ids: the id itself if it is a whole number, else its place; null is the least."""
+    if df.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long"):
+        return df.withColumn(name, F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63))))
+    places = with_row_id(df.select(F.col(f"`{id_col}`").alias("_of")).dropna().distinct(), ["_of"], "_place")
+    of = fresh(df.columns, "_of")
+    return df.join(places.withColumnsRenamed({"_of": of, "_place": name}), F.col(f"`{id_col}`") == F.col(of), "left").drop(of).withColumn(name, F.coalesce(name, F.lit(-(1 << 63))))
+
+
 def remainder(key: Column, n: int) -> Column:
     """crc32 of an id's text, modulo ``n``; a null id counts as the text ''."""
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(n))

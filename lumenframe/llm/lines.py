@@ -1,10 +1,14 @@
 """Removal of repeated line runs, with DataFrame functions only.
 
-A document is a sequence of line names, hashes of the lines. Prefix doubling names longer and longer runs of lines: the name of 2n
-lines is that of the two names of n lines that it is made of. Only places whose name occurs elsewhere go on to the
-next length, so that the rounds shrink with what still repeats. Suffixes that share a name of a run form an interval
-of the suffix array whose longest common prefix is that run at least. A run counts from ``min_chars`` characters on; each
-copy of one after the first is deleted.
+A document is a sequence of line numbers; all suffixes of all sequences are sorted by prefix doubling. A round orders the
+suffixes by their first 2n lines: the rank of those is the place of the pair of ranks of n lines each among all distinct pairs,
+which are sorted by ranges. Only suffixes whose rank another one shares go on, so that the rounds shrink with what still
+repeats. Suffixes of one rank are an interval of the suffix array in which the longest common prefix is 2n lines at least;
+any other length lies between two such ranks, that of the run's first n lines and that of its last n. For each place
+the interval of the shortest run of ``min_chars`` characters is looked up, from the place on and up to it: any repeated run is
+a union of these. Whoever is not the first of an interval is a later copy; what such copies cover together are
+the maximal runs to delete. Intervals are told apart by ranks, not by walking along the array, so that Spark can split those
+that hold a large part of all lines.
 """
 
 from __future__ import annotations
@@ -12,66 +16,72 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import stored
+from lumenframe.llm.common import dropped, stored, with_number, with_row_id
 
 MIN_CHARS = 50
 
-_NONE = -(1 << 63)
-
 
 def _name(*parts) -> list[Column]:
-    """Two 64-bit hashes as one name: at 128 bits different runs do not meet."""
+    """Two 64-bit hashes as one name of a line: at 128 bits different lines do not meet."""
     return [F.xxhash64(*parts), F.xxhash64(F.lit(1), *parts, F.lit(2))]
 
 
-def _repeated(rows: DataFrame) -> DataFrame:
-    """``rows`` (doc, pos, x, y) whose name (x, y) occurs more than once, with the first place that has it."""
-    at = F.col("doc").cast("decimal(38,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("pos")
-    rows = rows.withColumn("at", at.cast("decimal(38,0)"))
-    first = rows.groupBy("x", "y").agg(F.min("at").alias("first"), F.max("at").alias("last")).filter("first < last").drop("last")
-    return rows.join(stored(first), ["x", "y"])
+def _intervals(rows: DataFrame, *names: str) -> DataFrame:
+    """(names, first): what more than one place is called, and the first such place."""
+    return rows.groupBy(*names).agg(F.min("at").alias("first"), F.max("at").alias("last")).filter("first < last").drop("last")
+
+
+def _ranked(rows: DataFrame, *names: str) -> DataFrame:
+    """``rows`` whose name more than one place has, with rank, the name's place among all such names."""
+    ranks = with_row_id(_intervals(rows, *names).select(*names), names, "rank")
+    return rows.join(ranks, list(names))
 
 
 def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc, key, removed): the places, from 0 on and sorted, of the lines to delete; documents without any are left out.
 
-    doc is the id, null as the least long, key the hash of the text. A line is deleted if it lies in a run of consecutive
-    lines, ``min_chars`` characters or more in all, that also starts earlier: in a document of smaller id, or before
-    in the same document, be it overlapping. Rows of one id stand at the same places, so they do not delete each other.
+    doc is the number of the id, null as the least, key the hash of the text. A line is deleted if it lies in a run of
+    consecutive lines, ``min_chars`` characters or more in all, that also starts earlier: in a document of smaller id, or
+    before in the same document, be it overlapping. Rows of one id stand at the same places; equal rows are one.
     """
-    src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("doc"), F.xxhash64(text_col).alias("key"), F.split(text_col, "\n", -1).alias("l")).filter("l is not null")
-    lines = src.select("doc", "key", F.posexplode(F.transform("l", lambda x: F.struct(*[h.alias(n) for h, n in zip(_name(x), ("x", "y"), strict=True)], F.char_length(x).alias("n")))).alias("pos", "s")).select("doc", "key", "pos", "s.*")
-    lines = stored(lines)
+    src = with_number(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).filter("t is not null"), "id", "doc")
+    src = src.select("doc", F.xxhash64("t").alias("key"), F.split("t", "\n", -1).alias("l"))
+    lines = src.select("doc", "key", F.posexplode(F.transform("l", lambda x: F.struct(*[h.alias(n) for h, n in zip(_name(x), ("x", "y"), strict=True)], F.char_length(x).alias("n")))).alias("pos", "s"))
+    at = (F.col("doc").cast("decimal(38,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("pos")).cast("decimal(38,0)")
+    lines = stored(lines.select("doc", "key", "pos", at.alias("at"), "s.*"))
     # only repeated lines can be part of a repeated run
-    level = stored(_repeated(lines.select("doc", "key", "pos", "x", "y", "n")).dropDuplicates(["doc", "key", "pos"]))
+    level = stored(_ranked(lines, "x", "y").dropDuplicates(["doc", "key", "pos"]).select("doc", "key", "pos", "at", "n", "rank"))
+    dropped(lines)
     # of each stretch of neighbours: the shortest run from each line on, and the shortest up to it, that is long enough
-    marks = _windows(level, min_chars)
-    marks = stored(marks)
+    marks = stored(_windows(level, min_chars))
     top = marks.agg(F.max("len")).first()[0] or 0
-    hits = _later(marks.filter("len = 1").join(level.select("doc", "key", "pos", "x", "y"), ["doc", "key", "pos"]))
+    levels = [level]
+    hits = _later(marks.filter("len = 1").join(level.select("doc", "key", "pos", "at", "rank"), ["doc", "key", "pos"]), "rank")
     n = 1
-    level = level.select("doc", "key", "pos", "x", "y")
     while 2 * n <= top:
-        # runs of n to 2n - 1 lines have been named from two runs of n; now n doubles
-        after = level.select("doc", "key", (F.col("pos") - n).alias("pos"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-        pair = level.join(after, ["doc", "key", "pos"])
-        both = pair.select("doc", "key", "pos", *[h.alias(k) for h, k in zip(_name("x", "y", "x2", "y2"), ("x", "y"), strict=True)])
-        level = stored(_repeated(both).select("doc", "key", "pos", "x", "y"))
+        # runs of n to 2n - 1 lines have been looked up by two ranks of n; now n doubles
+        level = levels[-1].select("doc", "key", "pos", "at", "rank")
+        after = level.select("doc", "key", (F.col("pos") - n).alias("pos"), F.col("rank").alias("r2"))
+        pair = level.withColumnRenamed("rank", "r1").join(after, ["doc", "key", "pos"])
+        level = stored(_ranked(pair, "r1", "r2").select("doc", "key", "pos", "at", "rank"))
+        levels.append(level)
         n *= 2
         here = marks.filter((F.col("len") >= n) & (F.col("len") < 2 * n))
-        tail = level.select("doc", "key", F.col("pos").alias("p2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+        tail = level.select("doc", "key", F.col("pos").alias("p2"), F.col("rank").alias("r2"))
         named = here.join(level, ["doc", "key", "pos"]).withColumn("p2", F.col("pos") + F.col("len") - n).join(tail, ["doc", "key", "p2"])
-        hits = hits.unionByName(_later(named.select("doc", "key", "pos", "len", *[h.alias(k) for h, k in zip(_name("len", "x", "y", "x2", "y2"), ("x", "y"), strict=True)])))
+        hits = hits.unionByName(_later(named, "len", "rank", "r2"))
     # runs over many empty lines overlap each other: of each only the lines beyond those that start before it
     ends = hits.groupBy("doc", "key", "pos").agg(F.max(F.col("pos") + F.col("len") - 1).alias("end"))
     before = Window.partitionBy("doc", "key").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.withColumn("from", F.greatest("pos", F.max("end").over(before) + 1)).filter("from <= end")
-    return ends.select("doc", "key", F.explode(F.sequence("from", "end")).alias("pos")).groupBy("doc", "key").agg(F.array_sort(F.collect_list("pos")).alias("removed"))
+    found = stored(ends.select("doc", "key", F.explode(F.sequence("from", "end")).alias("pos")).groupBy("doc", "key").agg(F.array_sort(F.collect_list("pos")).alias("removed")))
+    dropped(marks, *levels)
+    return found
 
 
-def _later(runs: DataFrame) -> DataFrame:
-    """The runs (doc, key, pos, len, x, y) of whose name there is one that starts earlier."""
-    return _repeated(runs).filter("first < at").select("doc", "key", "pos", "len")
+def _later(runs: DataFrame, *names: str) -> DataFrame:
+    """The runs (doc, key, pos, at, len) that are not the first in their interval."""
+    return runs.join(_intervals(runs, *names), list(names)).filter("first < at").select("doc", "key", "pos", "len")
 
 
 def _windows(level: DataFrame, min_chars: int) -> DataFrame:
@@ -104,8 +114,9 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     kept = docs.drop("n_lines", "n_removed")
     given = [c for c in kept.columns if c != text_col]
-    found = stored(repeated_lines(docs, id_col=id_col, text_col=text_col, min_chars=min_chars))
-    src = kept.select(F.struct(*[F.col(f"`{c}`") for c in given]).alias("given"), F.col(f"`{text_col}`").alias("t"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NONE)).alias("doc"), F.xxhash64(F.col(f"`{text_col}`")).alias("key"))
+    found = repeated_lines(docs, id_col=id_col, text_col=text_col, min_chars=min_chars)
+    src = kept.select(F.struct(*[F.col(f"`{c}`") for c in given]).alias("given"), F.col(f"`{text_col}`").alias("t"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("key"))
+    src = with_number(src, "id", "doc")
     src = src.join(found.hint("shuffle_hash"), ["doc", "key"], "left")
     lines = F.split("t", "\n", -1)
     src = src.withColumn("l", F.when(F.col("removed").isNotNull(), lines))
