@@ -25,6 +25,8 @@ from lumenframe.llm.common import flat_bytes, lower_ascii, mix64, slices, space_
 BUCKET_BYTES, SHARD_BYTES = 7 << 20, 10 << 20
 #: Text bytes whose bigrams a task adds up before it sends them.
 COUNT_BYTES = 10 << 20
+#: Entries that are unpacked at once into a mapped file.
+MAP_ENTRIES = 1 << 18
 #: Hash bits that are kept of a word or bigram within its shard; a lookup errs once in 2**40 over a shard's entries.
 WIDTH = 5
 START, END = np.uint64(0x51ED270B2C9E3A17), np.uint64(0xC3A5C85C97CB3127)
@@ -220,21 +222,47 @@ def train(docs: DataFrame, *, text_col: str = "text") -> Model:
 
     counted = stored(src.mapInArrow(count, _PART).groupBy("shard").applyInArrow(add, _PART))
     words = stored(counted.filter("kind >= 3").groupBy("shard").applyInArrow(gather, _PART))
-    high = np.sum([np.frombuffer(r["c"], np.int64) for r in counted.filter("kind = 0").select("c").collect()] or [np.zeros(4, np.int64)], axis=0)
-    t = np.sum([np.frombuffer(r["e"], np.int64) for r in words.select("e").collect()] or [np.zeros(8, np.int64)], axis=0)
+    high, t = _totals(counted.filter("kind = 0"), "c", 4), _totals(words, "e", 8)
     low = discounts(t[3:7])
     rest = low[0] * t[3] + low[1] * t[4] + low[2] * t[7]
     return Model(counted.filter("kind = 0").unionByName(words), shards, int(t[0]), int(t[1]), int(t[2]), discounts(high), low, float(rest))
 
 
-def _mapped(x: np.ndarray) -> np.ndarray:
-    """The same array in a file of this worker that is mapped into memory, and gone once it is not used."""
-    if not len(x):
-        return x
+def _mapped(raw: bytes, dtype: type, size: int, ordered: bool = False) -> np.ndarray:
+    """A stored array, unpacked piece by piece into a file of this worker and mapped into memory; the file goes with it.
+
+    ordered: what is stored are the steps between sorted numbers.
+    """
+    x = np.frombuffer(raw, np.uint8).reshape(size, -1)
+    if not x.shape[1]:
+        return np.zeros(0, dtype)
+    last = np.uint64(0)
     with tempfile.TemporaryFile() as f:
-        x.tofile(f)
+        for k in range(0, x.shape[1], MAP_ENTRIES):
+            piece = _unpack(x[:, k : k + MAP_ENTRIES].tobytes(), size)
+            if ordered:
+                piece = np.cumsum(piece, dtype=np.uint64) + last
+                last = piece[-1]
+            piece.astype(dtype).tofile(f)
         f.flush()
-        return np.memmap(f, dtype=x.dtype, mode="r")
+        return np.memmap(f, dtype=dtype, mode="r")
+
+
+def _totals(parts: DataFrame, column: str, width: int) -> np.ndarray:
+    """The sum of the shards' arrays: each task adds up those that it reads."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(width, np.int64)
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                sums += np.frombuffer(x, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(range(width), pa.int32()), pa.array(sums)], names=["k", "n"])
+
+    rows = parts.select(column).mapInArrow(add, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(width, np.int64)
+    for r in rows:
+        out[r["k"]] = r["n"]
+    return out
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -276,9 +304,9 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
         have = right.num_rows > 0
         kind = left.column("kind")[0].as_py() if left.num_rows else 0
         a, b, c, d = (right.column(x)[0].as_py() if have else b"" for x in "abcd")
-        keys = _mapped(_unpack_sorted(a) if kind == 0 else np.frombuffer(a, np.uint64))
-        counts = _mapped(_unpack(b, 4).astype(np.uint32))
-        more = [_mapped(_unpack(c, 4).astype(np.uint32)), *_mapped(_unpack(d, 4).astype(np.uint32)).reshape(3, -1)] if kind else []
+        keys = _mapped(a, np.uint64, WIDTH, True) if kind == 0 else np.frombuffer(a, np.uint64)
+        counts = _mapped(b, np.uint32, 4)
+        more = [_mapped(c, np.uint32, 4), *_mapped(d, np.uint32, 4).reshape(3, -1)] if kind else []
         for shard, bucket, asked in zip(left.column("shard").to_pylist(), left.column("bucket").to_pylist(), left.column("a").to_pylist(), strict=True):
             q = np.frombuffer(asked, np.uint64) if kind else _unpack_sorted(asked)
             at = np.minimum(np.searchsorted(keys, q), max(0, len(keys) - 1))
