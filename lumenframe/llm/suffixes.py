@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import _SPREAD, _powers, flat_bytes, mix64, slices, stored
+from lumenframe.llm.common import _SPREAD, _powers, dropped, flat_bytes, mix64, slices, stored, with_number
 
 WINDOW = 50
 GRAM = 24
@@ -177,30 +177,32 @@ def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     null id is smaller than any; rows of one id do not remove each other's bytes. Repeated rows get equal results.
     """
     spark = docs.sparkSession
-    src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.col(id_col).isNull().alias("no_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    src = with_number(docs.select(F.col(id_col).alias("own"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "own", "id")
+    # a row is known by its id and text: rows of one id are cut each by its own spans
+    src = src.withColumn("row", F.xxhash64("id", F.lit("row"), "text"))
     total = src.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(16, total // BUCKET_BYTES)
     shards = max(16, int(total * 2 / (window - gram + 2)) // SHARD_ANCHORS)
-    bucket = F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
+    bucket = F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int")
     src = src.withColumn("bucket", bucket)
 
     # 1: anchors of all texts, dealt by hash
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, _, _, row, _, h, _ in _rows(batch, "text", window, gram):
-                ids, sums, dealt = (part.column(c).to_numpy() for c in ("id", "tid", "bucket"))
+                ids, keys, sums, dealt = (part.column(c).to_numpy() for c in ("id", "row", "tid", "bucket"))
                 order, cut = _split((h % np.uint64(shards)).astype(np.int64), shards)
                 out = []
                 for s in range(shards):
                     at = order[cut[s] : cut[s + 1]]
                     if len(at):
                         rows, count = np.unique(row[at], return_counts=True)
-                        out.append((s, np.concatenate((ids[rows], sums[rows], dealt[rows].astype(np.int64), count)).tobytes(), h[at].view(np.uint8).reshape(-1, 8)[:, :6].tobytes()))
+                        out.append((s, np.concatenate((ids[rows], keys[rows], sums[rows], dealt[rows].astype(np.int64), count)).tobytes(), h[at].view(np.uint8).reshape(-1, 8)[:, :6].tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["shard", "rows", "hashes"])
 
     def repeated(table: pa.Table) -> pa.Table:
-        heads = [np.frombuffer(x, np.int64).reshape(4, -1) for x in table.column("rows").to_pylist()]
-        ids, sums, dealt, count = (np.concatenate([h[k] for h in heads]) for k in range(4))
+        heads = [np.frombuffer(x, np.int64).reshape(5, -1) for x in table.column("rows").to_pylist()]
+        ids, keys, sums, dealt, count = (np.concatenate([h[k] for h in heads]) for k in range(5))
         raw = np.frombuffer(b"".join(table.column("hashes").to_pylist()), np.uint8).reshape(-1, 6)
         h = np.zeros((len(raw), 8), dtype=np.uint8)
         h[:, :6] = raw
@@ -226,7 +228,7 @@ def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         for b in np.flatnonzero(np.diff(cut)):
             x = at[np.sort(o[cut[b] : cut[b + 1]])]
             rows, n = np.unique(row[x], return_counts=True)
-            out.append((int(b), int(table.column("shard")[0].as_py()), np.concatenate((ids[rows], n)).tobytes(), (x - begin[row[x]]).astype(np.uint32).tobytes()))
+            out.append((int(b), int(table.column("shard")[0].as_py()), np.concatenate((keys[rows], n)).tobytes(), (x - begin[row[x]]).astype(np.uint32).tobytes()))
         return pa.table([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "shard", "rows", "places"])
 
     found = stored(src.withColumn("tid", F.xxhash64("text")).mapInArrow(anchors, "shard int, rows binary, hashes binary").groupBy("shard").applyInArrow(repeated, "bucket int, shard int, rows binary, places binary"))
@@ -237,22 +239,23 @@ def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     def snippets(key, left: pa.Table, right: pa.Table) -> pa.Table:
         wanted: dict[int, list[tuple[int, np.ndarray]]] = {}
         for shard, rows, places in zip(right.column("shard").to_pylist(), right.column("rows").to_pylist(), right.column("places").to_pylist(), strict=True):
-            ids, n = np.frombuffer(rows, np.int64).reshape(2, -1)
-            for i, p in zip(ids.tolist(), np.split(np.frombuffer(places, np.uint32), np.cumsum(n)[:-1]), strict=True):
+            keys, n = np.frombuffer(rows, np.int64).reshape(2, -1)
+            for i, p in zip(keys.tolist(), np.split(np.frombuffer(places, np.uint32), np.cumsum(n)[:-1]), strict=True):
                 wanted.setdefault(i, []).append((shard, p))
         out: list[tuple] = []
-        keep = [i in wanted for i in left.column("id").to_pylist()]
+        keep = [i in wanted for i in left.column("row").to_pylist()]
         for batch in left.filter(pa.array(keep, pa.bool_())).combine_chunks().to_batches():
             for part, data, off, row, place, h, size in _rows(batch, "text", window, gram):
-                ids = part.column("id").to_numpy()
+                ids, keys = part.column("id").to_numpy(), part.column("row").to_numpy()
                 shard = (h % np.uint64(shards)).astype(np.int64)
                 take = np.zeros(len(h), dtype=bool)
                 cut = np.searchsorted(row, np.arange(part.num_rows + 1))
                 for r in np.flatnonzero(np.diff(cut)):
                     a, b = cut[r], cut[r + 1]
-                    o, c = _split(shard[a:b], shards)
-                    for s, p in wanted[int(ids[r])]:
-                        mine = o[c[s] : c[s + 1]]
+                    o = np.argsort(shard[a:b], kind="stable")
+                    own = shard[a:b][o]
+                    for s, p in wanted[int(keys[r])]:
+                        mine = o[np.searchsorted(own, s) : np.searchsorted(own, s + 1)]
                         take[a + mine[p[p < len(mine)]]] = True
                 at = np.flatnonzero(take)
                 if not len(at):
@@ -261,14 +264,14 @@ def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 for s in np.flatnonzero(np.diff(c)):
                     x = at[o[c[s] : c[s + 1]]]
                     rows, n = np.unique(row[x], return_counts=True)
-                    out.append((int(s), np.concatenate((ids[rows], n)).tobytes(), (place[x] - off[row[x]]).astype(np.uint32).tobytes(), size[x].astype(np.uint8).tobytes(), data[_ragged(place[x], size[x] + window - 1)].tobytes()))
+                    out.append((int(s), np.concatenate((ids[rows], keys[rows], n)).tobytes(), (place[x] - off[row[x]]).astype(np.uint32).tobytes(), size[x].astype(np.uint8).tobytes(), data[_ragged(place[x], size[x] + window - 1)].tobytes()))
         return pa.table([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()))], names=["piece", "rows", "places", "sizes", "bytes"])
 
     # 3 and 4: suffix sorting of a shard's distinct snippets, and the windows to remove
     def sort(table: pa.Table) -> pa.Table:
-        heads = [np.frombuffer(x, np.int64).reshape(2, -1) for x in table.column("rows").to_pylist()]
-        ids, n = (np.concatenate([h[k] for h in heads]) for k in range(2))
-        doc = np.repeat(ids, n)
+        heads = [np.frombuffer(x, np.int64).reshape(3, -1) for x in table.column("rows").to_pylist()]
+        ids, keys, n = (np.concatenate([h[k] for h in heads]) for k in range(3))
+        doc, key = np.repeat(ids, n), np.repeat(keys, n)
         place = np.frombuffer(b"".join(table.column("places").to_pylist()), np.uint32)
         size = np.frombuffer(b"".join(table.column("sizes").to_pylist()), np.uint8).astype(np.int64)
         text = b"".join(table.column("bytes").to_pylist())
@@ -300,22 +303,23 @@ def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         new[1:] = (occurrence[1:] != occurrence[:-1]) | (at[1:] != at[:-1] + 1)
         start = np.flatnonzero(new)
         count = np.diff(np.concatenate((start, [len(at)])))
-        d, s, e = doc[occurrence[start]], at[start], at[start] + count
-        return pa.table({"id": pa.array(d), "start": pa.array(s), "end": pa.array(e + window - 1)})
+        d, s, e = key[occurrence[start]], at[start], at[start] + count
+        return pa.table({"row": pa.array(d), "start": pa.array(s), "end": pa.array(e + window - 1)})
 
-    deal = F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("bucket")
-    cuts = src.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(snippets, "piece int, rows binary, places binary, sizes binary, bytes binary").groupBy("piece").applyInArrow(sort, "id long, start long, end long")
+    deal = F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int").alias("bucket")
+    cuts = src.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(snippets, "piece int, rows binary, places binary, sizes binary, bytes binary").groupBy("piece").applyInArrow(sort, "row long, start long, end long")
     # copies of a text as long as a window go whole: the first of them has all its windows
-    sums = stored(src.select("id", F.md5("text").alias("sum"), F.octet_length("text").alias("n")).filter(F.col("n") >= window))
+    sums = stored(src.select("id", "row", F.md5("text").alias("sum"), F.octet_length("text").alias("n")).filter(F.col("n") >= window))
     firsts = sums.groupBy("sum").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
-    copies = sums.join(firsts, "sum").filter("id > first").select("id", F.lit(0).cast("long").alias("start"), F.col("n").cast("long").alias("end"))
-    spans = stored(cuts.unionByName(copies).select(deal, "id", "start", "end"))
+    copies = sums.join(firsts, "sum").filter("id > first").select("row", F.lit(0).cast("long").alias("start"), F.col("n").cast("long").alias("end"))
+    spans = stored(cuts.unionByName(copies).select(deal, "row", "start", "end"))
+    dropped(found, sums)
 
     def finish(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, start, end = (right.column(c).to_numpy() for c in ("id", "start", "end"))
+        ids, start, end = (right.column(c).to_numpy() for c in ("row", "start", "end"))
         order = np.lexsort((start, ids))
         ids, start, end = ids[order], start[order], end[order]
-        own = left.column("id").to_numpy()
+        own = left.column("row").to_numpy()
         a, b = np.searchsorted(ids, own, side="left"), np.searchsorted(ids, own, side="right")
         n_bytes, n_removed, spans_, kept = [], [], [], []
         for k, t in enumerate(left.column("text")):
@@ -329,7 +333,7 @@ def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             spans_.append([{"start": int(i), "end": int(j)} for i, j in zip(s, e, strict=True)])
             n_bytes.append(len(t))
             n_removed.append(int((e - s).sum()))
-        return pa.table([left.column("id"), left.column("no_id"), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array([len(x) for x in spans_], pa.int64()), pa.array(spans_, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array(kept, pa.binary())], names=["id", "no_id", "n_bytes", "n_removed", "n_spans", "spans", "kept_sha256", "kept"])
+        return pa.table([left.column("own"), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array([len(x) for x in spans_], pa.int64()), pa.array(spans_, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array(kept, pa.binary())], names=["own", "n_bytes", "n_removed", "n_spans", "spans", "kept_sha256", "kept"])
 
-    out = src.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(finish, "id long, no_id boolean, n_bytes long, n_removed long, n_spans long, spans array<struct<start:bigint,end:bigint>>, kept_sha256 string, kept binary")
-    return out.select(F.when(~F.col("no_id"), F.col("id")).alias(id_col), "n_bytes", "n_removed", "n_spans", "spans", "kept_sha256", "kept")
+    out = src.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(finish, f"own {dict(docs.dtypes)[id_col]}, n_bytes long, n_removed long, n_spans long, spans array<struct<start:bigint,end:bigint>>, kept_sha256 string, kept binary")
+    return out.select(F.col("own").alias(id_col), "n_bytes", "n_removed", "n_spans", "spans", "kept_sha256", "kept")

@@ -167,6 +167,20 @@ def test_op3_blank_lines(spark):
     assert got(out, "doc_id", "n_lines", "n_removed", "kept_sha256") == want(line_results(given))
 
 
+def test_op3_hot_line(spark):
+    """A line in a third of all rows, rows of one id with different texts, long repeated runs, ids that are texts."""
+    rng = np.random.default_rng(13)
+    word = lambda n: "".join(chr(97 + x) for x in rng.integers(0, 26, n))
+    hot, run = word(60), [word(int(n)) for n in rng.integers(1, 30, 150)]
+    given = [(k, "\n".join(([hot] if k % 3 == 0 else []) + [word(20), "", word(5)] + (run[k % 40 : k % 40 + 3 * k] if k % 7 == 0 else []) + [word(9)])) for k in range(120)]
+    given += [(5, "\n".join([word(8), hot, *run])), (5, "\n".join([word(8), hot, *run])), (6, "\n".join([hot, hot, word(3), *run[10:], *run[:20]])), (None, hot), (None, None)]
+    want_rows = want(line_results(given))
+    for kind in ("long", "string"):
+        rows = given if kind == "long" else [(None if i is None else f"{i:05d}", t) for i, t in given]
+        out = lines.dedup_lines(spark.createDataFrame(rows, f"doc_id {kind}, text string")).withColumn("kept_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
+        assert got(out.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id", "n_lines", "n_removed", "kept_sha256") == want_rows
+
+
 def test_op4(spark):
     e = pq.read_table(f"{SF}/embeddings.parquet").to_pydict()
     vectors = list(zip(e["vec_id"], e["embedding"], e["label"], strict=True))
@@ -349,6 +363,20 @@ def test_op8_long_runs(spark):
     assert got(out, *columns) == want((i, *x) for (i, _), x in zip(given, brute.suffix_dedup(given), strict=True))
 
 
+def test_op8_rows_of_one_id(spark):
+    """Rows of one id are cut each by its own spans; a passage that very many rows hold; ids that are texts."""
+    rng = np.random.default_rng(18)
+    word = lambda n: "".join(chr(97 + x) for x in rng.integers(0, 26, n))
+    a, b, c, licence = word(300), word(200), word(400), word(120)
+    given = [(1, a), (2, a[:150] + b), (2, c), (2, c), (3, c[100:300])] + [(k, word(60) + licence + word(60)) for k in range(10, 700)]
+    columns = "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"
+    out = suffixes.removals(spark.createDataFrame(given, "doc_id long, text string"))
+    assert got(out, *columns) == want((i, *x) for (i, _), x in zip(given, brute.suffix_dedup(given), strict=True))
+    named = [(f"n{i:04d}", t) for i, t in given[:40]]
+    out = suffixes.removals(spark.createDataFrame(named, "doc_id string, text string"))
+    assert got(out, *columns) == want((i, *x) for (i, _), x in zip(named, brute.suffix_dedup([(i, t) for i, t in given[:40]]), strict=True))
+
+
 def test_op9(spark, rows, odd, odd_rows, none):
     def check(out, given):
         for r, (i, t) in zip(sorted(out.collect(), key=lambda r: (brute.order(r["doc_id"]), r["was"] or "")), sorted(given, key=lambda x: (brute.order(x[0]), x[1] or "")), strict=True):
@@ -365,6 +393,55 @@ def test_op9(spark, rows, odd, odd_rows, none):
     assert got(found.agg(F.sum("n_email"), F.sum("n_ip"), F.sum("n_card"), F.sum("n_phone")), 0, 1, 2, 3) == [tuple(sum(k == x for _, t in rows for x, _, _ in brute.private(t)) for k in ("email", "ip", "card", "phone"))]
 
 
+def test_op9_added_spans(spark):
+    """Spans beyond the base: nine tenths of the planted ones are accepted, and nine tenths of those accepted are planted."""
+    rng = np.random.default_rng(9)
+    pick = lambda letters, n: "".join(rng.choice(list(letters), n))
+    low, up, num = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "0123456789"
+
+    def card():
+        body = "4" + pick(num, 14)
+        whole = next(body + x for x in num if brute.luhn(body + x))
+        return f"{whole[:4]} {whole[4:8]} {whole[8:12]} {whole[12:]}"
+
+    private = [
+        lambda: ("email", f"{pick(low, 6)} (at) {pick(low, 7)} (dot) com"),
+        lambda: ("email", f"{pick(low, 5)}.{pick(low, 4)} [at] {pick(low, 7)}.org"),
+        lambda: ("ip", "2001:db8:" + ":".join(pick("0123456789abcdef", 4) for _ in range(5)) + ":8a2e"),
+        lambda: ("secret", "AKIA" + pick(up, 15) + "7"),
+        lambda: ("secret", "7" + pick("0123456789abcdef", 30) + "f"),
+        lambda: ("phone", f"({rng.integers(200, 999)}) 555-{pick(num, 4)}"),
+        lambda: ("card", card()),
+    ]
+    harmless = [
+        lambda: f"at {rng.integers(10, 24)}:{rng.integers(10, 60)}:{rng.integers(10, 60)} sharp",
+        lambda: "00:1A:2B:3C:4D:" + pick("0123456789ABCDEF", 2),
+        lambda: "SECTION2" + pick("ABCDEFGHIJKLM", 10),
+        lambda: "look at page.Then",
+        lambda: "4" + pick(num, 3) + " " + " ".join(pick(num, 4) for _ in range(2)) + " 1",
+        lambda: "p" + pick("aeiou", 3) + "12345678901234567",
+    ]
+    given, planted = [], set()
+    for k in range(400):
+        text = f"Some words before number {k} and "
+        if k % 2:
+            kind, span = private[k // 2 % len(private)]()
+            # cards follow other digits, which keeps them out of the base
+            text += "12 " if kind == "card" else ""
+            planted.add((k, kind, len(text), len(text) + len(span)))
+            text += span
+        else:
+            text += harmless[k // 2 % len(harmless)]()
+        given.append((k, text + " with more words after it."))
+    rows = pii.find_pii(spark.createDataFrame(given, "doc_id long, text string")).collect()
+    base = {(r["doc_id"], x["kind"], x["start"], x["end"]) for r in rows for x in r["base"]}
+    added = {(r["doc_id"], x["kind"], x["start"], x["end"]) for r in rows for x in r["spans"]} - base
+    planted -= base
+    print("recall", len(added & planted) / len(planted), "precision", len(added & planted) / len(added), sorted(added - planted)[:5], sorted(planted - added)[:5])
+    assert len(added & planted) >= 0.9 * len(planted) and len(added & planted) >= 0.9 * len(added)
+    assert all(brute.luhn(given[k][1][a:b]) for k, kind, a, b in added if kind == "card")
+
+
 def test_op10(spark, odd, none):
     sf = "/root/testdata/sf0.01"
     found = queries.op10_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id").toPandas()
