@@ -56,7 +56,8 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     marks = stored(_windows(level, min_chars))
     top = marks.agg(F.max("len")).first()[0] or 0
     levels = [level]
-    hits = _later(marks.filter("len = 1").join(level.select("doc", "key", "pos", "at", "rank"), ["doc", "key", "pos"]), "rank")
+    hits, intervals = _later(marks.filter("len = 1").join(level.select("doc", "key", "pos", "at", "rank"), ["doc", "key", "pos"]), "rank")
+    temporary = [marks, intervals]
     n = 1
     while 2 * n <= top:
         # runs of n to 2n - 1 lines have been looked up by two ranks of n; now n doubles
@@ -69,19 +70,22 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         here = marks.filter((F.col("len") >= n) & (F.col("len") < 2 * n))
         tail = level.select("doc", "key", F.col("pos").alias("p2"), F.col("rank").alias("r2"))
         named = here.join(level, ["doc", "key", "pos"]).withColumn("p2", F.col("pos") + F.col("len") - n).join(tail, ["doc", "key", "p2"])
-        hits = hits.unionByName(_later(named, "len", "rank", "r2"))
+        more, intervals = _later(named, "len", "rank", "r2")
+        hits = hits.unionByName(more)
+        temporary.append(intervals)
     # runs over many empty lines overlap each other: of each only the lines beyond those that start before it
     ends = hits.groupBy("doc", "key", "pos").agg(F.max(F.col("pos") + F.col("len") - 1).alias("end"))
     before = Window.partitionBy("doc", "key").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.withColumn("from", F.greatest("pos", F.max("end").over(before) + 1)).filter("from <= end")
     found = stored(ends.select("doc", "key", F.explode(F.sequence("from", "end")).alias("pos")).groupBy("doc", "key").agg(F.array_sort(F.collect_list("pos")).alias("removed")))
-    dropped(marks, *levels)
+    dropped(*temporary, *levels)
     return found
 
 
-def _later(runs: DataFrame, *names: str) -> DataFrame:
-    """The runs (doc, key, pos, at, len) that are not the first in their interval."""
-    return runs.join(_intervals(runs, *names), list(names)).filter("first < at").select("doc", "key", "pos", "len")
+def _later(runs: DataFrame, *names: str) -> tuple[DataFrame, DataFrame]:
+    """The runs (doc, key, pos, len) that are not the first in their interval, and the stored intervals, which hold no rows of hot ones, so that Spark may split those of the runs."""
+    intervals = stored(_intervals(runs, *names))
+    return runs.join(intervals, list(names)).filter("first < at").select("doc", "key", "pos", "len"), intervals
 
 
 def _windows(level: DataFrame, min_chars: int) -> DataFrame:
