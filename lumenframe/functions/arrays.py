@@ -117,3 +117,32 @@ def first_below(a: Column, threshold: float) -> Column:
 def element_at_fraction(a: Column, fraction: float) -> Column:
     """Element floor(n * fraction), counted from 0, of the sorted array."""
     return F.get(F.sort_array(a), F.floor(F.size(a) * F.lit(fraction)).cast("int"))
+
+
+def take(a: Column, condition) -> Column:
+    """values and indices (from 0) of the elements for which ``condition`` holds, in their order."""
+    return _let(indices_of(a, condition), lambda at: F.struct(F.transform(at, lambda i: F.get(a, i)).alias("values"), at.alias("indices")))
+
+
+def take_below(a: Column, threshold: float) -> Column:
+    """What lies strictly below; NaN never does."""
+    return take(a, lambda x: ~F.isnan(x) & (x < threshold))
+
+
+def take_above(a: Column, threshold: float) -> Column:
+    """What lies strictly above; NaN never does."""
+    return take(a, lambda x: ~F.isnan(x) & (x > threshold))
+
+
+def sliding_correlation(a: Column, b: Column, lengths: Column, start: int = 0) -> Column:
+    """For each place from ``start`` on the correlation of both arrays in a window about it, of its own length; NaN before.
+
+    A window reaches half its length to both sides, the place at its end not included, and less at the ends of the array.
+    """
+    half = lambda i: F.floor(F.get(lengths, i) / 2).cast("int")
+
+    def one(i: Column) -> Column:
+        low, high = F.greatest(F.lit(0), i - half(i)), F.least(F.size(a), i + half(i))
+        return F.when(i >= start, cross_correlation(F.slice(a, low + 1, high - low), F.slice(b, low + 1, high - low))).otherwise(F.lit(float("nan")))
+
+    return F.transform(F.sequence(F.lit(0), F.size(a) - 1), one)

@@ -90,3 +90,22 @@ def fsc_shells(voxels: DataFrame, keys: list[str]) -> DataFrame:
     one, two = ((F.col(f"re{k}") * F.col(f"re{k}") + F.col(f"im{k}") * F.col(f"im{k}")) * F.col("_s.w") for k in (1, 2))
     sums = parts.groupBy(*keys, F.col("_s.shell").alias("shell")).agg(F.sum(both).alias("_b"), F.sum(one).alias("_1"), F.sum(two).alias("_2"))
     return sums.select(*keys, "shell", (F.col("_b") / F.greatest(F.lit(1e-6), F.sqrt(F.col("_1") * F.col("_2")))).alias("fsc"))
+
+
+def correlation_sums(rows: DataFrame, keys: list[str], a: str, b: str, weight: str | None = None) -> DataFrame:
+    """(keys, ab, aa, bb, n): sums of products of each group; the keys say whether it is by item, by frame or by grid cell."""
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    x, y = F.col(a).cast("double"), F.col(b).cast("double")
+    return rows.groupBy(*keys).agg(F.sum(x * y * w).alias("ab"), F.sum(x * x * w).alias("aa"), F.sum(y * y * w).alias("bb"), F.count("*").alias("n"))
+
+
+def grid_cell(value: Column, low: float | Column, high: float | Column, cells: int) -> Column:
+    """The cell, from 0, of equally wide ones between the bounds; what lies outside goes to the end cells."""
+    at = F.floor((value - low) / (high - low) * cells)
+    return F.least(F.greatest(at, F.lit(0)), F.lit(cells - 1)).cast("int")
+
+
+def mean_curve(items: DataFrame, curve: str, keys: list[str] | None = None) -> DataFrame:
+    """(keys, i, value, n): element by element the mean of the items' curves; shorter curves leave the rest to the others."""
+    rows = items.select(*(keys or []), F.posexplode(curve).alias("i", "_v"))
+    return rows.groupBy(*(keys or []), "i").agg(F.avg("_v").alias("value"), F.count("_v").alias("n"))

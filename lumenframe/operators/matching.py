@@ -40,6 +40,13 @@ def ambiguity(rows: DataFrame, sources: DataFrame, name: str) -> DataFrame:
     return found.withColumn("state", F.when(F.col("n") == 0, "missing").when(F.col("n") == 1, "unique").otherwise("ambiguous"))
 
 
+def reverse_lookup(rows: DataFrame, sources: DataFrame, name: str, value: str) -> DataFrame:
+    """``rows`` whose name is that of a source, with its value; a name that two sources share is an error once it is looked up."""
+    one = sources.groupBy(name).agg(F.min(value).alias(value), F.count("*").alias("_n"))
+    shared = F.raise_error(F.concat(F.lit("two sources are named "), F.col(name).cast("string")))
+    return rows.join(one.withColumn(value, F.when(F.col("_n") > 1, shared).otherwise(F.col(value))).drop("_n"), name)
+
+
 def unmatched_weight(rows: DataFrame, sources: DataFrame, key: str) -> DataFrame:
     """(key, n): how many rows have each key that no source has."""
     return rows.groupBy(key).agg(F.count("*").alias("n")).join(sources.select(key).distinct(), key, "left_anti")

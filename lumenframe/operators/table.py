@@ -116,6 +116,12 @@ def fan_out(df: DataFrame, groups: int, path: Column, order: Iterable[str], name
     return out.withColumn(name, F.format_string("%07d@%s", (F.col("group") * F.col("_total") + F.col("_row") + 1).cast("long"), path)).drop("_row", "_total")
 
 
+def tilt_fan_out(df: DataFrame, tilts: int | Column, name: str = "tilt") -> DataFrame:
+    """Every row once for each tilt, from 0 on, with what is constant over them repeated."""
+    n = F.lit(tilts) if isinstance(tilts, int) else tilts
+    return df.withColumn(name, F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))))
+
+
 def common_union(*tables: DataFrame) -> DataFrame:
     """All rows of all tables, of the columns that all have, in the first one's order."""
     names = [c for c in tables[0].columns if all(c in t.columns for t in tables)]

@@ -365,26 +365,27 @@ def nearest_bin(spark, sf_dir):
 
 def _points(spark, sf_dir):
     at = [F.get("embedding", F.lit(k)).cast("double").alias(n) for k, n in enumerate("xyz")]
-    return _t(spark, sf_dir, "embeddings").select("vec_id", "label", *at)
+    # an image holds 64 points: what is matched or clustered at once stays small whatever the table
+    return _t(spark, sf_dir, "embeddings").select("vec_id", "label", F.expr("vec_id div 64").alias("image"), *at)
 
 
 @_query()
 def greedy_match(spark, sf_dir):
     p = _points(spark, sf_dir)
-    return matching.match_particles(p.filter("vec_id % 2 = 0"), p.filter("vec_id % 2 = 1"), key="label", id_col="vec_id", axes="xyz")
+    return matching.match_particles(p.filter("vec_id % 2 = 0"), p.filter("vec_id % 2 = 1"), key="image", id_col="vec_id", axes="xyz")
 
 
 @_query()
 def optimal_match(spark, sf_dir):
     p = _points(spark, sf_dir)
-    return matching.match_particles(p.filter("vec_id % 2 = 0"), p.filter("vec_id % 2 = 1"), key="label", id_col="vec_id", axes="xyz", how="optimal")
+    return matching.match_particles(p.filter("vec_id % 2 = 0"), p.filter("vec_id % 2 = 1"), key="image", id_col="vec_id", axes="xyz", how="optimal")
 
 
 @_query()
 def approx_set_ops(spark, sf_dir):
     p = _points(spark, sf_dir)
     a, b = p.filter("vec_id % 2 = 0"), p.filter("vec_id % 2 = 1")
-    pairs = matching.match_particles(a, b, key="label", id_col="vec_id", axes="xyz", how="optimal")
+    pairs = matching.match_particles(a, b, key="image", id_col="vec_id", axes="xyz", how="optimal")
     return matching.approximate_sets(a, b, pairs, id_col="vec_id", tolerance=0.1).select("vec_id", "origin")
 
 
@@ -396,7 +397,7 @@ def pairwise_suppression(spark, sf_dir):
 
 @_query()
 def density_peaks(spark, sf_dir):
-    return matching.density_peaks(_points(spark, sf_dir), key="label", id_col="vec_id", axes="xyz", cutoff=0.1, least_density=3, least_distance=0.15)
+    return matching.density_peaks(_points(spark, sf_dir), key="image", id_col="vec_id", axes="xyz", cutoff=0.1, least_density=3, least_distance=0.15)
 
 
 @_query("SELECT o_orderkey, k, round(0.07 * cos(a) - sqrt(1 - 0.07 * 0.07) * sin(a), 5) AS value FROM (SELECT o_orderkey, i AS k, pi() * l * -(o_totalprice / 1e5 * 1e4) * (i * 0.02) * (i * 0.02) + pi() / 2 * 2.7e7 * l * l * l * (i * 0.02) * (i * 0.02) * (i * 0.02) * (i * 0.02) AS a FROM orders, range(1, 11) r(i), (SELECT 12.2643247 / sqrt(300000.0 * (1 + 0.978466e-6 * 300000.0)) AS l))")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-_RIPE = "path string, size long, seen_at timestamp"
+from lumenframe.plans.shared import dropped, stored
+
+LISTING = "path string, size long, seen_at timestamp"
 
 
 def listing(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
@@ -18,47 +20,66 @@ def listing(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     return files.select("path", F.col("length").alias("size"), F.current_timestamp().alias("seen_at"))
 
 
-def stable_files(seen: DataFrame, quiet_ms: int = 1000) -> DataFrame:
-    """Of a stream of listings (path, size, seen_at): each file once, when its size has stayed for over ``quiet_ms``.
+def record_listings(spark: SparkSession, folder: str, table: str, glob: str = "*"):
+    """A stream writer that appends a listing of the folder to a Parquet table at each of its triggers.
 
-    The state of a path is its size, since when it has it, and whether it went on already. Time is what listings say.
+    A file source would hand out each file once, when it is first seen; what grows has to be looked at again. Streams for
+    ``stable_files`` read the table with the schema LISTING.
     """
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        size, since, done = state.get if state.exists else (-1, 0, False)
-        rows = pd.concat(list(frames)).sort_values("seen_at")
-        for n, at in zip(rows["size"].tolist(), rows["seen_at"], strict=True):
-            ms = int(at.value // 1_000_000)
-            if n != size:
-                size, since = n, ms
-            elif not done and ms - since > quiet_ms:
-                done = True
-                yield pd.DataFrame({"path": [key[0]], "size": [n], "seen_at": [at]})
-        state.update((int(size), int(since), bool(done)))
+    def write(batch: DataFrame, _: int) -> None:
+        listing(batch.sparkSession, folder, glob).write.mode("append").parquet(table)
 
-    return seen.groupBy("path").applyInPandasWithState(run, _RIPE, "size long, since long, done boolean", "append", GroupStateTimeout.NoTimeout)
+    return spark.readStream.format("rate").load().writeStream.foreachBatch(write)
 
 
-def complete_series(tilts: DataFrame, expected: int, timeout_ms: int) -> DataFrame:
-    """Of a stream (series, tilts, seen_at): each series once, when its number of tilts is the expected or has stayed for the timeout."""
+def _settled(key: str, count: str, rows: DataFrame, ready: Callable[[int, int], bool], wait_ms: int, timer: bool) -> DataFrame:
+    """Of a stream (key, count, seen_at): each key once, when its count is ready by ``ready`` (count, milliseconds it has stayed).
+
+    The state of a key is its count, since when it has it, and whether it went on already. Time is what rows say. With
+    ``timer`` a key of which no more rows come goes on after ``wait_ms``; such a stream never runs out of batches, so it is
+    not for triggers that stop when all is read.
+    """
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def run(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, since, done = state.get if state.exists else (-1, 0, False)
-        rows = pd.concat(list(frames)).sort_values("seen_at")
-        for now, at in zip(rows["tilts"].tolist(), rows["seen_at"], strict=True):
-            ms = int(at.value // 1_000_000)
-            if now != n:
-                n, since = now, ms
-            elif not done and (n >= expected or ms - since > timeout_ms):
+        if state.hasTimedOut:
+            if not done:
                 done = True
-                yield pd.DataFrame({"series": [key[0]], "tilts": [n], "seen_at": [at]})
+                yield pd.DataFrame({key: [name[0]], count: [n], "seen_at": [pd.Timestamp(since, unit="ms")]})
+        else:
+            frame = pd.concat(list(frames)).sort_values("seen_at")
+            for now, at in zip(frame[count].tolist(), frame["seen_at"], strict=True):
+                ms = int(at.value // 1_000_000)
+                if now != n:
+                    n, since = now, ms
+                elif not done and ready(n, ms - since):
+                    done = True
+                    yield pd.DataFrame({key: [name[0]], count: [n], "seen_at": [at]})
         state.update((int(n), int(since), bool(done)))
+        if timer and not done:
+            state.setTimeoutDuration(wait_ms + 1)
+
+    return rows.groupBy(key).applyInPandasWithState(run, f"{key} string, {count} long, seen_at timestamp", f"{count} long, since long, done boolean", "append", GroupStateTimeout.ProcessingTimeTimeout if timer else GroupStateTimeout.NoTimeout)
+
 
-    return tilts.groupBy("series").applyInPandasWithState(run, "series string, tilts long, seen_at timestamp", "tilts long, since long, done boolean", "append", GroupStateTimeout.NoTimeout)
+def stable_files(seen: DataFrame, quiet_ms: int = 1000, skip: str = ".xml", timer: bool = False) -> DataFrame:
+    """Of a stream of listings (path, size, seen_at): each file once, when its size has stayed for over ``quiet_ms``.
+
+    Files that end in ``skip``, which results of other files do, are left out.
+    """
+    return _settled("path", "size", seen.filter(~F.lower("path").endswith(skip)), lambda _, ms: ms > quiet_ms, quiet_ms, timer)
 
 
-def once(files: DataFrame) -> DataFrame:
-    """Each path once, however often it arrives."""
+def complete_series(tilts: DataFrame, expected: int, timeout_ms: int, timer: bool = False) -> DataFrame:
+    """Of a stream (series, tilts, seen_at): each series once, when its number of tilts is the expected or has stayed for the timeout."""
+    return _settled("series", "tilts", tilts, lambda n, ms: n >= expected or ms > timeout_ms, timeout_ms, timer)
+
+
+def once(files: DataFrame, time: str | None = None, late: str = "1 day") -> DataFrame:
+    """Each path once, however often it arrives; of a stream with a time column, state older than ``late`` is let go."""
+    if time and files.isStreaming:
+        return files.withWatermark(time, late).dropDuplicatesWithinWatermark(["path"])
     return files.dropDuplicates(["path"])
 
 
@@ -82,6 +103,28 @@ def publish(rows: DataFrame, table: str, key: str):
     return rows.writeStream.foreachBatch(write)
 
 
+def publish_buckets(rows: DataFrame, table: str, key: str, buckets: int = 64):
+    """Like ``publish`` for many items: rows lie in a fixed number of folders by a hash of their item, not in one an item."""
+    bucket = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
+
+    def write(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        new = stored(batch.withColumn("_bucket", bucket))
+        whole = new
+        if _exists(spark, table):
+            old = spark.read.parquet(table).join(F.broadcast(new.select("_bucket").distinct()), "_bucket", "left_semi")  # as many rows as buckets
+            whole = stored(old.join(new.select(key).distinct(), key, "left_anti").select(new.columns).unionByName(new))
+        whole.repartition("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(table)
+        dropped(*{id(x): x for x in (new, whole)}.values())
+
+    return rows.writeStream.foreachBatch(write)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def running_counts(items: DataFrame, status: str = "status") -> DataFrame:
     """How many items have each status so far; for complete mode."""
     return items.groupBy(status).agg(F.count("*").alias("n"))

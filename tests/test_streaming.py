@@ -46,3 +46,43 @@ def test_listing(spark, tmp_path):
     (tmp_path / "a.tif").write_bytes(b"123")
     assert [r["size"] for r in folder.listing(spark, str(tmp_path), "*.tif").collect()] == [3]
     assert folder.running_counts(spark.createDataFrame([("x",), ("x",)], "status string")).first()["n"] == 2
+
+
+def test_files_that_are_listed_once_go_on_by_timer(spark, tmp_path):
+    """Files arrive in a folder, are listed while the stream runs, and go on when they are quiet; results of others never do."""
+    import time
+
+    (tmp_path / "in").mkdir()
+    for name in ("a.mrc", "b.mrc", "a.xml"):
+        (tmp_path / "in" / name).write_bytes(b"1234")
+    table = str(tmp_path / "listings")
+    spark.createDataFrame([], folder.LISTING).write.parquet(table)
+    lister = folder.record_listings(spark, str(tmp_path / "in"), table).trigger(processingTime="1 second").start()
+    ripe = folder.stable_files(spark.readStream.schema(folder.LISTING).parquet(table), 200, timer=True)
+    q = ripe.writeStream.format("memory").queryName("quiet").outputMode("append").start()
+    end = time.time() + 60
+    while time.time() < end and spark.table("quiet").count() < 2:
+        time.sleep(1)
+    lister.stop()
+    q.stop()
+    assert sorted(r["path"].rsplit("/", 1)[1] for r in spark.table("quiet").collect()) == ["a.mrc", "b.mrc"]
+
+
+def test_complete_series(spark, tmp_path):
+    at = "2024-01-01T00:00:{:02d}Z"
+    rows = [{"series": "a", "tilts": n, "seen_at": at.format(k)} for k, n in enumerate((1, 3, 3))] + [{"series": "b", "tilts": 2, "seen_at": at.format(k)} for k in (0, 1)]
+    feed(tmp_path, "1.json", rows)
+    seen = spark.readStream.schema("series string, tilts long, seen_at timestamp").json(str(tmp_path))
+    q = folder.complete_series(seen, 3, 600_000).writeStream.format("memory").queryName("whole").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert [(r["series"], r["tilts"]) for r in spark.table("whole").collect()] == [("a", 3)]
+
+
+def test_publish_in_buckets(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    out = str(tmp_path / "table")
+    for k, rows in enumerate(([{"item": 1, "v": 9}, {"item": 3, "v": 3}], [{"item": 1, "v": 1}, {"item": 1, "v": 5}, {"item": 2, "v": 2}])):
+        feed(tmp_path / "in", f"{k}.json", rows)
+        stream = spark.readStream.schema("item long, v long").json(str(tmp_path / "in"))
+        folder.publish_buckets(stream, out, "item", 2).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start().awaitTermination(120)
+    assert sorted((r["item"], r["v"]) for r in spark.read.parquet(out).collect()) == [(1, 1), (1, 5), (2, 2), (3, 3)]
