@@ -310,10 +310,11 @@ def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     cuts = src.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(snippets, "piece int, rows binary, places binary, sizes binary, bytes binary").groupBy("piece").applyInArrow(sort, "row long, start long, end long")
     # copies of a text as long as a window go whole: the first of them has all its windows
     sums = stored(src.select("id", "row", F.md5("text").alias("sum"), F.octet_length("text").alias("n")).filter(F.col("n") >= window))
-    firsts = sums.groupBy("sum").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
+    # stored, so that Spark may split the rows of a text that very many have
+    firsts = stored(sums.groupBy("sum").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last"))
     copies = sums.join(firsts, "sum").filter("id > first").select("row", F.lit(0).cast("long").alias("start"), F.col("n").cast("long").alias("end"))
     spans = stored(cuts.unionByName(copies).select(deal, "row", "start", "end"))
-    dropped(found, sums)
+    dropped(found, sums, firsts)
 
     def finish(key, left: pa.Table, right: pa.Table) -> pa.Table:
         ids, start, end = (right.column(c).to_numpy() for c in ("row", "start", "end"))
