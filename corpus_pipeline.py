@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import bpe, decontamination, jaccard, lines, toxicity
+from lumenframe.llm import bpe, decontamination, lines, simhash, toxicity
 from lumenframe.llm.common import dropped, fresh, remainder, stored
 
+#: Words of a shingle and differing bits of near-duplicates.
+SHINGLE, REACH = 5, 3
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under 0.5; the model is fitted to labelled documents outside the held-out fifth."""
@@ -24,13 +27,14 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates, 0.8 or more alike in five-word shingles: that of the least id.
+    """One row of each group of near-duplicates: that of the least id.
 
-    Of rows of that id, repeated ones included, one stays, and of a group without ids one.
+    Texts link if the fingerprints of their five-word shingles agree in 61 of 64 bits or more, a similarity of 0.95. Of rows
+    of the least id, repeated ones included, one stays, and of a group without ids one.
     """
     own, row = fresh(docs.columns, "_own"), F.monotonically_increasing_id()
     rows = stored(docs.withColumn(own, F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), row.alias("row"))))
-    near = jaccard.near_duplicates(rows.select(own, "text"), id_col=own)
+    near = simhash.near_duplicates(rows.select(own, "text"), id_col=own, shingle=SHINGLE, reach=REACH)
     stay = near.filter(F.col(own) == F.col("component_id")).select(F.col(f"{own}.row").alias("stay"))
     return rows.join(stay, F.col(f"{own}.row") == F.col("stay"), "left_semi").select(docs.columns)
 

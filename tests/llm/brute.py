@@ -118,18 +118,18 @@ def line_dedup(rows, min_chars=50):
     return out
 
 
-def fingerprint(text):
+def fingerprint(text, shingle=3):
     w = SPACE.findall(low(text))
     if not w:
         return 0
-    shingles = [" ".join(w[k : k + 3]) for k in range(max(1, len(w) - 2))]
+    shingles = [" ".join(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))]
     h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def simhash(rows):
-    f = [fingerprint(t) for _, t in rows]
-    links = [(a, b) for a, b in itertools.combinations(range(len(f)), 2) if (f[a] ^ f[b]).bit_count() <= 2]
+def simhash(rows, shingle=3, reach=2):
+    f = [fingerprint(t, shingle) for _, t in rows]
+    links = [(a, b) for a, b in itertools.combinations(range(len(f)), 2) if (f[a] ^ f[b]).bit_count() <= reach]
     return f, named([i for i, _ in rows], components(len(rows), links))
 
 
