@@ -27,7 +27,7 @@ from lumenframe.llm.common import extended, fresh, stored
 #: Unsplit characters that one task encodes at once, and those of a leaf of its tree.
 LEAF_BYTES, TWIG = 4096, 16
 #: Distinct words whose ids a worker remembers.
-MEMORY_WORDS = 300_000
+MEMORY_WORDS = 100_000
 
 
 class Codec:

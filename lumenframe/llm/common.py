@@ -14,7 +14,7 @@ from lumenframe.operators.table import with_row_id  # noqa: F401
 from lumenframe.plans.shared import cut, dropped, stored  # noqa: F401
 
 #: Text bytes that a Python task works on at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Bytes whose prefix sums are held at once to hash spans.
 HASH_BYTES = 1 << 20
 
