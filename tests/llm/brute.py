@@ -118,18 +118,26 @@ def line_dedup(rows, min_chars=50):
     return out
 
 
-def fingerprint(text, shingle=3):
+def fingerprint(text):
     w = SPACE.findall(low(text))
     if not w:
         return 0
-    shingles = [" ".join(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))]
+    shingles = [" ".join(w[k : k + 3]) for k in range(max(1, len(w) - 2))]
     h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def simhash(rows, shingle=3, reach=2):
-    f = [fingerprint(t, shingle) for _, t in rows]
-    links = [(a, b) for a, b in itertools.combinations(range(len(f)), 2) if (f[a] ^ f[b]).bit_count() <= reach]
+def similar(rows, shingle=5):
+    """Components of texts whose sets of shingles are 0.8 or more alike."""
+    words = [SPACE.findall(low(t)) for _, t in rows]
+    sets = [{tuple(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))} if w else set() for w in words]
+    links = [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    return named([i for i, _ in rows], components(len(rows), links))
+
+
+def simhash(rows):
+    f = [fingerprint(t) for _, t in rows]
+    links = [(a, b) for a, b in itertools.combinations(range(len(f)), 2) if (f[a] ^ f[b]).bit_count() <= 2]
     return f, named([i for i, _ in rows], components(len(rows), links))
 
 

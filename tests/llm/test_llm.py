@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lumenframe.llm import bpe, decontamination, embeddings, graph, kneser_ney, language, lines, pii, queries, simhash, suffixes, toxicity
+from lumenframe.llm import bpe, decontamination, embeddings, graph, jaccard, kneser_ney, language, lines, pii, queries, simhash, suffixes, toxicity
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, score int, n_words string, _text string, id int, bucket int, base string, source string"
@@ -309,21 +309,39 @@ def test_op7_shards(spark, monkeypatch):
     assert [found.get(v, v) for v in x.tolist()] == of
 
 
-def test_pipeline_near_copies(spark):
-    """The near-dedup stage against all pairs of five-word fingerprints, on copies with edited words and a passage that many hold."""
+def test_pipeline_near_copies(spark, monkeypatch):
+    """The near-dedup stage against all pairs of five-word sets, on copies with edited words and a passage that many hold."""
     rng = np.random.default_rng(5)
     texts = []
     for _ in range(30):
-        words = [f"w{x}" for x in rng.integers(0, 5000, 400)] + [f"common{k}" for k in range(int(rng.integers(0, 60)))]
-        for edits in (0, 0, 1, 2, 3, 5, 8):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 200)] + [f"common{k}" for k in range(int(rng.integers(0, 60)))]
+        for edits in (0, 1, 2, 3, 4, 5, 8):
             copy = list(words)
             for k in rng.integers(0, len(copy), edits):
                 copy[k] = "edited"
             texts.append(" ".join(copy))
     given = [(k, t) for k, t in enumerate([*texts, None, "", "two words", "Two words", "three other words"])]
-    _, of = brute.simhash(given, 5, 3)
+
+    of = brute.similar(given)
     docs = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
     assert got(corpus_pipeline.drop_near_duplicates(spark, docs, SF), "doc_id") == want((k,) for k, c in enumerate(of) if k == c)
+    monkeypatch.setattr("lumenframe.llm.jaccard.SAMPLE", 1)
+    assert got(corpus_pipeline.drop_near_duplicates(spark, docs, SF), "doc_id") == want((k,) for k, c in enumerate(of) if k == c)
+
+
+def test_near_copies_without_hub(spark):
+    """A large group whose copies are around 0.8 alike, some linked through others only, and sizes that differ."""
+    rng = np.random.default_rng(11)
+    base = [f"b{k}" for k in range(150)]
+    given = []
+    for k in range(250):
+        copy = [f"e{k}x{m}" if rng.random() < 0.012 * (k % 4) else w for m, w in enumerate(base[: int(rng.integers(110, 151))])]
+        given.append((k, " ".join(copy)))
+    of = brute.similar(given)
+    assert len(set(of)) > 10
+    docs = spark.createDataFrame(given, "doc_id long, text string").repartition(4)
+    for reach in (0, 3):
+        assert got(jaccard.near_duplicates(docs, reach=reach), "doc_id", "component_id") == want((k, c) for k, c in enumerate(of))
 
 
 def test_pipeline_repeated_ids(spark):
@@ -481,7 +499,7 @@ def test_pipeline(spark, rows):
         text = t if not gone else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
         if not gone or text:
             left.append((i, text))
-    _, of = brute.simhash(left, 5, 3)
+    of = brute.similar(left)
     left = [x for x, c in zip(left, of, strict=True) if x[0] == c]
     b = pq.read_table(f"{SF}/benchmark.parquet").to_pydict()
     hit = brute.contamination([t for _, t in left], list(zip(b["item_id"], b["text"], strict=True)))
