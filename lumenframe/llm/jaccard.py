@@ -110,6 +110,12 @@ def _close(rows: DataFrame, reach: int) -> DataFrame:
     return far.unionByName(same).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that are not in one component yet, the lesser first."""
+    pairs = pairs.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
+    return pairs.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, reach: int = REACH) -> DataFrame:
     """(id, component_id) of each document: the smallest id that links reach, its own included.
 
@@ -128,18 +134,21 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         return (small >= similarity * large - 1e-9) & (F.least(F.col(n) - F.col(i), F.col(m) - F.col(j)) >= share * (F.col(n) + F.col(m)) - 1e-9)
 
     places = stored(_prefixes(sets, similarity))
+    meet = stored(places.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("token"))
+    all_places, places = places, stored(places.join(meet, "token", "left_semi").dropDuplicates(["token", "node"]))
+    dropped(all_places, meet)
+    # the text that holds the least before the token: edits of one text share most with it
     hub = F.min(F.struct((F.col("i") / F.col("n")).alias("part"), "node", "n", "i")).alias("hub")
-    meet = stored(places.groupBy("token").agg(hub, F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("token", "hub"))
-    all_places, places = places, stored(places.join(meet.select("token"), "token", "left_semi").dropDuplicates(["token", "node"]))
-    dropped(all_places)
-    hubs = places.join(meet, "token").select(F.col("hub.node").alias("a"), F.col("hub.n").alias("m"), F.col("hub.i").alias("j"), F.col("node").alias("b"), "n", "i")
-    hubs = hubs.filter(F.col("a") != F.col("b")).filter(fits("n", "i", "m", "j")).select("a", "b").distinct()
-    known = roots.select("node", "root")
-    hubs = hubs.join(known.toDF("a", "ra"), "a", "left").join(known.toDF("b", "rb"), "b", "left")
-    hubs = hubs.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = close.unionByName(_similar(hubs, sets, similarity))
-    dropped(meet)
-    roots = cut(components(links))
+    hubs = places.join(places.groupBy("token").agg(hub), "token").select(F.col("hub.part").alias("part"), F.col("hub.node").alias("a"), F.col("hub.n").alias("m"), F.col("hub.i").alias("j"), F.col("node").alias("b"), "n", "i")
+    hubs = hubs.filter(F.col("a") != F.col("b")).filter(fits("n", "i", "m", "j"))
+    hubs = stored(hubs.groupBy("a", "b").agg(F.min("part").alias("part")))
+    # each text with its best hub first; then with those of other components only
+    best = hubs.groupBy("b").agg(F.min(F.struct("part", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
+    links = close
+    for pairs in (best, hubs.select("a", "b")):
+        links = links.unionByName(_similar(_apart(pairs, roots), sets, similarity))
+        roots = cut(components(links))
+    dropped(hubs)
     rooted = stored(places.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     dropped(places)
     open_ = stored(rooted.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("q")).filter("r < q").select("token"))
