@@ -4,7 +4,8 @@ Fingerprints within REACH bits meet in the shards of the vantage-point tree; suc
 close copies. Sets of similarity t can differ in far more bits, where no tree of 64-bit fingerprints can prune, so
 prefixes find the rest: two sets whose similarity is t or more share a shingle among the first n - ceil(t n) + 1 of each,
 in any one order of all shingles, and behind the first that they share both hold enough for the overlap that t asks for.
-Only sets that meet so are compared, and no pair is lost. Shingles that are common in a bounded sample come last in the
+Only sets that meet so are compared, and no pair is lost. Stored are those prefixes, the heads; whole sets are made again
+from the texts, for pairs that the heads don't rule out. Shingles that are common in a bounded sample come last in the
 order: the sample only decides where sets meet. Each meeting's sets are first compared with the one that holds the least
 before the shared shingle, as a rule the text that the others are edits of; then only pairs of different components are.
 """
@@ -42,61 +43,90 @@ def _shingles(words: list[bytes], shingle: int) -> np.ndarray:
     return np.unique(np.array([digest(text[a:b], SEED) for a, b in zip(starts, (ends[last - 1 :] - 1).tolist(), strict=True)], dtype=np.uint64).view(np.int64))
 
 
-def shingle_sets(docs: DataFrame, *, text_col: str, shingle: int) -> DataFrame:
-    """(_id, node, print, s): the set of each text's shingles, its digest and its fingerprint."""
+def _parts(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], np.ndarray]]:
+    """Slices of the batches, the set of each _text's shingles, and the sets' digests."""
+    for batch in batches:
+        for part in slices(batch, "_text"):
+            data, off = flat_bytes(part.column("_text"))
+            low = lower_ascii(data).tobytes()
+            sets = [_shingles(low[a:b].split(), shingle) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            yield part, sets, np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
+
+
+def _lists(sets: list[np.ndarray]) -> pa.ListArray:
+    at = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets)))
+
+
+def shingle_sets(docs: DataFrame, *, shingle: int) -> DataFrame:
+    """(node, s): the set of each _text's shingles and its digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, text_col):
-                data, off = flat_bytes(part.column(text_col))
-                low = lower_ascii(data).tobytes()
-                sets = [_shingles(low[a:b].split(), shingle) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-                node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
-                prints = np.array([_majority(s.view(np.uint64)) for s in sets], dtype=np.uint64).view(np.int64)
-                at = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets)))
-                yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(node), pa.array(prints), lists], names=["_id", "node", "print", "s"])
-
-    return docs.mapInArrow(run, extended(docs.select("_id").schema, "node long, print long, s array<long>"))
-
-
-def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
-    """(token, node, n, i): the first shingles of each set, how many it has, and how many come before this one."""
-    some = sets.orderBy(F.xxhash64("node")).limit(SAMPLE).select(F.explode("s").alias("token"))
-    rows = some.groupBy("token").count().filter(F.col("count") >= COMMON).orderBy(F.desc("count"), "token").limit(MOST).collect()
+        for _, sets, node in _parts(batches, shingle):
+            yield pa.RecordBatch.from_arrays([pa.array(node), _lists(sets)], names=["node", "s"])
+
+    return docs.select("_text").mapInArrow(run, "node long, s array<long>")
+
+
+def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are common in a sample of the distinct texts, sorted, and in how many of them each is."""
+    keyed = docs.select(F.xxhash64("_text").alias("h"), "_text")
+    last = keyed.select("h").distinct().orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
+    some = keyed.filter(F.col("h") <= (0 if last is None else last)).groupBy("h").agg(F.first("_text").alias("_text"))
+    counts = stored(shingle_sets(some, shingle=shingle).select(F.explode("s").alias("token")).groupBy("token").count().filter(F.col("count") >= COMMON))
+    rows = counts.orderBy(F.desc("count"), "token").limit(MOST).collect()
+    dropped(counts)
     known = np.array([r[0] for r in rows], dtype=np.int64)
     by = np.argsort(known)
-    shared = sets.sparkSession.sparkContext.broadcast((known[by], np.array([r[1] for r in rows], dtype=np.int64)[by]))
+    return known[by], np.array([r[1] for r in rows], dtype=np.int64)[by]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def signatures(docs: DataFrame, *, shingle: int, similarity: float) -> DataFrame:
+    """(_id, node, print, n, head): a digest of the set of each text's shingles, its fingerprint, how many it holds, and the first of them."""
+    shared = docs.sparkSession.sparkContext.broadcast(_common(docs, shingle))
+
+    def first(x: np.ndarray) -> np.ndarray:
         tokens, counts = shared.value
-        for batch in batches:
-            for node, s in zip(batch.column("node").to_pylist(), batch.column("s"), strict=True):
-                x = s.values.to_numpy()
-                n = len(x)
-                if not n:
-                    continue
-                often = np.zeros(n, dtype=np.int64)
-                if len(tokens):
-                    at = np.minimum(np.searchsorted(tokens, x), len(tokens) - 1)
-                    often = np.where(tokens[at] == x, counts[at], 0)
-                first = x[np.lexsort((x, often))[: n - int(np.ceil(similarity * n - 1e-9)) + 1]]
-                k = len(first)
-                yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(np.full(k, node)), pa.array(np.full(k, n, np.int32)), pa.array(np.arange(k, dtype=np.int32))], names=["token", "node", "n", "i"])
-
-    return sets.select("node", "s").mapInArrow(run, "token long, node long, n int, i int")
-
-
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar."""
-    # only sets that meet another are moved, one of each digest
+        often = np.zeros(len(x), dtype=np.int64)
+        if len(tokens):
+            at = np.minimum(np.searchsorted(tokens, x), len(tokens) - 1)
+            often = np.where(tokens[at] == x, counts[at], 0)
+        return x[np.lexsort((x, often))[: len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, sets, node in _parts(batches, shingle):
+            prints = np.array([_majority(s.view(np.uint64)) for s in sets], dtype=np.uint64).view(np.int64)
+            n = pa.array(np.array([len(s) for s in sets], dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(node), pa.array(prints), n, _lists([first(s) for s in sets])], names=["_id", "node", "print", "n", "head"])
+
+    return docs.mapInArrow(run, extended(docs.select("_id").schema, "node long, print long, n int, head array<long>"))
+
+
+def _both(pairs: DataFrame, sides: DataFrame) -> DataFrame:
+    """The pairs (a, b) with what ``sides`` says of each node, as x and y."""
+    side = F.struct([c for c in sides.columns if c != "node"])
+    return pairs.join(sides.select(F.col("node").alias("a"), side.alias("x")), "a").join(sides.select(F.col("node").alias("b"), side.alias("y")), "b")
+
+
+def _similar(pairs: DataFrame, docs: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose sets are similar.
+
+    What two sets share lies in both of their heads or behind the head that ends first, so heads rule most pairs out.
+    Only the sets of the others are made again from their texts, one of each digest.
+    """
     pairs = stored(pairs.distinct())
     met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = stored(sets.join(met, "node", "left_semi").groupBy("node").agg(F.first("s").alias("s")))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
-    both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("n"))
-    out = stored(both.filter(F.col("i") >= similarity * (F.col("n") - F.col("i")) - 1e-9).select("a", "b"))
-    dropped(pairs, sets)
+    heads = stored(rows.join(met, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("head").alias("head"), F.min("_id").alias("_id")))
+    behind = F.ceil(similarity * F.greatest("x.n", "y.n") - 1e-9) - 1
+    could = F.size(F.array_intersect("x.head", "y.head")) + behind >= similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-9
+    left = stored(_both(pairs, heads.select("node", "n", "head")).filter(could).select("a", "b"))
+    met = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = stored(heads.select("node", "_id").join(met, "node", "left_semi").select(F.col("_id").alias("of")))
+    sets = stored(shingle_sets(docs.join(texts, F.col("_id").eqNullSafe(F.col("of")), "left_semi"), shingle=shingle))
+    one = stored(sets.groupBy("node").agg(F.first("s").alias("s")))
+    shared, total = F.size(F.array_intersect("x.s", "y.s")), F.size("x.s") + F.size("y.s")
+    out = stored(_both(left, one).select("a", "b", shared.alias("i"), total.alias("n")).filter(F.col("i") >= similarity * (F.col("n") - F.col("i")) - 1e-9).select("a", "b"))
+    dropped(pairs, heads, left, texts, sets, one)
     return out
 
 
@@ -122,9 +152,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Texts link if the Jaccard similarity of their sets of word shingles reaches ``similarity``; texts without words, null
     included, link to each other. Null ids and repeated rows are as in ``simhash.near_duplicates``.
     """
-    rows = stored(shingle_sets(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), text_col="_text", shingle=shingle))
-    sets = rows.select("node", "s")
-    close = _similar(_close(rows, reach), sets, similarity)
+    docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    rows = stored(signatures(docs, shingle=shingle, similarity=similarity))
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        return _similar(pairs, docs, rows, shingle, similarity)
+
+    close = similar(_close(rows, reach))
     roots = cut(components(close))
     # an overlap of t / (1 + t) of both sizes together is what similarity t asks for
     share = similarity / (1 + similarity)
@@ -133,10 +167,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         small, large = F.least(n, m), F.greatest(n, m)
         return (small >= similarity * large - 1e-9) & (F.least(F.col(n) - F.col(i), F.col(m) - F.col(j)) >= share * (F.col(n) + F.col(m)) - 1e-9)
 
-    places = stored(_prefixes(sets, similarity))
+    places = rows.select("node", "n", F.posexplode("head").alias("i", "token"))
     meet = stored(places.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("token"))
-    all_places, places = places, stored(places.join(meet, "token", "left_semi").dropDuplicates(["token", "node"]))
-    dropped(all_places, meet)
+    places = stored(places.join(meet, "token", "left_semi").dropDuplicates(["token", "node"]))
+    dropped(meet)
     # the text that holds the least before the token: edits of one text share most with it
     hub = F.min(F.struct((F.col("i") / F.col("n")).alias("part"), "node", "n", "i")).alias("hub")
     hubs = places.join(places.groupBy("token").agg(hub), "token").select(F.col("hub.part").alias("part"), F.col("hub.node").alias("a"), F.col("hub.n").alias("m"), F.col("hub.i").alias("j"), F.col("node").alias("b"), "n", "i")
@@ -146,7 +180,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     best = hubs.groupBy("b").agg(F.min(F.struct("part", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
     links = close
     for pairs in (best, hubs.select("a", "b")):
-        links = links.unionByName(_similar(_apart(pairs, roots), sets, similarity))
+        links = links.unionByName(similar(_apart(pairs, roots)))
         roots = cut(components(links))
     dropped(hubs)
     rooted = stored(places.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
@@ -161,7 +195,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     order = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("a") < F.col("node")))
     on = [F.col("t") == F.col("token"), F.col("z") == F.col("size"), order, F.col("r") != F.col("root"), fits("n", "i", "m", "j")]
     rest = small.join(places, on).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-    roots = cut(components(links.unionByName(_similar(rest, sets, similarity))))
+    roots = cut(components(links.unionByName(similar(rest))))
     dropped(places)
     named = stored(rows.select("_id", "node").join(roots, "node", "left").select("_id", F.coalesce("root", "node").alias("root")))
     dropped(rows)
