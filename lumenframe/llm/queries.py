@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import bpe, decontamination, embeddings, kneser_ney, language, lines, pii, simhash, suffixes, toxicity
+from lumenframe.llm import bpe, decontamination, embeddings, kneser_ney, language, lines, pii, sentencepieces, simhash, suffixes, toxicity
 from lumenframe.llm.common import remainder
 
 
@@ -69,6 +69,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending")
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_language_id, op3_line_dedup, op4_embedding_dedup, op5_decontamination, op6_bpe, op7_simhash, op8_suffix_dedup, op9_pii, op10_toxicity)}
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = sentencepieces.read_model(public_tokenizers.path("piece_bpe_32k.model"))
+    return sentencepieces.encode_decode(_documents(spark, sf_dir), model, digests=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_language_id, op3_line_dedup, op4_embedding_dedup, op5_decontamination, op6_bpe, op7_simhash, op8_suffix_dedup, op9_pii, op10_toxicity, op11_sentencepiece)}
 
 ORACLES: dict[str, str] = {"op3_line_dedup": lines.ORACLE_SQL}
