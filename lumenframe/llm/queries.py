@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import bpe, decontamination, embeddings, kneser_ney, language, lines, pii, sentencepieces, simhash, suffixes, toxicity
+from lumenframe.llm import bpe, decontamination, embeddings, kneser_ney, language, lines, phrases, pii, sentencepieces, simhash, suffixes, toxicity, variants
 from lumenframe.llm.common import remainder
 
 
@@ -76,6 +76,14 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode_decode(_documents(spark, sf_dir), model, digests=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_language_id, op3_line_dedup, op4_embedding_dedup, op5_decontamination, op6_bpe, op7_simhash, op8_suffix_dedup, op9_pii, op10_toxicity, op11_sentencepiece)}
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_documents(spark, sf_dir, "lang"))
 
-ORACLES: dict[str, str] = {"op3_line_dedup": lines.ORACLE_SQL}
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(_documents(spark, sf_dir)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_language_id, op3_line_dedup, op4_embedding_dedup, op5_decontamination, op6_bpe, op7_simhash, op8_suffix_dedup, op9_pii, op10_toxicity, op11_sentencepiece, op12_collocations, op13_variants)}
+
+ORACLES: dict[str, str] = {"op3_line_dedup": lines.ORACLE_SQL, "op12_collocations": phrases.ORACLE_SQL}
