@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from lumenframe.llm.common import flat_bytes, lower_ascii, mix64, runs, slices, span_hashes, stored
 
 #: Text bytes of a shard, bits of the table of frequent pairs, and parts that each language's list is ranked in first.
-SHARD_BYTES, FILTER_BITS, PARTS = 8 << 20, 1 << 26, 64
+SHARD_BYTES, FILTER_BITS, PARTS = 4 << 20, 1 << 26, 64
 
 _END = np.zeros(256, dtype=bool)
 _END[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
