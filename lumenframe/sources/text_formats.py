@@ -18,7 +18,7 @@ def read_mdoc(spark: SparkSession, path: str) -> DataFrame:
     Angles are rounded to a tenth, movies are base names; times read dd-MMM-yy HH:mm:ss.
     """
     files = _whole(spark, path).withColumn("axis", F.regexp_extract("value", r"Tilt axis angle = (-?[\d.]+)", 1).try_cast("double"))
-    rows = files.select("path", "axis", F.explode(F.slice(F.split("value", r"\[ZValue = "), 2, 1_000_000)).alias("b"))
+    rows = files.select("path", "axis", F.posexplode(F.split("value", r"\[ZValue = ")).alias("k", "b")).filter("k > 0")
 
     def cell(name: str):
         return F.trim(F.regexp_extract("b", rf"(?m)^\s*{name} = (.*)$", 1))
@@ -70,33 +70,23 @@ def read_pdb(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("path", cell(7, 5).cast("int").alias("serial"), cell(13, 4).alias("name"), cell(18, 3).alias("residue"), cell(22, 1).alias("chain"), cell(23, 4).cast("int").alias("number"), *[cell(s, 8).cast("double").alias(a) for s, a in ((31, "x"), (39, "y"), (47, "z"))], cell(77, 2).alias("element"))
 
 
-_NODES = "struct<_Width: int, _Height: int, _Depth: int, Node: array<struct<_X: int, _Y: int, _Z: int, _Value: double>>>"
-_PARAMS = "struct<Param: array<struct<_Name: string, _Value: string>>>"
-#: The schema is given, as inference would take a lone Param or Node for a struct.
-ITEM_SCHEMA = f"_UnselectManual string, _CTFResolutionEstimate double, _MeanFrameMovement double, _MaskPercentage double, PS1D string, CTF {_PARAMS}, OptionsCTF {_PARAMS}, OptionsMovement {_PARAMS}, PickingThresholds struct<Threshold: array<struct<_Suffix: string, _Value: double>>>, GridCTF {_NODES}"
-
-
 def read_items(spark: SparkSession, path: str, tag: str = "Movie") -> DataFrame:
-    """Item records: path, root_name, manual, resolution, motion, mask, maps of parameters and thresholds, curve, grid.
+    """Item records in short: path, root_name, manual, resolution, motion, mask, maps of parameters and thresholds, curve, grid.
 
-    A file that is no XML gives no row; cells that don't parse are null.
+    A file that is no XML record gives no row; cells that don't parse are null. The whole records: ``item_xml.read``.
     """
-    df = spark.read.option("rowTag", tag).option("mode", "PERMISSIVE").schema(ITEM_SCHEMA).xml(path).withColumn("path", F.input_file_name())
-
-    def as_map(column: str):
-        return F.when(F.col(f"{column}.Param").isNotNull(), F.map_from_entries(F.transform(f"{column}.Param", lambda p: F.struct(p["_Name"], p["_Value"]))))
+    from lumenframe.sources import item_xml
 
-    curve = F.transform(F.split("PS1D", ";"), lambda p: F.struct(F.split(p, r"\|")[0].try_cast("double").alias("x"), F.get(F.split(p, r"\|"), F.lit(1)).try_cast("double").alias("y")))
+    texts = spark.read.format("binaryFile").load(path).select("path", "content")
+    df = item_xml.parse(item_xml.as_texts(texts)).filter(F.col("kind") == tag)
     return df.select(
-        "path", text.root_name(F.col("path")).alias("root_name"), F.col("_UnselectManual").try_cast("boolean").alias("manual"), F.col("_CTFResolutionEstimate").alias("resolution"),
-        F.col("_MeanFrameMovement").alias("motion"), F.col("_MaskPercentage").alias("mask"), as_map("CTF").alias("ctf"), as_map("OptionsCTF").alias("options_ctf"), as_map("OptionsMovement").alias("options_movement"),
-        F.when(F.col("PickingThresholds.Threshold").isNotNull(), F.map_from_entries(F.transform("PickingThresholds.Threshold", lambda t: F.struct(t["_Suffix"], t["_Value"])))).alias("picking_thresholds"),
-        curve.alias("spectrum"), F.col("GridCTF").alias("grid"),
+        "path", "root_name", F.col("unselect_manual").alias("manual"), F.col("resolution").cast("double"), F.col("motion").cast("double"), F.col("mask").cast("double"), "ctf", F.try_element_at("options", F.lit("OptionsCTF")).alias("options_ctf"), F.try_element_at("options", F.lit("OptionsMovement")).alias("options_movement"),
+        F.transform_values("picking_thresholds", lambda _, v: v.cast("double")).alias("picking_thresholds"), "spectrum", F.try_element_at("grids", F.lit("GridCTF")).alias("grid"),
     )
 
 
 def series_tilts(mdoc: DataFrame, transforms: DataFrame) -> DataFrame:
-    """Tilts of each series by angle, with the transform of the same place: series are told by their root names."""
+    """Tilts of each series by angle, with the transform of the same place: series are told by their root names. What one side has in excess stays, with nulls for the other."""
     a = mdoc.withColumn("series", text.root_name(F.col("path"))).withColumn("row", F.row_number().over(Window.partitionBy("path").orderBy("angle", "zvalue")) - 1)
     b = transforms.withColumn("series", text.root_name(F.col("path"))).drop("path")
-    return a.join(b, ["series", "row"])
+    return a.join(b, ["series", "row"], "full")

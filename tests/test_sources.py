@@ -76,6 +76,9 @@ def test_mdoc(spark, tmp_path):
     assert rows[0]["time"].hour == 10 and rows[1]["dose"] is None and rows[1]["time"] is None
     both = text_formats.series_tilts(text_formats.read_mdoc(spark, str(tmp_path / "s.mdoc")), text_formats.read_xf(spark, str(tmp_path / "s.xf")))
     assert both.orderBy("angle").first()["dx"] == 2.5
+    (tmp_path / "s.xf").write_text("1 0 0 1 2.5 -3\n1 0 0 1 0 0\n1 0 0 1 7 0\n")
+    both = text_formats.series_tilts(text_formats.read_mdoc(spark, str(tmp_path / "s.mdoc")), text_formats.read_xf(spark, str(tmp_path / "s.xf")))
+    assert both.count() == 3 and both.filter("zvalue is null").first()["dx"] == 7.0
 
 
 def test_items(spark, tmp_path):
