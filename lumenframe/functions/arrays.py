@@ -134,15 +134,17 @@ def take_above(a: Column, threshold: float) -> Column:
     return take(a, lambda x: ~F.isnan(x) & (x > threshold))
 
 
-def sliding_correlation(a: Column, b: Column, lengths: Column, start: int = 0) -> Column:
-    """For each place from ``start`` on the correlation of both arrays in a window about it, of its own length; NaN before.
+def sliding_correlation(a: Column, b: Column, lengths: Column, start: int = 0, least: int = 1) -> Column:
+    """For each place from ``start`` on the correlation of both arrays in a window about it, of its own length; NaN elsewhere.
 
-    A window reaches half its length to both sides, the place at its end not included, and less at the ends of the array.
+    A window has ``least`` places or more and reaches half its length to both sides, the place at its end not included,
+    and less at the ends of the array; the last ``least`` / 2 places have none.
     """
-    half = lambda i: F.floor(F.get(lengths, i) / 2).cast("int")
+    half = lambda i: F.floor(F.greatest(F.lit(least), F.get(lengths, i)) / 2).cast("int")
 
     def one(i: Column) -> Column:
         low, high = F.greatest(F.lit(0), i - half(i)), F.least(F.size(a), i + half(i))
-        return F.when(i >= start, cross_correlation(F.slice(a, low + 1, high - low), F.slice(b, low + 1, high - low))).otherwise(F.lit(float("nan")))
+        inside = (i >= start) & (i < F.size(a) - least // 2)
+        return F.when(inside, cross_correlation(F.slice(a, low + 1, high - low), F.slice(b, low + 1, high - low))).otherwise(F.lit(float("nan")))
 
     return F.transform(F.sequence(F.lit(0), F.size(a) - 1), one)

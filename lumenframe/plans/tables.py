@@ -137,14 +137,14 @@ def tilt_fan_out(spark, sf_dir):
     return table.tilt_fan_out(s, F.col("n")).drop("n")
 
 
-@_query("""WITH c AS (SELECT vec_id, i, embedding[i]::DOUBLE AS a, embedding[65 - i]::DOUBLE AS b, CAST(6 + (vec_id + i - 1) % 9 AS INTEGER) // 2 AS h FROM embeddings, range(1, 65) r(i)),
- w AS (SELECT x.vec_id, x.i, avg(y.a) AS ma, avg(y.b) AS mb, avg(y.a * y.b) AS ab, stddev_pop(y.a) AS sa, stddev_pop(y.b) AS sb FROM c x JOIN c y ON x.vec_id = y.vec_id AND y.i >= x.i - x.h AND y.i < x.i + x.h WHERE x.i > 4 GROUP BY 1, 2)
+@_query("""WITH c AS (SELECT vec_id, i, embedding[i]::DOUBLE AS a, embedding[65 - i]::DOUBLE AS b, CAST(greatest(8, 6 + (vec_id + i - 1) % 9) AS INTEGER) // 2 AS h FROM embeddings, range(1, 65) r(i)),
+ w AS (SELECT x.vec_id, x.i, avg(y.a) AS ma, avg(y.b) AS mb, avg(y.a * y.b) AS ab, stddev_pop(y.a) AS sa, stddev_pop(y.b) AS sb FROM c x JOIN c y ON x.vec_id = y.vec_id AND y.i >= x.i - x.h AND y.i < x.i + x.h WHERE x.i > 4 AND x.i <= 60 GROUP BY 1, 2)
  SELECT vec_id, round(sum((ab - ma * mb) / (sa * sb)), 4) + 0.0 AS total, round(max((ab - ma * mb) / (sa * sb)), 4) AS best FROM w GROUP BY 1""")
 def sliding_correlation(spark, sf_dir):
-    """How well two curves agree about each place, in windows whose length the place decides."""
+    """How well two curves agree about each place, in windows whose length the place decides, 8 at least; the last 4 places have none."""
     e = _t(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
     e = e.withColumns({"b": F.reverse("a"), "n": F.transform(F.sequence(F.lit(0), F.size("a") - 1), lambda i: (6 + (F.col("vec_id") + i) % 9).cast("int"))})
-    q = e.select("vec_id", arrays.sliding_correlation(F.col("a"), F.col("b"), F.col("n"), 4).alias("q")).select("vec_id", F.filter("q", lambda x: ~F.isnan(x)).alias("q"))
+    q = e.select("vec_id", arrays.sliding_correlation(F.col("a"), F.col("b"), F.col("n"), 4, 8).alias("q")).select("vec_id", F.filter("q", lambda x: ~F.isnan(x)).alias("q"))
     return q.select("vec_id", (F.round(arrays.total(F.col("q")), 4) + 0.0).alias("total"), F.round(F.array_max("q"), 4).alias("best"))
 
 

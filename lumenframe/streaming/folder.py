@@ -5,36 +5,60 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lumenframe.plans.shared import dropped, stored
 
-LISTING = "path string, size long, seen_at timestamp"
+LISTING = "path string, size long, seen_at timestamp, done boolean"
 
 
-def listing(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """(path, size, seen_at) of the files just now; contents are not read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
-    return files.select("path", F.col("length").alias("size"), F.current_timestamp().alias("seen_at"))
+def listing(spark: SparkSession, folder: str, glob: str = "*", results: str = ".xml") -> DataFrame:
+    """(path, size, seen_at, done) of the files just now; done: a file of the same name that ends in ``results`` lies beside it. Contents are not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path", F.col("length").alias("size"))
+    made = spark.read.format("binaryFile").option("pathGlobFilter", f"*{results}").load(folder).select(_root(F.col("path")).alias("_root"), F.lit(True).alias("_made")).distinct()
+    own = F.lower("path").endswith(results)
+    found = files.withColumn("_root", F.when(~own, _root(F.col("path")))).join(made, "_root", "left")
+    return found.select("path", "size", F.current_timestamp().alias("seen_at"), F.coalesce("_made", F.lit(False)).alias("done"))
 
 
-def record_listings(spark: SparkSession, folder: str, table: str, glob: str = "*"):
-    """A stream writer that appends a listing of the folder to a Parquet table at each of its triggers.
+def _root(path: Column) -> Column:
+    return F.regexp_replace(path, r"\.[^./]*$", "")
 
-    A file source would hand out each file once, when it is first seen; what grows has to be looked at again. Streams for
-    ``stable_files`` read the table with the schema LISTING.
+
+def record_listings(spark: SparkSession, folder: str, table: str, glob: str = "*", quiet_ms: int = 1000, results: str = ".xml"):
+    """A stream writer that appends to a Parquet table, at each of its triggers, the files of the folder that are not settled.
+
+    A file source would hand out each file once, when it is first seen; what grows has to be looked at again. A file is
+    recorded until it has been recorded with a size that it kept for over ``quiet_ms``, and then only when its size changes
+    or a result comes to lie beside it: rows follow what happens, not files times triggers. The last listing is kept beside
+    it, a row a file. Streams for ``stable_files`` read the table with the schema LISTING.
     """
+    kept: list[DataFrame] = []
 
     def write(batch: DataFrame, _: int) -> None:
-        listing(batch.sparkSession, folder, glob).write.mode("append").parquet(table)
+        now = listing(batch.sparkSession, folder, glob, results)
+        if kept:
+            last = kept[0].select("path", *[F.col(c).alias(f"_{c}") for c in ("size", "done", "since", "told")])
+            same = F.col("_size").eqNullSafe(F.col("size")) & F.col("_done").eqNullSafe(F.col("done"))
+            since = F.when(same, F.col("_since")).otherwise(F.col("seen_at"))
+            was = same & F.coalesce("_told", F.lit(False))
+            now = now.join(last, "path", "left").select("path", "size", "seen_at", "done", since.alias("since"), was.alias("was"))
+        else:
+            now = now.select("*", F.col("seen_at").alias("since"), F.lit(False).alias("was"))
+        told = F.col("was") | F.col("done") | (F.unix_millis("seen_at") - F.unix_millis("since") > quiet_ms)
+        new = stored(now.withColumn("told", told))
+        new.filter("not was").select("path", "size", "seen_at", "done").write.mode("append").parquet(table)
+        if kept:
+            dropped(kept.pop())
+        kept.append(new)
 
     return spark.readStream.format("rate").load().writeStream.foreachBatch(write)
 
 
 def _settled(key: str, count: str, rows: DataFrame, ready: Callable[[int, int], bool], wait_ms: int, timer: bool) -> DataFrame:
-    """Of a stream (key, count, seen_at): each key once, when its count is ready by ``ready`` (count, milliseconds it has stayed).
+    """Of a stream (key, count, seen_at, done): each key once, when a row of it is done, or its count ready by ``ready`` (count, milliseconds it has stayed).
 
     The state of a key is its count, since when it has it, and whether it went on already. Time is what rows say. With
     ``timer`` a key of which no more rows come goes on after ``wait_ms``; such a stream never runs out of batches, so it is
@@ -49,9 +73,12 @@ def _settled(key: str, count: str, rows: DataFrame, ready: Callable[[int, int],
                 yield pd.DataFrame({key: [name[0]], count: [n], "seen_at": [pd.Timestamp(since, unit="ms")]})
         else:
             frame = pd.concat(list(frames)).sort_values("seen_at")
-            for now, at in zip(frame[count].tolist(), frame["seen_at"], strict=True):
+            for now, at, made in zip(frame[count].tolist(), frame["seen_at"], frame["done"].tolist(), strict=True):
                 ms = int(at.value // 1_000_000)
-                if now != n:
+                if made and not done:
+                    n, since, done = now, ms, True
+                    yield pd.DataFrame({key: [name[0]], count: [n], "seen_at": [at]})
+                elif now != n:
                     n, since = now, ms
                 elif not done and ready(n, ms - since):
                     done = True
@@ -64,16 +91,19 @@ def _settled(key: str, count: str, rows: DataFrame, ready: Callable[[int, int],
 
 
 def stable_files(seen: DataFrame, quiet_ms: int = 1000, skip: str = ".xml", timer: bool = False) -> DataFrame:
-    """Of a stream of listings (path, size, seen_at): each file once, when its size has stayed for over ``quiet_ms``.
+    """Of a stream of listings (path, size, seen_at, done): each file once, when its size has stayed for over ``quiet_ms``, or at once if it is done.
 
-    Files that end in ``skip``, which results of other files do, are left out.
+    Files that end in ``skip``, which results of other files do, are no items themselves and are left out. A stream without
+    the column done has no results yet.
     """
-    return _settled("path", "size", seen.filter(~F.lower("path").endswith(skip)), lambda _, ms: ms > quiet_ms, quiet_ms, timer)
+    files = seen.filter(~F.lower("path").endswith(skip))
+    done = F.coalesce("done", F.lit(False)) if "done" in seen.columns else F.lit(False)
+    return _settled("path", "size", files.withColumn("done", done), lambda _, ms: ms > quiet_ms, quiet_ms, timer)
 
 
 def complete_series(tilts: DataFrame, expected: int, timeout_ms: int, timer: bool = False) -> DataFrame:
     """Of a stream (series, tilts, seen_at): each series once, when its number of tilts is the expected or has stayed for the timeout."""
-    return _settled("series", "tilts", tilts, lambda n, ms: n >= expected or ms > timeout_ms, timeout_ms, timer)
+    return _settled("series", "tilts", tilts.withColumn("done", F.lit(False)), lambda n, ms: n >= expected or ms > timeout_ms, timeout_ms, timer)
 
 
 def once(files: DataFrame, time: str | None = None, late: str = "1 day") -> DataFrame:

@@ -25,6 +25,52 @@ def test_stable_files(spark, tmp_path):
     assert [(r["path"], r["size"]) for r in rows] == [("a", 2)]
 
 
+def test_files_with_results_pass_at_once(spark, tmp_path):
+    """In the first batch a file goes on that has its result beside it; one without waits until it is quiet."""
+    at = "2024-01-01T00:00:0{}Z"
+    row = lambda p, n, k, done: {"path": p, "size": n, "seen_at": at.format(k), "done": done}
+    seen = spark.readStream.schema(folder.LISTING).option("maxFilesPerTrigger", 1).json(str(tmp_path))
+    feed(tmp_path, "1.json", [row("a", 1, 0, False), row("b", 1, 0, True), row("b.xml", 9, 0, False)])
+    rows = run(spark, folder.stable_files(seen), "first_batch")
+    assert [(r["path"], r["size"]) for r in rows] == [("b", 1)]
+    feed(tmp_path, "2.json", [row("a", 1, 2, False), row("b", 2, 2, True), row("c", 5, 2, False)])
+    feed(tmp_path, "3.json", [row("a", 1, 3, False), row("c", 6, 3, True), row("c", 6, 9, True)])
+    rows = run(spark, folder.stable_files(seen), "all_batches")
+    assert sorted((r["path"], r["size"]) for r in rows) == [("a", 1), ("b", 1), ("c", 6)]
+
+
+def test_listings_follow_what_happens(spark, tmp_path):
+    """A settled file is recorded no more, until it changes or its result comes."""
+    import time
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.mrc").write_bytes(b"1")
+    (tmp_path / "in" / "b.mrc").write_bytes(b"1")
+    (tmp_path / "in" / "b.xml").write_bytes(b"1")
+    table = str(tmp_path / "listings")
+    spark.createDataFrame([], folder.LISTING).write.parquet(table)
+    lister = folder.record_listings(spark, str(tmp_path / "in"), table, "*.mrc", quiet_ms=300).trigger(processingTime="500 milliseconds").start()
+
+    def of(name):
+        return sorted((r["seen_at"], r["size"], r["done"]) for r in spark.read.schema(folder.LISTING).parquet(table).collect() if r["path"].endswith(name))
+
+    def until(ready):
+        end = time.time() + 90
+        while time.time() < end and not ready():
+            time.sleep(0.5)
+        assert ready()
+
+    until(lambda: len(of("a.mrc")) >= 2)
+    time.sleep(4)
+    a, b = of("a.mrc"), of("b.mrc")
+    assert len(a) <= 3 and [r[1:] for r in b] == [(1, True)]
+    (tmp_path / "in" / "a.xml").write_bytes(b"1")
+    until(lambda: of("a.mrc")[-1][2])
+    (tmp_path / "in" / "b.mrc").write_bytes(b"12")
+    until(lambda: of("b.mrc")[-1][1] == 2)
+    lister.stop()
+
+
 def test_publish_twice_changes_nothing(spark, tmp_path):
     (tmp_path / "in").mkdir()
     feed(tmp_path / "in", "1.json", [{"item": 1, "v": 1}, {"item": 2, "v": 2}])
@@ -44,7 +90,10 @@ def test_stale_items(spark):
 
 def test_listing(spark, tmp_path):
     (tmp_path / "a.tif").write_bytes(b"123")
-    assert [r["size"] for r in folder.listing(spark, str(tmp_path), "*.tif").collect()] == [3]
+    (tmp_path / "b.tif").write_bytes(b"1")
+    (tmp_path / "b.xml").write_bytes(b"<Movie/>")
+    assert sorted((r["size"], r["done"]) for r in folder.listing(spark, str(tmp_path), "*.tif").collect()) == [(1, True), (3, False)]
+    assert {r["path"].rsplit("/", 1)[1]: r["done"] for r in folder.listing(spark, str(tmp_path)).collect()} == {"a.tif": False, "b.tif": True, "b.xml": False}
     assert folder.running_counts(spark.createDataFrame([("x",), ("x",)], "status string")).first()["n"] == 2
 
 
