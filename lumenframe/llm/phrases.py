@@ -18,13 +18,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import flat_bytes, lower_ascii, mix64, runs, slices, span_hashes, stored
+from lumenframe.llm.common import flat_bytes, lower_ascii, mix64, runs, slices, span_hashes, stored, with_row_id
 
-#: Text bytes of a shard, bits of the table of frequent pairs, and parts that each language's list is ranked in first.
-SHARD_BYTES, FILTER_BITS, PARTS = 4 << 20, 1 << 26, 64
+#: Text bytes of a shard, and bits of the table of frequent pairs.
+SHARD_BYTES, FILTER_BITS = 4 << 20, 1 << 26
 
 _END = np.zeros(256, dtype=bool)
 _END[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -213,11 +213,10 @@ def collocations(docs: DataFrame, *, text_col: str = "text", lang_col: str = "la
     both = cuts.select("lang", "phrase", cut, F.lit(None).cast("long").alias("longer")).unionByName(inner.select("lang", "phrase", F.col("f").alias("longer")), allowMissingColumns=True)
     best = both.groupBy("lang", "phrase").agg(F.min("cut").alias("cut"), F.max("longer").alias("longer"))
     best = best.filter(F.col("longer").isNull() | (100 * F.col("longer") < part_of * F.col("cut.a"))).select("lang", "phrase", "cut.a", "cut.l", "cut.r", "cut.score")
-    # a language's list is ranked in parts, so that no task sorts it all
-    order = [F.desc("score"), F.desc("a"), "phrase"]
-    part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS))
-    best = best.withColumn("part", part).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).filter(F.col("rank") <= top)
-    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).filter(F.col("rank") <= top)
+    # all lists are sorted as one, by ranges, so that no task sorts a language's; its first place is taken off
+    placed = stored(with_row_id(best, ["lang", F.desc("score"), F.desc("a"), "phrase"], "place"))
+    first = placed.groupBy("lang").agg(F.min("place").alias("first"))
+    best = placed.join(first, "lang").withColumn("rank", F.col("place") - F.col("first") + 1).filter(F.col("rank") <= top)
     totals = counts.filter("words = 0").select("lang", F.col("f").alias("n"))
     return best.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 

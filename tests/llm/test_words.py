@@ -138,10 +138,9 @@ def test_op12(spark, odd, odd_rows, none, duck):
 
 
 def test_op12_shards(spark, monkeypatch):
-    """Many small shards, few bits, few parts and ties at the list's end change nothing."""
+    """Many small shards, few bits and ties at the list's end change nothing."""
     monkeypatch.setattr(phrases, "SHARD_BYTES", 200)
     monkeypatch.setattr(phrases, "FILTER_BITS", 64)
-    monkeypatch.setattr(phrases, "PARTS", 3)
     draw = random.Random(12)
     words = ["a", "b", "ä", "c\u00a0d", "E", "f"]
     given = [(draw.choice(["x", None, "und", ""]), draw.choice(["", " "]) + "".join(draw.choice(words) + draw.choice([" ", "  ", "\t", ". ", "\n", "!?", " "]) for _ in range(draw.randint(0, 60)))) for _ in range(300)]
