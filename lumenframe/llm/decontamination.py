@@ -11,13 +11,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import extended, flat_bytes, lower_ascii, runs, slices, span_hashes
+from lumenframe.llm.common import extended, flat_bytes, fresh, lower_ascii, runs, slices, span_hashes, stored
 
 WINDOW = 13
 #: Text bytes of the benchmark that go to the workers at once; a larger benchmark is taken in several such blocks.
@@ -227,69 +228,99 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
 
     A text is contaminated if it has hits and they are a twentieth of its words or more. Null texts and items have no
     words. An item with a null id hits, but has no name to be counted by; items of one id are one item. Repeated rows
-    stay; columns of docs so named are replaced. The benchmark goes to the workers in blocks of BLOCK_BYTES; each block
-    is one pass over the texts.
+    stay; columns of docs so named are replaced, all others kept. A benchmark of more than BLOCK_BYTES is taken in blocks,
+    one after the other: the driver and a task hold one block at a time, and what a block hits is stored before the next.
     """
     spark = docs.sparkSession
-    given = docs.drop("n_words", "n_hit", "n_items", "items", "spans", "contaminated", "_hits", "_found").columns
     names = ["n_words", "n_hit", "n_items", "items", "spans", "contaminated"]
-    kept = docs.drop(*names, "_hits", "_found")
+    kept = docs.drop(*names)
+    given = kept.columns
+    final = extended(kept.schema, "n_words long, n_hit long, n_items long, items array<string>, spans array<struct<start:bigint,end:bigint>>, contaminated boolean")
     items = benchmark.select(F.col(item_id).cast("string").alias("_item"), F.col(item_text).alias("_text"))
     total = items.agg(F.sum(F.coalesce(F.octet_length("_text"), F.lit(0)) + 64)).first()[0] or 0
     blocks = max(1, -(-int(total) // BLOCK_BYTES))
     part_of = F.pmod(F.xxhash64("_item", "_text"), F.lit(blocks))
-    carried = extended(kept.schema, "_hits binary, _found array<string>")
-    final = extended(kept.schema, "n_words long, n_hit long, n_items long, items array<string>, spans array<struct<start:bigint,end:bigint>>, contaminated boolean")
 
-    def step(shared, last: bool):
+    def shared(block: int):
+        rows = [(r["_item"], r["_text"]) for r in items.filter(part_of == block).toLocalIterator()]
+        return spark.sparkContext.broadcast(Phrases(rows, window))
+
+    def found_in(phrases: Phrases, batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
+        """Where each row's words begin among all, which words are hit, and the rows' items."""
+        of, ids = _word_ids(phrases, batch, column)
+        mask, pairs = _find(phrases, batch.column(column), of, ids)
+        n_items = max(1, len(phrases.names))
+        cut = np.searchsorted(pairs // n_items, np.arange(batch.num_rows + 1))
+        return of, mask, [[phrases.names[k] for k in (pairs[a:b] % n_items).tolist()] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+    if blocks == 1:
+        only = shared(0)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            phrases = shared.value
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                ids, ends = [], [0]
-                for part in slices(batch, text_col):
-                    data, off = flat_bytes(part.column(text_col))
-                    low, s, e = words(data, off)
-                    ids.append(phrases.numbers(span_hashes(low, s, e)))
-                    ends += (ends[-1] + np.searchsorted(s, off)[1:]).tolist()
-                of = np.array(ends, dtype=np.int64)
-                mask, pairs = _find(phrases, batch.column(text_col), of, np.concatenate(ids))
-                n_items = max(1, len(phrases.names))
-                cut = np.searchsorted(pairs // n_items, np.arange(batch.num_rows + 1))
-                found = [[phrases.names[k] for k in (pairs[a:b] % n_items).tolist()] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                if "_hits" in batch.schema.names:
-                    for r, (old, more) in enumerate(zip(batch.column("_hits").to_pylist(), batch.column("_found").to_pylist(), strict=True)):
-                        if old:
-                            mask[np.frombuffer(old, np.int64) + of[r]] = True
-                        found[r] = found[r] + more
-                columns = list(batch.select(given).columns)
-                if not last:
-                    hits = [np.flatnonzero(mask[a:b]).tobytes() for a, b in zip(of[:-1], of[1:], strict=True)]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(hits, pa.binary()), pa.array(found, pa.list_(pa.string()))], names=[*given, "_hits", "_found"])
-                    continue
-                found = [sorted(set(x)) for x in found]
-                n_words = np.diff(of)
-                n_hit = np.diff(np.concatenate(([0], np.cumsum(mask)))[of])
-                s, e = runs(mask, of)
-                rows = np.searchsorted(of, s, side="right") - 1
-                spans: list[list] = [[] for _ in range(batch.num_rows)]
-                for r in np.unique(rows):
-                    one = batch.column(text_col).slice(int(r), 1)
-                    data, off = flat_bytes(one)
-                    _, ws, we = words(data, off)
-                    chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-                    spans[r] = [{"start": int(chars[ws[a - of[r]]]), "end": int(chars[we[b - 1 - of[r]]])} for a, b in zip(s[rows == r], e[rows == r], strict=True)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words), pa.array(n_hit), pa.array([len(x) for x in found], pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array((n_hit > 0) & (20 * n_hit >= n_words))], names=[*given, *names])
-
-        return run
-
-    out = kept
-    for k in range(blocks):
-        block = [(r["_item"], r["_text"]) for r in items.filter(part_of == k).collect()]
-        last = k == blocks - 1
-        out = out.mapInArrow(step(spark.sparkContext.broadcast(Phrases(block, window)), last), final if last else carried)
-    return out
+                if batch.num_rows:
+                    yield _told(batch, given, names, text_col, *found_in(only.value, batch, text_col))
+
+        return kept.mapInArrow(run, final)
+    row, hits, more = (fresh(given, x) for x in ("_row", "_hits", "_found"))
+    keyed = stored(kept.withColumn(row, F.monotonically_increasing_id()))
+    texts = keyed.select(F.col(row).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    parts = []
+    for block in range(blocks):
+        now = shared(block)
+
+        def search(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    of, mask, found = found_in(now.value, batch, "text")
+                    marks = [np.flatnonzero(mask[a:b]).tobytes() for a, b in zip(of[:-1], of[1:], strict=True)]
+                    hit = [k for k, m in enumerate(marks) if m]
+                    yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(hit, pa.int64())), pa.array([marks[k] for k in hit], pa.binary()), pa.array([found[k] for k in hit], pa.list_(pa.string()))], names=["row", "hits", "found"])
+
+        parts.append(stored(texts.mapInArrow(search, "row long, hits binary, found array<string>")))
+        now.destroy()
+    every = reduce(DataFrame.unionAll, parts).groupBy(F.col("row").alias(row)).agg(F.collect_list("hits").alias(hits), F.flatten(F.collect_list("found")).alias(more))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing = Phrases([], window)
+        for batch in batches:
+            if batch.num_rows:
+                of, _ = _word_ids(nothing, batch, text_col)
+                mask = np.zeros(int(of[-1]), dtype=bool)
+                for k, lists in enumerate(batch.column(hits).to_pylist()):
+                    for x in lists or []:
+                        mask[np.frombuffer(x, np.int64) + of[k]] = True
+                yield _told(batch, given, names, text_col, of, mask, [x or [] for x in batch.column(more).to_pylist()])
+
+    return keyed.join(every, row, "left").drop(row).mapInArrow(merge, final)
+
+
+def _word_ids(phrases: Phrases, batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where each row's words begin among all of the batch, and the words' numbers."""
+    ids, ends = [], [0]
+    for part in slices(batch, column):
+        data, off = flat_bytes(part.column(column))
+        low, s, e = words(data, off)
+        ids.append(phrases.numbers(span_hashes(low, s, e)))
+        ends += (ends[-1] + np.searchsorted(s, off)[1:]).tolist()
+    return np.array(ends, dtype=np.int64), np.concatenate(ids)
+
+
+def _told(batch: pa.RecordBatch, given: list[str], names: list[str], column: str, of: np.ndarray, mask: np.ndarray, found: list[list[str]]) -> pa.RecordBatch:
+    """The batch's rows with what was found in them."""
+    found = [sorted(set(x)) for x in found]
+    n_words = np.diff(of)
+    n_hit = np.diff(np.concatenate(([0], np.cumsum(mask)))[of])
+    s, e = runs(mask, of)
+    rows = np.searchsorted(of, s, side="right") - 1
+    spans: list[list] = [[] for _ in range(batch.num_rows)]
+    for r in np.unique(rows):
+        data, off = flat_bytes(batch.column(column).slice(int(r), 1))
+        _, ws, we = words(data, off)
+        chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+        spans[r] = [{"start": int(chars[ws[a - of[r]]]), "end": int(chars[we[b - 1 - of[r]]])} for a, b in zip(s[rows == r], e[rows == r], strict=True)]
+    columns = [batch.column(c) for c in given]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(n_words), pa.array(n_hit), pa.array([len(x) for x in found], pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array((n_hit > 0) & (20 * n_hit >= n_words))], names=[*given, *names])
 
 
 def items_digest(items: list[str]) -> str:

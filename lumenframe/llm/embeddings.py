@@ -82,9 +82,11 @@ def _centres(vectors: DataFrame, kind: str) -> dict[tuple, np.ndarray]:
     One job: the samples of all labels are drawn by hash and each is clustered in a task of its own.
     """
     wide = vectors.groupBy("_label", "_d").agg(F.count("*").alias("_rows")).filter(F.col("_rows") > BLOCK)
-    scale = F.least(F.lit(1.0), F.lit(MOST_CELLS) * BLOCK / F.sum("_rows"))
+    scale = F.when(F.sum(F.ceil(F.col("_rows") / BLOCK)) <= MOST_CELLS, F.lit(1.0)).otherwise(F.least(F.lit(1 - 1e-9), F.lit(MOST_CELLS) * BLOCK / F.sum("_rows")))
     wide = wide.crossJoin(F.broadcast(wide.agg(scale.alias("_scale"))))  # one row
-    wide = cut(wide.select("_label", "_d", F.greatest(F.lit(1), F.ceil(F.col("_rows") * F.col("_scale") / BLOCK)).cast("int").alias("_k"), "_rows"))
+    # in proportion to rows and rounded down, so that they add up to MOST_CELLS at most; a label of one cell needs no centre
+    cells = F.when(F.col("_scale") < 1, F.floor(F.col("_rows") * F.col("_scale") / BLOCK)).otherwise(F.ceil(F.col("_rows") / BLOCK)).cast("int")
+    wide = stored(wide.select("_label", "_d", cells.alias("_k"), "_rows").filter("_k > 1"))
     drawn = vectors.join(wide, ["_label", "_d"]).filter(F.pmod(F.xxhash64("_key"), F.lit(1 << 30)) * F.col("_rows") < F.lit(float(1 << 30) * PER_CELL) * F.col("_k"))
 
     def cluster(part: pa.Table) -> pa.Table:

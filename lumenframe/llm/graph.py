@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import cut
+from lumenframe.llm.common import dropped, stored
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -16,16 +16,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     they are joined, so that Spark may split a hub's edges over tasks. Loops, repeated edges and null ends do not count.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).dropna().filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    e = cut(e.distinct())
+    e = stored(e.distinct())
     mark = _mark(e)
     while mark[0]:
         # large star: u's larger neighbours are linked to the smallest of u and its neighbours
-        low = cut(e.groupBy("u").agg(F.min("v").alias("m")))
-        e = e.join(low.withColumnsRenamed({"u": "k", "m": "km"}), F.col("v") == F.col("k"), "left").select("u", F.coalesce("km", "v").alias("v"))
+        low = stored(e.groupBy("u").agg(F.min("v").alias("m")))
+        large = stored(e.join(low.withColumnsRenamed({"u": "k", "m": "km"}), F.col("v") == F.col("k"), "left").select("u", F.coalesce("km", "v").alias("v")))
+        dropped(e, low)
         # small star: u and its smaller neighbours are linked to the smallest of them
-        low = cut(e.groupBy("u").agg(F.min("v").alias("m")))
-        e = e.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v")
-        e = cut(e.distinct())
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m")))
+        e = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v")
+        e = stored(e.distinct())
+        dropped(large, low)
         now = _mark(e)
         if now == mark:
             break

@@ -6,7 +6,10 @@ prefixes find the rest: two sets whose similarity is t or more share a shingle a
 in any one order of all shingles, and behind the first that they share both hold enough for the overlap that t asks for.
 Only sets that meet so are compared, and no pair is lost. Stored are those prefixes, the heads; whole sets are made again
 from the texts, for pairs that the heads don't rule out. Shingles that are common in a bounded sample come last in the
-order: the sample only decides where sets meet. Each meeting's sets are first compared with the one that holds the least
+order. What is common but not in the sample shows as a head's shingle that more than HOT sets have there: the sets that
+have one are ordered anew among themselves by how many of them hold each shingle, counted exactly, so that whatever many
+share comes last, a passage in few of very many texts too. Two sets that meet at a hot shingle both are among these; any
+others meet elsewhere, where groups are small. Each meeting's sets are first compared with the one that holds the least
 before the shared shingle, as a rule the text that the others are edits of; then only pairs of different components are.
 """
 
@@ -27,6 +30,8 @@ from lumenframe.llm.simhash import SEED, _majority, link
 SHINGLE, SIMILARITY = 5, 0.8
 #: Differing bits within which fingerprints meet in the tree.
 REACH = 3
+#: Sets that may meet at one shingle before they are ordered anew.
+HOT = 64
 #: Texts that are looked at for common shingles, in how many of them one is common, and how many are told to all tasks.
 SAMPLE, COMMON, MOST = 5000, 3, 50_000
 
@@ -140,6 +145,35 @@ def _close(rows: DataFrame, reach: int) -> DataFrame:
     return far.unionByName(same).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def _places(rows: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(token, node, n, i): stored; the shingles of heads at which sets meet, with each set's size and the shingle's place in its order."""
+    places = rows.select("node", "n", F.posexplode("head").alias("i", "token"))
+    distinct = stored(places.dropDuplicates(["token", "node"]))
+    meet = stored(distinct.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1"))
+    places = stored(distinct.join(meet, "token").select("token", "node", "n", "i", "c"))
+    dropped(distinct, meet)
+    hot = stored(places.filter(F.col("c") > HOT).select("node").distinct())
+    cold = places.filter(F.col("c") <= HOT).drop("c")
+    # one text of each of these sets
+    texts = stored(rows.join(hot, "node", "left_semi").groupBy("node").agg(F.min("_id").alias("of")).select("of").distinct())
+    sets = shingle_sets(docs.join(texts, F.col("_id").eqNullSafe(F.col("of")), "left_semi"), shingle=shingle)
+    sets = stored(sets.join(hot, "node", "left_semi").groupBy("node").agg(F.first("s").alias("s")))
+    held = sets.select("node", F.explode("s").alias("token"))
+    # a shingle that one set only holds comes first, without a row
+    counts = stored(held.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1"))
+    shared = held.join(counts, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("last"))
+    n = F.size("s")
+    alone = n - F.coalesce(F.size("last"), F.lit(0))
+    length = n - F.ceil(similarity * n - 1e-9).cast("int") + 1
+    head = sets.join(shared, "node", "left").select("node", n.alias("n"), alone.alias("alone"), F.slice("last", 1, F.greatest(F.lit(0), length - alone)).alias("head"))
+    again = head.select("node", "n", "alone", F.posexplode("head").alias("k", "t"))
+    # the two orders are told apart by their tokens
+    again = again.select(F.xxhash64("t.token", F.lit(2)).alias("token"), "node", "n", (F.col("alone") + F.col("k")).alias("i"))
+    out = stored(cold.unionByName(again))
+    dropped(places, hot, texts, sets, counts)
+    return out
+
+
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) that are not in one component yet, the lesser first."""
     pairs = pairs.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
@@ -167,10 +201,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         small, large = F.least(n, m), F.greatest(n, m)
         return (small >= similarity * large - 1e-9) & (F.least(F.col(n) - F.col(i), F.col(m) - F.col(j)) >= share * (F.col(n) + F.col(m)) - 1e-9)
 
-    places = rows.select("node", "n", F.posexplode("head").alias("i", "token"))
-    meet = stored(places.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("token"))
-    places = stored(places.join(meet, "token", "left_semi").dropDuplicates(["token", "node"]))
-    dropped(meet)
+    places = _places(rows, docs, shingle, similarity)
     # the text that holds the least before the token: edits of one text share most with it
     hub = F.min(F.struct((F.col("i") / F.col("n")).alias("part"), "node", "n", "i")).alias("hub")
     hubs = places.join(places.groupBy("token").agg(hub), "token").select(F.col("hub.part").alias("part"), F.col("hub.node").alias("a"), F.col("hub.n").alias("m"), F.col("hub.i").alias("j"), F.col("node").alias("b"), "n", "i")

@@ -242,10 +242,31 @@ def test_op5(spark, rows, odd, odd_rows, none, monkeypatch):
         monkeypatch.setattr(decontamination, "BLOCK_BYTES", size)
         out = decontamination.decontaminate(odd, table).withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256))
         assert got(out, "doc_id", *columns) == expected
+        # columns of names that the operator uses stay as they are, but for its results
+        clash = odd.select("*", *[F.lit(f"my {c}").alias(c) for c in ("_hits", "_found", "_row", "items")])
+        out = decontamination.decontaminate(clash, table).withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256))
+        assert got(out, "doc_id", *columns) == expected
+        assert {(r["_hits"], r["_found"], r["_row"]) for r in out.collect()} == {("my _hits", "my _found", "my _row")}
     assert decontamination.decontaminate(none, table).count() == 0
     assert {r["n_hit"] for r in decontamination.decontaminate(odd, table.limit(0)).collect()} == {0}
 
 
+def test_op5_many_blocks(spark, monkeypatch):
+    """A benchmark of 200 blocks: one pass of the texts each, one plan node in each plan, and the same rows as at once."""
+    rng = np.random.default_rng(5)
+    items = [(f"i{k}", " ".join(f"q{x}" for x in rng.integers(0, 60, int(rng.integers(1, 16))))) for k in range(300)]
+    given = [(k, " ".join(f"q{x}" for x in rng.integers(0, 60, 40)) + (" " + items[k][1] if k % 3 == 0 else "")) for k in range(60)]
+    docs, table = spark.createDataFrame(given, "doc_id long, text string").repartition(2), spark.createDataFrame(items, "item_id string, text string")
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 110)
+    plans, real = [], decontamination.stored
+    monkeypatch.setattr(decontamination, "stored", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")), real(df))[1])
+    out = decontamination.decontaminate(docs, table)
+    assert len(plans) > 150 and max(plans) == 1 and out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    columns = "n_words", "n_hit", "n_items", "items_sha256", "contaminated"
+    out = out.withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256))
+    assert got(out, "doc_id", *columns) == want((i, *x) for (i, _), x in zip(given, brute.contamination([t for _, t in given], items), strict=True))
+
+
 def encoded(rows):
     from tokenizers import Tokenizer
 
@@ -344,6 +365,20 @@ def test_near_copies_without_hub(spark):
         assert got(jaccard.near_duplicates(docs, reach=reach), "doc_id", "component_id") == want((k, c) for k, c in enumerate(of))
 
 
+def test_near_copies_and_boilerplate(spark, monkeypatch):
+    """Texts that share most of their words, but too few to link, meet in no more pairs than there are texts; those that link do."""
+    monkeypatch.setattr(jaccard, "SAMPLE", 1)  # the shared passage is not in the sample
+    made, real = [], jaccard._similar
+    monkeypatch.setattr(jaccard, "_similar", lambda pairs, *a: (made.append(pairs.count()), real(pairs, *a))[1])
+    for n in (150, 400):
+        made.clear()
+        given = [(k, " ".join([f"b{x}" for x in range(100)] + [f"o{k}x{x}" for x in range(45 if k % 10 else 8)])) for k in range(n)]
+        given += [(n + k, given[k][1].replace("b50", "changed")) for k in range(0, 60, 7)]
+        docs = spark.createDataFrame(given, "doc_id long, text string").repartition(4)
+        assert got(jaccard.near_duplicates(docs), "doc_id", "component_id") == want(zip([i for i, _ in given], brute.similar(given), strict=True))
+        assert sum(made) < 4 * n
+
+
 def test_pipeline_repeated_ids(spark):
     """One row of each group stays, also where rows share an id or have none."""
     a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
@@ -512,3 +547,21 @@ def test_pipeline_odd(spark, tmp_path, odd):
     for table in ("labels", "benchmark"):
         spark.read.parquet(f"{SF}/{table}.parquet").limit(0).write.parquet(f"{tmp_path}/{table}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 5
+
+
+def test_pipeline_columns(spark, odd, odd_rows):
+    """Each stage returns the columns of its rows with the values they had, whatever their names."""
+    names = ["score", "offending", "n_lines", "n_removed", "n_words", "n_hit", "n_items", "items", "spans", "contaminated", "_hits", "_found", "_own", "given", "component_id", "id", "doc", "key", "_row"]
+    base = odd.select("doc_id", "text", F.monotonically_increasing_id().alias("was"))
+    docs = base.select("doc_id", "text", "was", *[F.concat(F.lit(f"{c} of "), F.col("was").cast("string")).alias(c) for c in names], F.lit(7).cast("short").alias("n_chars"))
+    rows = {r["was"]: r for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.dtypes == docs.dtypes, name
+        kept = out.collect()
+        assert len({r["was"] for r in kept}) == len(kept) > 3
+        for r in kept:
+            assert all(r[c] == rows[r["was"]][c] for c in ["doc_id", *names]), name
+            assert r["n_chars"] == 7 or name == "line dedup"
+    out = corpus_pipeline.encode(spark, docs, SF)
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() == len(odd_rows)
