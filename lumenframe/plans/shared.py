@@ -24,16 +24,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder, where no lost executor takes it away."""
-    sc = df.sparkSession.sparkContext
-    root = shared_dir(df.sparkSession)
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(root)
-    return df.checkpoint(eager=True)
+    """``df`` computed once and kept in the shared folder, where no lost executor takes it away, until the application ends or it is ``dropped``."""
+    return stored(df)
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Like ``cut``, as compressed Parquet: for tables whose size follows the input.
+    """``df`` written once as compressed Parquet and read again: the lineage ends here.
 
     Shuffle files of the job go once it is done. The table goes by ``dropped``, or when the application ends.
     """
