@@ -2,25 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm import bpe, decontamination, jaccard, lines, toxicity
 from lumenframe.llm.common import dropped, fresh, remainder, stored
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, given): all other columns in one, so that no name that an operator gives or needs meets one of theirs."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*others or [F.lit(0).alias("none")]).alias("given"))
+
+
+def _unpacked(found: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of ``docs`` as they were, but for those ``changed``."""
+    return found.select(*[changed[c].alias(c) if c in changed else F.col(c) if c in ("doc_id", "text") else F.col(f"given.`{c}`") for c in docs.columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under 0.5; the model is fitted to labelled documents outside the held-out fifth."""
-    scored = toxicity.detect(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), train_on=remainder(F.col("doc_id"), 5) != 0)
-    return scored.filter("score < 0.5").select(docs.columns)
+    scored = toxicity.detect(spark, _packed(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"), train_on=remainder(F.col("doc_id"), 5) != 0)
+    return _unpacked(scored.filter("score < 0.5"), docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the later copies of repeated line runs, n_chars anew; one that loses all its text goes."""
-    found = lines.dedup_lines(docs)
-    if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return found.filter("n_removed = 0 OR text IS NULL OR text <> ''").select(docs.columns)
+    found = lines.dedup_lines(_packed(docs)).filter("n_removed = 0 OR text IS NULL OR text <> ''")
+    if "n_chars" not in docs.columns:
+        return _unpacked(found, docs)
+    n_chars = F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("given.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return _unpacked(found, docs, n_chars=n_chars)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +49,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by a benchmark item."""
-    found = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.filter(~F.col("contaminated")).select(docs.columns)
+    found = decontamination.decontaminate(_packed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _unpacked(found.filter(~F.col("contaminated")), docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +58,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     vocabulary = bpe.read_vocabulary(public_tokenizers.path("word_bpe_49k.json"))
-    return bpe.encode_decode(docs, vocabulary, digests=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe.encode_decode(docs.select("doc_id", "text"), vocabulary, digests=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [("toxicity", drop_toxic), ("line dedup", drop_repeated_lines), ("SimHash near-dedup", drop_near_duplicates), ("benchmark decontamination", drop_contaminated), ("BPE encoding", encode)]
