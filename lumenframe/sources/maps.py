@@ -335,13 +335,16 @@ def as_mrc(slices: DataFrame) -> DataFrame:
 
 
 def write(slices: DataFrame, folder: str, *, mode: int = 2, ext: str = "mrc") -> DataFrame:
-    """Writes each path's layers to ``folder``, as base name and ``ext`` (mrc, mrcs, st, rec or em), and returns (path, file, layers, bytes).
+    """Writes each path's layers to ``folder``, as base name and ``ext`` (mrc, mrcs, st, rec, em, or tif by its own modes), and returns (path, file, layers, bytes).
 
     A file is written by the task that has its layers in order, one at a time: memory is that of a layer. It gets its name
     when it is whole, so that a task that is run again replaces what a lost one left. Layers are numbered anew without gaps;
     two paths of one base name are an error.
     """
-    kind, samples = EM_MODES[mode] if ext == "em" else MRC_MODES[mode]
+    from lumenframe.sources import tiff
+
+    tif = ext in ("tif", "tiff")
+    kind, samples = (tiff.MODES[mode], 1) if tif else EM_MODES[mode] if ext == "em" else MRC_MODES[mode]
     base = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
     stats = slices.select("path", base.alias("_base"), F.size("data").alias("_n"), F.array_min("data").alias("_low"), F.array_max("data").alias("_high"), F.aggregate("data", F.lit(0.0).cast("double"), lambda a, x: a + x).alias("_sum"))
     stats = stats.groupBy("path", "_base").agg(F.count("*").alias("_layers"), F.min("_low").alias("_low"), F.max("_high").alias("_high"), (F.sum("_sum") / F.greatest(F.lit(1), F.sum("_n"))).alias("_mean"))
@@ -366,13 +369,18 @@ def write(slices: DataFrame, folder: str, *, mode: int = 2, ext: str = "mrc") ->
                         yield close()
                     path, now, layers, done = r.path, r[frame.columns.get_loc("_base")], 0, 0
                     depth, low, high, mean = (r[frame.columns.get_loc(c)] for c in ("_layers", "_low", "_high", "_mean"))
-                    head = em_head(r.width, r.height, depth, mode, r.pixel_size) if ext == "em" else mrc_head(r.width, r.height, depth, mode, r.pixel_size, low, high, mean)
+                    if tif:
+                        head = tiff.head(r.width, r.height, depth, kind)
+                    else:
+                        head = em_head(r.width, r.height, depth, mode, r.pixel_size) if ext == "em" else mrc_head(r.width, r.height, depth, mode, r.pixel_size, low, high, mean)
                     out = system.open_output_stream(f"{place}/.{now}.{ext}.part")
                     out.write(head)
                     done = len(head)
                 if len(r.data) != r.width * r.height * samples:
                     raise ValueError(f"layer {r.z} of {r.path} has {len(r.data)} samples")
-                body = as_samples(np.asarray(r.data), kind)
+                body = as_samples(np.asarray(r.data).reshape(r.height, -1)[::-1] if tif else np.asarray(r.data), kind)
+                if tif:
+                    body = tiff.directory(r.width, r.height, depth, kind, layers) + body
                 out.write(body)
                 layers, done = layers + 1, done + len(body)
         if out is not None:
