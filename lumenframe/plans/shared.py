@@ -49,6 +49,16 @@ def stored(df: DataFrame) -> DataFrame:
     return out
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder for files, which goes when the application ends."""
+    folder = f"{shared_dir(spark)}/lumenframe-{spark.sparkContext.applicationId}"
+    path = f"{folder}/{uuid.uuid4().hex}"
+    file_system, where = _file_system(spark, path)
+    file_system.mkdirs(where)
+    file_system.deleteOnExit(_file_system(spark, folder)[1])
+    return path
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes stored tables that nothing reads any more."""
     for table in tables:

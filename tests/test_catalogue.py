@@ -3,7 +3,7 @@
 import pytest
 from conftest import SF
 
-from lumenframe.plans import tables  # noqa: F401
+from lumenframe.plans import files, tables  # noqa: F401
 from lumenframe.plans.catalogue import ORACLES, QUERIES
 
 
