@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lumenframe.functions import directions
 from lumenframe.operators import components, table
 from lumenframe.plans.catalogue import _query, _t
 from lumenframe.plans.shared import scratch
@@ -69,3 +70,19 @@ def image_components(spark, sf_dir):
     pixels = p.select(F.lit("parts").alias("path"), (F.col("p_partkey") % 50).cast("int").alias("x"), F.expr("CAST(p_partkey div 50 AS INT)").alias("y"), F.lit(1.0).alias("value"))
     found = components.components(components.tiles_from_pixels(pixels, 16))
     return found.select("component", "first_x", "first_y", "n", "low_x", "high_x", "low_y", "high_y", F.round("x", 6).alias("x"))
+
+
+@_query("""WITH a AS (SELECT CAST(CAST(l_extendedprice * 100 AS BIGINT) % 72000 AS DOUBLE) / 100 - 360 AS r0, l_quantity * 3.6 + l_discount AS t0 FROM lineitem),
+ b AS (SELECT CASE WHEN r0 < 0 THEN r0 + 360 ELSE r0 END AS r, t0 FROM a), c AS (SELECT CASE WHEN t0 > 90 THEN r + 180 ELSE r END AS r, CASE WHEN t0 > 90 THEN 180 - t0 ELSE t0 END AS t FROM b),
+ d AS (SELECT greatest(0, least(2880, round_even((CASE WHEN r > 360 THEN r - 360 ELSE r END) * 8, 0))) AS r, greatest(0, least(720, round_even(t * 8, 0))) AS t FROM c),
+ cells AS (SELECT r, t, count(*) AS n, radians(r / 8) AS ra, radians(t / 8) AS ta FROM d GROUP BY r, t),
+ rings AS (SELECT i, CASE WHEN i < 4 THEN i ELSE 4 END AS q, CASE WHEN i < 4 THEN 1 - i * i / 48.0 ELSE 4 / 3.0 - i / 6.0 END AS z, CASE WHEN i < 4 THEN 0.5 ELSE 0.5 + (i % 2) * 0.5 END AS s FROM range(1, 9) g(i)),
+ bins AS (SELECT row_number() OVER (ORDER BY i, j) - 1 AS bin, (j - s) * 90 / q AS rot, degrees(acos(z)) AS tilt FROM (SELECT i, q, z, s, unnest(range(1, 4 * q + 1)) AS j FROM rings)),
+ near AS (SELECT c.n, arg_min(b.bin, (round((sin(ta) * cos(ra) - sin(radians(tilt)) * cos(radians(rot))) ** 2 + (sin(ta) * sin(ra) - sin(radians(tilt)) * sin(radians(rot))) ** 2 + (cos(ta) - cos(radians(tilt))) ** 2, 9), b.bin)) AS bin FROM cells c, bins b GROUP BY c.r, c.t, c.n)
+ SELECT CAST(near.bin AS INTEGER) AS bin, CAST(sum(n) AS BIGINT) AS n FROM near GROUP BY 1""")
+def angular_distribution(spark, sf_dir):
+    """Directions of all picks by the nearest of equal-area pixels of the upper half."""
+    li = _t(spark, sf_dir, "lineitem")
+    rot = (F.round(F.col("l_extendedprice") * 100).cast("long") % 72000).cast("double") / 100 - 360
+    bins = directions.centres(2, nested=False, limit_tilt=90 + 1e-9)
+    return directions.angular_bins(li.select(rot.alias("rot"), (F.col("l_quantity") * 3.6 + F.col("l_discount")).alias("tilt")), "rot", "tilt", bins).select("bin", "n")
