@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenframe.functions import directions
-from lumenframe.operators import components, table
+from lumenframe.operators import components, defects, fits, table
 from lumenframe.plans.catalogue import _query, _t
 from lumenframe.plans.shared import scratch
 from lumenframe.sources import item_xml, maps
@@ -86,3 +86,30 @@ def angular_distribution(spark, sf_dir):
     rot = (F.round(F.col("l_extendedprice") * 100).cast("long") % 72000).cast("double") / 100 - 360
     bins = directions.centres(2, nested=False, limit_tilt=90 + 1e-9)
     return directions.angular_bins(li.select(rot.alias("rot"), (F.col("l_quantity") * 3.6 + F.col("l_discount")).alias("tilt")), "rot", "tilt", bins).select("bin", "n")
+
+
+@_query("""WITH r AS (SELECT n_nationkey * 37 % 180 AS x, n_nationkey * 53 % 900 AS y, 5 + n_regionkey * 3 AS w, 10 + n_nationkey * 7 AS h FROM nation)
+ SELECT l_orderkey * 10 + l_linenumber AS id, EXISTS (SELECT 1 FROM r WHERE l_partkey % 200 >= x AND l_partkey % 200 < x + w AND l_orderkey % 1000 >= y AND l_orderkey % 1000 < y + h) AS defect FROM lineitem""")
+def defective_picks(spark, sf_dir):
+    """Picks that lie in one of the detector's defect rectangles."""
+    n = _t(spark, sf_dir, "nation")
+    key = F.col("n_nationkey")
+    r = n.select((key * 37 % 180).alias("x"), (key * 53 % 900).alias("y"), (5 + F.col("n_regionkey") * 3).alias("width"), (10 + key * 7).alias("height"))
+    li = _t(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_partkey") % 200).alias("x"), (F.col("l_orderkey") % 1000).alias("y"))
+    return defects.mark_defects(li, r).select("id", "defect")
+
+
+@_query("""SELECT l_suppkey, round(regr_slope(l_extendedprice, l_quantity), 4) + 0.0 AS slope, round(regr_intercept(l_extendedprice, l_quantity), 2) + 0.0 AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS quality FROM lineitem GROUP BY 1 HAVING var_pop(l_quantity) > 0.01""")
+def line_fits(spark, sf_dir):
+    """A line through the picks of each source."""
+    f = fits.fit_lines(_t(spark, sf_dir, "lineitem"), ["l_suppkey"], x="l_quantity", y="l_extendedprice").filter("slope <> 0 or intercept <> 0")
+    return f.select("l_suppkey", (F.round("slope", 4) + 0.0).alias("slope"), (F.round("intercept", 2) + 0.0).alias("intercept"), F.round("quality", 6).alias("quality"))
+
+
+@_query("""WITH s AS (SELECT l_suppkey AS k, covar_pop(l_quantity, l_quantity) AS xx, covar_pop(l_quantity, l_discount) AS xy, covar_pop(l_discount, l_discount) AS yy, covar_pop(l_quantity, l_extendedprice) AS xz, covar_pop(l_discount, l_extendedprice) AS yz, avg(l_quantity) AS mx, avg(l_discount) AS my, avg(l_extendedprice) AS mz FROM lineitem GROUP BY 1),
+ p AS (SELECT *, (xz * yy - yz * xy) / (xx * yy - xy * xy) AS a, (yz * xx - xz * xy) / (xx * yy - xy * xy) AS b FROM s WHERE xx * yy - xy * xy > 1e-9 * xx * yy)
+ SELECT k AS l_suppkey, round(a, 3) + 0.0 AS a, round(b, 1) + 0.0 AS b, round(mz - a * mx - b * my, 1) + 0.0 AS c FROM p""")
+def plane_fits(spark, sf_dir):
+    """A plane through the picks of each source."""
+    f = fits.fit_planes(_t(spark, sf_dir, "lineitem"), ["l_suppkey"], x="l_quantity", y="l_discount", z="l_extendedprice").filter("a is not null")
+    return f.select("l_suppkey", (F.round("a", 3) + 0.0).alias("a"), (F.round("b", 1) + 0.0).alias("b"), (F.round("c", 1) + 0.0).alias("c"))
