@@ -36,7 +36,7 @@ def map_reductions(spark, sf_dir):
     return maps.centre_of_mass(layers).join(top, "path").select(F.col("path").alias("name"), (F.round("mass", 2) + 0.0).alias("mass"), "top")
 
 
-@_query("""SELECT 's' || s_suppkey AS root_name, round(s_acctbal, 2) AS resolution, CASE s_nationkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS manual, s_name AS supplier, CAST(2 * (1 + s_nationkey % 4) AS INTEGER) AS nodes,
+@_query("""SELECT 's' || s_suppkey AS root_name, round(s_acctbal, 2) AS resolution, CASE s_nationkey % 3 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' ELSE 'open' END AS manual, s_name AS supplier, CAST(2 * (1 + s_nationkey % 4) AS INTEGER) AS nodes,
  CAST(list_sum(list_transform(range(2 * (1 + s_nationkey % 4)), lambda i: i * (s_suppkey % 7))) AS DOUBLE) AS total, CAST(s_nationkey % 3 AS INTEGER) AS tilts FROM supplier""")
 def item_records(spark, sf_dir):
     """Items and series as XML files, one each, and read back by schema: attributes, parameters, grids and tilts."""
@@ -56,7 +56,7 @@ def item_records(spark, sf_dir):
     item_xml.write(items, folder).count()
     back = item_xml.read(spark, folder)
     g = F.element_at("grids", F.lit("GridCTF"))
-    return back.select("root_name", F.col("resolution").cast("double").alias("resolution"), F.col("unselect_manual").alias("manual"), F.element_at("ctf", F.lit("Supplier")).alias("supplier"), (g["width"] * g["height"]).alias("nodes"), F.aggregate(g["values"], F.lit(0.0).cast("double"), lambda a, x: a + x).alias("total"), F.coalesce(F.size("tilts"), F.lit(0)).alias("tilts"))
+    return back.select("root_name", F.col("resolution").cast("double").alias("resolution"), F.when(F.col("unselect_manual"), "yes").when(~F.col("unselect_manual"), "no").otherwise("open").alias("manual"), F.element_at("ctf", F.lit("Supplier")).alias("supplier"), (g["width"] * g["height"]).alias("nodes"), F.aggregate(g["values"], F.lit(0.0).cast("double"), lambda a, x: a + x).alias("total"), F.coalesce(F.size("tilts"), F.lit(0)).alias("tilts"))
 
 
 @_query("""WITH RECURSIVE p AS (SELECT CAST(p_partkey % 50 AS BIGINT) AS x, CAST(p_partkey // 50 AS BIGINT) AS y FROM part WHERE p_size % 3 = 0),

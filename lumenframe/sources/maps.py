@@ -135,6 +135,10 @@ def format_of(path: str, options: dict[str, str]) -> Callable[[BinaryIO], Stack]
     ext = path.rsplit(".", 1)[-1].lower()
     if ext in FORMATS:
         return FORMATS[ext]
+    if ext in ("dm3", "dm4"):
+        from lumenframe.sources import dm
+
+        return dm.dm
     if "raw" in options:
         width, height, begin, kind = options["raw"].split(",")
         return raw_layers(int(width), int(height), int(begin), kind)
