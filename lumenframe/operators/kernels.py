@@ -43,7 +43,7 @@ def resample_curves(nodes: DataFrame, points: DataFrame, *, key: str, x: str = "
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({key: [], x: [], y: []})
+            return pd.DataFrame(columns=[key, x, y], dtype=object)
         left = left.sort_values(x).drop_duplicates(x)
         values = pchip(left[x].to_numpy(float), left[y].to_numpy(float), right[x].to_numpy(float))
         return pd.DataFrame({key: right[key], x: right[x].astype(float), y: values})

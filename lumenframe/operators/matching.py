@@ -144,7 +144,7 @@ def match_particles(own: DataFrame, other: DataFrame, *, key: str, id_col: str,
 
     def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({key: [], "own_id": [], "other_id": [], "distance": []})
+            return pd.DataFrame(columns=[key, "own_id", "other_id", "distance"], dtype=object)  # an empty column of floats is no key of another type
         left, right = left.sort_values(id_col), right.sort_values(id_col)
         a, b = _positions(left, axes), _positions(right, axes)
         if how == "greedy":

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenframe.functions import directions
-from lumenframe.operators import components, defects, fits, table
+from lumenframe.operators import components, curves, defects, fits, table
 from lumenframe.plans.catalogue import _query, _t
 from lumenframe.plans.shared import scratch
 from lumenframe.sources import item_xml, maps
@@ -113,3 +113,10 @@ def plane_fits(spark, sf_dir):
     """A plane through the picks of each source."""
     f = fits.fit_planes(_t(spark, sf_dir, "lineitem"), ["l_suppkey"], x="l_quantity", y="l_discount", z="l_extendedprice").filter("a is not null")
     return f.select("l_suppkey", (F.round("a", 3) + 0.0).alias("a"), (F.round("b", 1) + 0.0).alias("b"), (F.round("c", 1) + 0.0).alias("c"))
+
+
+@_query("""SELECT l_suppkey, round(4 * regr_slope(ln(l_extendedprice), 1.0 / ((l_quantity / 4 + 2) * (l_quantity / 4 + 2))), 3) + 0.0 AS b_factor FROM lineitem WHERE l_quantity / 4 + 2 BETWEEN 3 AND 10 AND l_extendedprice > 0 GROUP BY 1 HAVING var_pop(l_quantity) > 0.01""")
+def b_factors(spark, sf_dir):
+    """Fall-off of amplitudes with resolution for each source, by sums."""
+    li = _t(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_quantity") / 4 + 2).alias("resolution"), F.col("l_extendedprice").alias("amplitude"))
+    return curves.b_factors(li, ["l_suppkey"]).filter("b_factor <> 0").select("l_suppkey", (F.round("b_factor", 3) + 0.0).alias("b_factor"))

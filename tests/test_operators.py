@@ -106,6 +106,15 @@ def test_greedy_pairs_and_limit():
     assert matching.greedy_pairs(own, other, 5.0) == [(0, 0, 1.0)]
 
 
+def test_keys_of_text_on_one_side_only(spark):
+    a = spark.createDataFrame([("p", 1, 0.0), ("q", 2, 5.0)], "k string, id long, x double")
+    b = spark.createDataFrame([("q", 3, 6.0), ("r", 4, 1.0)], "k string, id long, x double")
+    for how in ("greedy", "optimal"):
+        assert [tuple(r) for r in matching.match_particles(a, b, key="k", id_col="id", axes="x", how=how).collect()] == [("q", 2, 3, 1.0)]
+    curve = kernels.resample_curves(a.select("k", F.col("x"), F.col("x").alias("y")), b.select("k", "x"), key="k").collect()
+    assert [tuple(r) for r in curve] == [("q", 6.0, 5.0)]
+
+
 def test_status_of_an_item_left_out(spark):
     df = spark.createDataFrame([(True, None), (None, None), (None, 1), (None, 2), (False, 1)], "manual boolean, o int")
     s = quality.status(F.col("manual"), F.lit(True), {"ctf": F.col("o")}, {"ctf": (F.lit(True), F.lit(1))}, F.lit(False))
