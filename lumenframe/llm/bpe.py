@@ -30,6 +30,19 @@ LEAF_BYTES, TWIG = 4096, 16
 MEMORY_WORDS = 100_000
 
 
+def check(vocabulary: str) -> None:
+    """Refuses what the codec would not carry out as the library does."""
+    spec = json.loads(vocabulary)
+    model, added = spec["model"], spec.get("added_tokens") or []
+    wrong = [name for name in ("unk_token", "continuing_subword_prefix", "dropout", "byte_fallback", "ignore_merges", "fuse_unk") if model.get(name)]
+    wrong += [f"added token {x['content']} {name}" for x in added for name in ("single_word", "lstrip", "rstrip", "normalized") if x.get(name)]
+    wrong += [name for name in ("decoder",) if spec.get(name)]
+    if model.get("type", "BPE") != "BPE" or not spec.get("pre_tokenizer"):
+        wrong.append("a model other than BPE, or no splitter")
+    if wrong:
+        raise ValueError(f"a vocabulary with {', '.join(wrong)} is not supported")
+
+
 class Codec:
     """A vocabulary file of the tokenizers library, with the parts that trees need."""
 
@@ -39,6 +52,7 @@ class Codec:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, models
 
+        check(vocabulary)
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -131,6 +145,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, *, text_col: str = "text", l
     empty; repeated rows stay as they are; columns of docs named like a result are replaced. ``digests``: SHA-256 of
     both in hexadecimal, ids_sha256 and decoded_sha256, in place of the columns themselves.
     """
+    check(vocabulary)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(vocabulary)
     names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["n_tokens", "ids", "decoded"]

@@ -293,6 +293,18 @@ def test_op6(spark, rows, odd, odd_rows, none):
     assert got(out, *columns) == want(encoded(odd_rows))
 
 
+def test_op6_refuses(spark):
+    """A vocabulary that asks for more than trees of merges carry out is an error, not another result."""
+    import json
+
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    for change in (lambda s: s.update(decoder={"type": "BPEDecoder", "suffix": "</w>"}), lambda s: s["added_tokens"][0].update(normalized=True), lambda s: s["added_tokens"][1].update(single_word=True), lambda s: s["model"].update(byte_fallback=True), lambda s: s["model"].update(ignore_merges=True), lambda s: s["model"].update(type="WordPiece"), lambda s: s["model"].update(dropout=0.1)):
+        spec = json.loads(vocabulary())
+        change(spec)
+        with pytest.raises(ValueError, match="not supported"):
+            bpe.encode_decode(docs, json.dumps(spec))
+
+
 def test_op6_long_pieces(spark):
     """Pieces of many lengths go through trees of leaves of a few bytes, in one task and over several."""
     rng = np.random.default_rng(6)
