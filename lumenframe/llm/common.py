@@ -160,3 +160,23 @@ def runs(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def space_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words between ASCII white space."""
     return runs(~_SPACE[data], off)
+
+
+#: Bits of a table that tells which 64-bit hashes are worth a row.
+FILTER_BITS = 1 << 26
+
+
+def bit_table(hashes: DataFrame, column: str, bits: int | None = None) -> np.ndarray:
+    """A bit for each hash, by its lowest bits: a table of that fixed size whatever the number of hashes, which may let others through and stops none of them."""
+    bits = bits or FILTER_BITS
+    place = F.col(column).bitwiseAND(F.lit(bits - 1))
+    words = hashes.select(F.shiftright(place, 6).alias("w"), place.bitwiseAND(F.lit(63)).cast("int").alias("b")).groupBy("w").agg(F.expr("bit_or(shiftleft(1L, b))").alias("bits"))
+    rows = words.toArrow()  # bits / 64 rows at most
+    table = np.zeros(bits // 64, dtype=np.uint64)
+    table[rows.column("w").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return table
+
+
+def in_table(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes.view(np.uint64) & np.uint64(len(table) * 64 - 1)
+    return ((table[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)

@@ -6,16 +6,18 @@ prefixes find the rest: two sets whose similarity is t or more share a shingle a
 in any one order of all shingles, and behind the first that they share both hold enough for the overlap that t asks for.
 Only sets that meet so are compared, and no pair is lost. Stored are those prefixes, the heads; whole sets are made again
 from the texts, for pairs that the heads don't rule out. Shingles that are common in a bounded sample come last in the
-order. What is common but not in the sample shows as a head's shingle that more than HOT sets have there: the sets that
-have one are ordered anew among themselves by how many of them hold each shingle, counted exactly, so that whatever many
-share comes last, a passage in few of very many texts too. Two sets that meet at a hot shingle both are among these; any
-others meet elsewhere, where groups are small. Each meeting's sets are first compared with the one that holds the least
+order. What is common but not in the sample shows as a head's shingle that more than HOT sets have there: such hot shingles
+come last too, in the same order for all, and the sets that had one take what comes next, until no more turn up. A passage
+in few of very many texts so makes no pairs. Hot shingles, fewer than one in HOT of those in heads, are told to all tasks up
+to TOLD; beyond that the sets that have one are ordered anew among themselves by exact counts, which needs them only
+in the tables that Spark deals out. Of the heads only shingles that two sets have go on. Each meeting's sets are first compared with the one that holds the least
 before the shared shingle, as a rule the text that the others are edits of; then only pairs of different components are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,15 +25,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import cut, dropped, extended, flat_bytes, lower_ascii, slices, stored
+from lumenframe.llm.common import bit_table, cut, dropped, extended, flat_bytes, in_table, lower_ascii, slices, stored
 from lumenframe.llm.graph import components
 from lumenframe.llm.simhash import SEED, _majority, link
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Differing bits within which fingerprints meet in the tree.
 REACH = 3
-#: Sets that may meet at one shingle before they are ordered anew.
-HOT = 64
+#: Sets that may meet at one shingle before it is hot, hot shingles that are told to all tasks, and rounds of looking for them.
+HOT, TOLD, ROUNDS = 64, 1 << 22, 8
 #: Texts that are looked at for common shingles, in how many of them one is common, and how many are told to all tasks.
 SAMPLE, COMMON, MOST = 5000, 3, 50_000
 
@@ -86,23 +88,31 @@ def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return known[by], np.array([r[1] for r in rows], dtype=np.int64)[by]
 
 
-def signatures(docs: DataFrame, *, shingle: int, similarity: float) -> DataFrame:
-    """(_id, node, print, n, head): a digest of the set of each text's shingles, its fingerprint, how many it holds, and the first of them."""
-    shared = docs.sparkSession.sparkContext.broadcast(_common(docs, shingle))
+def _ordered(x: np.ndarray, known: tuple[np.ndarray, np.ndarray], hot: np.ndarray | None = None) -> np.ndarray:
+    """A set's shingles in the one order of all: hot ones last, before them those of the sample by their counts, then by hash."""
+    tokens, counts = known
+    often = np.zeros(len(x), dtype=np.int64)
+    for these, much in ((tokens, counts), (hot, None)):
+        if these is not None and len(these):
+            at = np.minimum(np.searchsorted(these, x), len(these) - 1)
+            often = np.where(these[at] == x, (1 << 40) if much is None else much[at], often)
+    return x[np.lexsort((x, often))]
+
+
+def _head(n: int, similarity: float) -> int:
+    return n - int(np.ceil(similarity * n - 1e-9)) + 1
 
-    def first(x: np.ndarray) -> np.ndarray:
-        tokens, counts = shared.value
-        often = np.zeros(len(x), dtype=np.int64)
-        if len(tokens):
-            at = np.minimum(np.searchsorted(tokens, x), len(tokens) - 1)
-            often = np.where(tokens[at] == x, counts[at], 0)
-        return x[np.lexsort((x, often))[: len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1]]
+
+def signatures(docs: DataFrame, *, shingle: int, similarity: float, known=None) -> DataFrame:
+    """(_id, node, print, n, head): a digest of the set of each text's shingles, its fingerprint, how many it holds, and the first of them."""
+    shared = known or docs.sparkSession.sparkContext.broadcast(_common(docs, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets, node in _parts(batches, shingle):
             prints = np.array([_majority(s.view(np.uint64)) for s in sets], dtype=np.uint64).view(np.int64)
             n = pa.array(np.array([len(s) for s in sets], dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(node), pa.array(prints), n, _lists([first(s) for s in sets])], names=["_id", "node", "print", "n", "head"])
+            heads = [_ordered(s, shared.value)[: _head(len(s), similarity)] for s in sets]
+            yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(node), pa.array(prints), n, _lists(heads)], names=["_id", "node", "print", "n", "head"])
 
     return docs.mapInArrow(run, extended(docs.select("_id").schema, "node long, print long, n int, head array<long>"))
 
@@ -145,23 +155,116 @@ def _close(rows: DataFrame, reach: int) -> DataFrame:
     return far.unionByName(same).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def _places(rows: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(token, node, n, i): stored; the shingles of heads at which sets meet, with each set's size and the shingle's place in its order."""
-    places = rows.select("node", "n", F.posexplode("head").alias("i", "token"))
-    distinct = stored(places.dropDuplicates(["token", "node"]))
-    meet = stored(distinct.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1"))
-    places = stored(distinct.join(meet, "token").select("token", "node", "n", "i", "c"))
-    dropped(distinct, meet)
-    hot = stored(places.filter(F.col("c") > HOT).select("node").distinct())
-    cold = places.filter(F.col("c") <= HOT).drop("c")
-    # one text of each of these sets
-    texts = stored(rows.join(hot, "node", "left_semi").groupBy("node").agg(F.min("_id").alias("of")).select("of").distinct())
+def _sets_of(nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(node, s): stored; the sets of (node, _id), made again from one text each."""
+    texts = stored(nodes.select(F.col("_id").alias("of")).distinct())
     sets = shingle_sets(docs.join(texts, F.col("_id").eqNullSafe(F.col("of")), "left_semi"), shingle=shingle)
-    sets = stored(sets.join(hot, "node", "left_semi").groupBy("node").agg(F.first("s").alias("s")))
+    out = stored(sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("s").alias("s")))
+    dropped(texts)
+    return out
+
+
+def _places(rows: DataFrame, docs: DataFrame, shingle: int, similarity: float, known) -> DataFrame:
+    """(token, node, n, i): stored; the shingles of heads at which sets meet, with each set's size and the shingle's place in the order."""
+    spark = docs.sparkSession
+    heads = stored(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("head").alias("head"), F.min("_id").alias("_id")))
+    counts = stored(heads.select(F.explode("head").alias("token")).groupBy("token").agg(F.count("*").alias("c")).filter("c > 1"))
+    new, hot = counts.filter(F.col("c") > HOT).select("token"), np.zeros(0, np.int64)
+    parts, again, met = [], None, heads.limit(0).select("node", "_id")
+    for _ in range(ROUNDS):
+        n = new.count()
+        if not n:
+            break
+        if len(hot) + n > TOLD:
+            for x in parts:
+                dropped(x)
+            return _exact_places(heads, counts, docs, shingle, similarity)
+        hot = np.union1d(hot, new.toArrow().column("token").to_numpy())
+        told = spark.sparkContext.broadcast(hot)
+        more = stored(_hot_heads(heads, told).join(met, "node", "left_anti"))
+        parts.append(_sets_of(more, docs, shingle))
+        met = met.unionByName(more)
+        sets = reduce(DataFrame.unionAll, parts)
+        if again is not None:
+            dropped(again)
+        again = stored(sets.mapInArrow(_heads_of(known, told, similarity), "node long, n int, head array<long>"))
+        seen = again.select(F.explode("head").alias("token")).groupBy("token").agg(F.count("*").alias("c")).filter(F.col("c") > HOT).select("token")
+        new = seen.join(F.broadcast(spark.createDataFrame(pa.table({"token": hot}))), "token", "left_anti")  # TOLD rows at most
+    final, worth = heads.select("node", "n", "head"), counts.select("token")
+    if again is not None:
+        final = _cold_heads(final, told).unionByName(again)
+        worth = worth.unionByName(again.select(F.explode("head").alias("token")))
+    shared = spark.sparkContext.broadcast(bit_table(worth, "token"))
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1000):
+                part = batch.slice(k, 1000)
+                lists = part.column("head")
+                token = lists.flatten().to_numpy()
+                size = np.diff(lists.offsets.to_numpy())
+                of = np.repeat(np.arange(part.num_rows), size)
+                i = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+                kept = in_table(shared.value, token)
+                of, i = of[kept], i[kept].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(token[kept]), part.column("node").take(pa.array(of)), part.column("n").take(pa.array(of)), pa.array(i)], names=["token", "node", "n", "i"])
+
+    places = stored(final.mapInArrow(explode, "token long, node long, n int, i int"))
+    dropped(heads, counts, *parts, *([] if again is None else [again]))
+    return places
+
+
+def _overlap(batch: pa.RecordBatch, told) -> np.ndarray:
+    """Which rows have a hot shingle in their head."""
+    lists = batch.column("head")
+    token, hot = lists.flatten().to_numpy(), told.value
+    at = np.minimum(np.searchsorted(hot, token), len(hot) - 1)
+    of = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+    return np.bincount(of[hot[at] == token], minlength=batch.num_rows) > 0
+
+
+def _hot_heads(heads: DataFrame, told) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_overlap(batch, told))).select(["node", "_id"])
+
+    return heads.select("node", "_id", "head").mapInArrow(run, heads.select("node", "_id").schema)
+
+
+def _cold_heads(heads: DataFrame, told) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(~_overlap(batch, told)))
+
+    return heads.mapInArrow(run, heads.schema)
+
+
+def _heads_of(known, told, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("s")
+            token, off = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+            off = off - off[0] if len(off) else off
+            sets = [token[a:b] for a, b in zip(off[:-1], off[1:], strict=True)]
+            heads = [_ordered(s, known.value, told.value)[: _head(len(s), similarity)] for s in sets]
+            if heads:
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(np.array([len(s) for s in sets], dtype=np.int32)), _lists(heads)], names=["node", "n", "head"])
+
+    return run
+
+
+def _exact_places(heads: DataFrame, counts: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The same without telling hot shingles to all tasks: the sets that have one in their head are ordered anew among themselves, by how many of them hold each shingle."""
+    places = heads.select("node", "_id", "n", F.posexplode("head").alias("i", "token"))
+    places = stored(places.join(counts, "token").select("token", "node", "_id", "n", "i", "c"))
+    hot = stored(places.filter(F.col("c") > HOT).select("node", "_id").distinct())
+    # two sets that meet at a hot shingle are both among these; any others meet elsewhere, where groups are small
+    cold = places.filter(F.col("c") <= HOT).drop("c", "_id")
+    sets = _sets_of(hot, docs, shingle)
     held = sets.select("node", F.explode("s").alias("token"))
     # a shingle that one set only holds comes first, without a row
-    counts = stored(held.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1"))
-    shared = held.join(counts, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("last"))
+    often = stored(held.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1"))
+    shared = held.join(often, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("last"))
     n = F.size("s")
     alone = n - F.coalesce(F.size("last"), F.lit(0))
     length = n - F.ceil(similarity * n - 1e-9).cast("int") + 1
@@ -170,7 +273,7 @@ def _places(rows: DataFrame, docs: DataFrame, shingle: int, similarity: float) -
     # the two orders are told apart by their tokens
     again = again.select(F.xxhash64("t.token", F.lit(2)).alias("token"), "node", "n", (F.col("alone") + F.col("k")).alias("i"))
     out = stored(cold.unionByName(again))
-    dropped(places, hot, texts, sets, counts)
+    dropped(heads, counts, places, hot, sets, often)
     return out
 
 
@@ -187,7 +290,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     included, link to each other. Null ids and repeated rows are as in ``simhash.near_duplicates``.
     """
     docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    rows = stored(signatures(docs, shingle=shingle, similarity=similarity))
+    known = docs.sparkSession.sparkContext.broadcast(_common(docs, shingle))
+    rows = stored(signatures(docs, shingle=shingle, similarity=similarity, known=known))
 
     def similar(pairs: DataFrame) -> DataFrame:
         return _similar(pairs, docs, rows, shingle, similarity)
@@ -201,7 +305,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         small, large = F.least(n, m), F.greatest(n, m)
         return (small >= similarity * large - 1e-9) & (F.least(F.col(n) - F.col(i), F.col(m) - F.col(j)) >= share * (F.col(n) + F.col(m)) - 1e-9)
 
-    places = _places(rows, docs, shingle, similarity)
+    places = _places(rows, docs, shingle, similarity, known)
     # the text that holds the least before the token: edits of one text share most with it
     hub = F.min(F.struct((F.col("i") / F.col("n")).alias("part"), "node", "n", "i")).alias("hub")
     hubs = places.join(places.groupBy("token").agg(hub), "token").select(F.col("hub.part").alias("part"), F.col("hub.node").alias("a"), F.col("hub.n").alias("m"), F.col("hub.i").alias("j"), F.col("node").alias("b"), "n", "i")

@@ -387,8 +387,12 @@ def test_near_copies_and_boilerplate(spark, monkeypatch):
         given = [(k, " ".join([f"b{x}" for x in range(100)] + [f"o{k}x{x}" for x in range(45 if k % 10 else 8)])) for k in range(n)]
         given += [(n + k, given[k][1].replace("b50", "changed")) for k in range(0, 60, 7)]
         docs = spark.createDataFrame(given, "doc_id long, text string").repartition(4)
-        assert got(jaccard.near_duplicates(docs), "doc_id", "component_id") == want(zip([i for i, _ in given], brute.similar(given), strict=True))
-        assert sum(made) < 4 * n
+        for told in (jaccard.TOLD, 5):  # hot shingles as a list, and too many for one
+            monkeypatch.setattr(jaccard, "TOLD", told)
+            made.clear()
+            assert got(jaccard.near_duplicates(docs), "doc_id", "component_id") == want(zip([i for i, _ in given], brute.similar(given), strict=True))
+            assert sum(made) < 4 * n
+        monkeypatch.setattr(jaccard, "TOLD", 1 << 22)
 
 
 def test_pipeline_repeated_ids(spark):
