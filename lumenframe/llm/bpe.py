@@ -14,7 +14,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+import struct
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -22,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import extended, fresh, stored
+from lumenframe.llm.common import extended, fresh, slices, stored
 
 #: Unsplit characters that one task encodes at once, and those of a leaf of its tree.
 LEAF_BYTES, TWIG = 4096, 16
 #: Distinct words whose ids a worker remembers.
-MEMORY_WORDS = 100_000
+MEMORY_WORDS = 400_000
 
 
 def check(vocabulary: str) -> None:
@@ -58,6 +60,7 @@ class Codec:
         self.tokenizer.no_padding()
         spec = json.loads(vocabulary)
         self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
+        self.special_bytes = [x.encode() for x in self.special]
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.names = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
         model = spec["model"]
@@ -70,16 +73,38 @@ class Codec:
     def words(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
         """Ids as little-endian unsigned 32-bit integers and the decoded text of each word without white space."""
         known = self.known
-        new = list({w for w in words if w not in known})
+        new = list({w for w in words if w not in known})  # those of many texts at once
         if new:
             if len(known) + len(new) > MEMORY_WORDS:
                 known.clear()
                 new = list(set(words))
-            for w in new:
-                ids = [i for piece, i in self.pieces(w.decode()) for i in ([i] if i >= 0 else self.tree(piece))]
-                known[w] = np.array(ids, dtype="<u4").tobytes(), " ".join(map(self.names.__getitem__, ids)).encode()
+            for w, pieces in self.split(new):
+                ids = [i for piece, i in pieces for i in ([i] if i >= 0 else self.leaf(piece, True) if len(piece) <= TWIG else self.tree(piece))]
+                known[w] = struct.pack(f"<{len(ids)}I", *ids), " ".join(map(self.names.__getitem__, ids)).encode()
         return [known[w] for w in words]
 
+    def split(self, words: list[bytes]) -> Iterator[tuple[bytes, Iterable[tuple[str, int]]]]:
+        """Each word with its pieces. The splitter takes the plain ones as one text: it never joins across white space, which they have none of."""
+        plain = [w for w in words if not any(x in w for x in self.special_bytes)]
+        done = set()
+        # apart, as the length of other letters may change; a group where one does goes word by word
+        for group in ([w for w in plain if w.isascii()], [w for w in plain if not w.isascii()]):
+            texts = [w.decode() for w in group]
+            text = " ".join(texts)
+            normal = self.tokenizer.normalizer.normalize_str(text) if self.tokenizer.normalizer else text
+            ends = np.cumsum([len(w) + 1 for w in texts])
+            if not group or len(text.split()) != len(group) or len(normal) != len(text) or any(normal[k - 1] != " " for k in ends[:-1].tolist()):
+                continue
+            of: list[list[tuple[str, int]]] = [[] for _ in group]
+            found = self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)
+            for (piece, _), k in zip(found, np.searchsorted(ends, [at[0] for _, at in found], side="right").tolist(), strict=True):
+                of[k].append((piece, -1))
+            yield from zip(group, of, strict=True)
+            done.update(group)
+        for w in words:
+            if w not in done:
+                yield w, self.pieces(w.decode())
+
     def pieces(self, text: str) -> Iterator[tuple[str, int]]:
         """The splitter's pieces in the byte alphabet, with -1, or a special token's text and id."""
         for part in self.cut.split(text) if self.cut else [text]:
@@ -167,11 +192,12 @@ def encode_decode(docs: DataFrame, vocabulary: str, *, text_col: str = "text", l
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(shared)
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
+            for part in slices(batch, text_col):
                 counts, ids, decoded = [], [], []
-                for text in part.column(text_col).to_pylist():
-                    pairs = c.words((text or "").encode().split())
+                texts = [(text or "").encode().split() for text in part.column(text_col).to_pylist()]
+                found = iter(c.words([w for text in texts for w in text]))
+                for text in texts:
+                    pairs = list(islice(found, len(text)))
                     i = b"".join([p[0] for p in pairs])
                     counts.append(len(i) // 4)
                     ids.append(i)
