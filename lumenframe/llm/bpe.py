@@ -28,8 +28,8 @@ from lumenframe.llm.common import extended, fresh, slices, stored
 
 #: Unsplit characters that one task encodes at once, and those of a leaf of its tree.
 LEAF_BYTES, TWIG = 4096, 16
-#: Distinct words whose ids a worker remembers.
-MEMORY_WORDS = 400_000
+#: Distinct words whose ids a task remembers.
+MEMORY_WORDS = 100_000
 
 
 def check(vocabulary: str) -> None:
@@ -203,6 +203,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, *, text_col: str = "text", l
                     ids.append(i)
                     decoded.append(b" ".join([p[1] for p in pairs if p[1]]))
                 yield finish(part, counts, ids, decoded)
+        c.known.clear()  # the worker goes on to other tasks
 
     rest = kept.filter(~long).mapInArrow(short, schema)
     keyed = stored(kept.filter(long).withColumn(row, F.monotonically_increasing_id()))
