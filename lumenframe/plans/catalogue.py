@@ -354,12 +354,12 @@ def normalized_cross_correlation(spark, sf_dir):
     return a.withColumns({"x": x, "y": y}).select("l_partkey", F.round(arrays.cross_correlation(F.col("x"), F.col("y")), 6).alias("correlation"))
 
 
-_CENTRES = [[0.5 * ((i >> k) & 1) - 0.25 for k in range(4)] for i in range(10)]
+_CENTRES = [[0.5 * ((i >> (k % 4)) & 1) - 0.25 for k in range(64)] for i in range(10)]
 
 
-@_query("WITH c AS (SELECT i, list_transform(range(4), lambda k: 0.5 * ((i >> k) & 1) - 0.25) AS v FROM range(10) r(i)), d AS (SELECT vec_id, i, list_sum(list_transform(range(1, 5), lambda k: (embedding[k]::DOUBLE - v[k]) * (embedding[k]::DOUBLE - v[k]))) AS d FROM embeddings, c) SELECT vec_id, CAST(arg_min(i, (d, i)) AS INTEGER) AS bin FROM d GROUP BY 1")
+@_query("WITH c AS (SELECT i, list_transform(range(64), lambda k: 0.5 * ((i >> (k % 4)) & 1) - 0.25) AS v FROM range(10) r(i)), d AS (SELECT vec_id, i, list_sum(list_transform(range(1, 65), lambda k: (embedding[k]::DOUBLE - v[k]) * (embedding[k]::DOUBLE - v[k]))) AS d FROM embeddings, c) SELECT vec_id, CAST(arg_min(i, (d, i)) AS INTEGER) AS bin FROM d GROUP BY 1")
 def nearest_bin(spark, sf_dir):
-    e = _t(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 4).alias("v"))
+    e = _t(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
     return matching.nearest_bin(e, "v", _CENTRES).select("vec_id", "bin")
 
 
