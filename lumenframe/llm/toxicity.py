@@ -130,12 +130,16 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     counts = sample.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 2 or key < 0").toPandas()
     key, n = counts["key"].to_numpy(), counts["n"].to_numpy()
-    seen = np.zeros(2 * BUCKETS)
-    seen[key[key >= 0]] = n[key >= 0]
-    odds = selected(seen.reshape(2, BUCKETS), np.array([n[key == -1].sum(), n[key == -2].sum()], dtype=np.float64))
-    used = np.flatnonzero(odds)
+    real = key >= 0
+    # only features that are there take up memory
+    there, at = np.unique(key[real] % BUCKETS, return_inverse=True)
+    seen = np.zeros((2, len(there)))
+    seen[key[real] // BUCKETS, at] = n[real]
+    odds = selected(seen, np.array([n[key == -1].sum(), n[key == -2].sum()], dtype=np.float64))
+    used, odds = there[odds != 0], odds[odds != 0]
     number = np.full(BUCKETS, -1, dtype=np.int32)
     number[used] = np.arange(len(used))
+    del counts, key, n, real, there, at, seen
     shared = docs.sparkSession.sparkContext.broadcast(number)
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +154,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     dropped(sample)
     before = np.cumsum([0, *(int(x[1].sum()) for x in got)])
     label, per_doc, sent, feat = (np.concatenate([np.zeros(0, np.int32), *(x[k] + (b if k == 2 else 0) for x, b in zip(got, before, strict=False))]) for k in range(4))
-    w, bias, floor = fit(0.5 * odds[used], label, per_doc, sent, feat)
+    del got
+    w, bias, floor = fit(0.5 * odds, label, per_doc, sent, feat)
     weights = np.zeros(BUCKETS, dtype=np.float32)
     weights[used] = w
     return weights, bias, floor
