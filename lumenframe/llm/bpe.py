@@ -29,7 +29,7 @@ from lumenframe.llm.common import extended, fresh, slices, stored
 #: Unsplit characters that one task encodes at once, and those of a leaf of its tree.
 LEAF_BYTES, TWIG = 4096, 16
 #: Distinct words whose ids a task remembers.
-MEMORY_WORDS = 100_000
+MEMORY_WORDS = 250_000
 
 
 def check(vocabulary: str) -> None:
@@ -68,10 +68,13 @@ class Codec:
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.last = models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=self.suffix or None)
         self.inner = models.BPE(vocab=model["vocab"], merges=merges)
-        self.known: dict[bytes, tuple[bytes, bytes]] = {}
+        self.known: dict[bytes, bytes] = {}
+        # what ids decode to, each with the blank that follows it
+        shown = [self.names.get(i, "").encode() + b" " for i in range(max(self.names) + 1)]
+        self.shown, self.shown_at = np.frombuffer(b"".join(shown), dtype=np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in shown])))
 
-    def words(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
-        """Ids as little-endian unsigned 32-bit integers and the decoded text of each word without white space."""
+    def words(self, words: list[bytes]) -> list[bytes]:
+        """Ids as little-endian unsigned 32-bit integers of each word without white space."""
         known = self.known
         new = list({w for w in words if w not in known})  # those of many texts at once
         if new:
@@ -80,7 +83,7 @@ class Codec:
                 new = list(set(words))
             for w, pieces in self.split(new):
                 ids = [i for piece, i in pieces for i in ([i] if i >= 0 else self.leaf(piece, True) if len(piece) <= TWIG else self.tree(piece))]
-                known[w] = struct.pack(f"<{len(ids)}I", *ids), " ".join(map(self.names.__getitem__, ids)).encode()
+                known[w] = struct.pack(f"<{len(ids)}I", *ids)
         return [known[w] for w in words]
 
     def split(self, words: list[bytes]) -> Iterator[tuple[bytes, Iterable[tuple[str, int]]]]:
@@ -105,6 +108,15 @@ class Codec:
             if w not in done:
                 yield w, self.pieces(w.decode())
 
+    def decoded(self, ids: list[bytes]) -> list[bytes]:
+        """What each row of ids decodes to: their names with blanks between."""
+        flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int64)
+        at, size = self.shown_at[flat], np.diff(self.shown_at)[flat]
+        to = np.concatenate(([0], np.cumsum(size)))
+        data = self.shown[np.repeat(at - to[:-1], size) + np.arange(to[-1])].tobytes()
+        bounds = to[np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids])))].tolist()
+        return [data[a : max(a, b - 1)] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
     def pieces(self, text: str) -> Iterator[tuple[str, int]]:
         """The splitter's pieces in the byte alphabet, with -1, or a special token's text and id."""
         for part in self.cut.split(text) if self.cut else [text]:
@@ -193,16 +205,10 @@ def encode_decode(docs: DataFrame, vocabulary: str, *, text_col: str = "text", l
         c = codec(shared)
         for batch in batches:
             for part in slices(batch, text_col):
-                counts, ids, decoded = [], [], []
                 texts = [(text or "").encode().split() for text in part.column(text_col).to_pylist()]
                 found = iter(c.words([w for text in texts for w in text]))
-                for text in texts:
-                    pairs = list(islice(found, len(text)))
-                    i = b"".join([p[0] for p in pairs])
-                    counts.append(len(i) // 4)
-                    ids.append(i)
-                    decoded.append(b" ".join([p[1] for p in pairs if p[1]]))
-                yield finish(part, counts, ids, decoded)
+                ids = [b"".join(islice(found, len(text))) for text in texts]
+                yield finish(part, [len(x) // 4 for x in ids], ids, c.decoded(ids))
         c.known.clear()  # the worker goes on to other tasks
 
     rest = kept.filter(~long).mapInArrow(short, schema)
