@@ -6,9 +6,9 @@ need, and the Burrows-Wheeler transform of either. A phrase is a pair of interva
 the transform's symbols in an interval gives all words that extend it on that side, how often each does, and both
 intervals of each extended phrase: words grow to the left, pairs to the right, and so on. Counts are summed over shards.
 
-A phrase that is to be counted ``least`` times holds only pairs of words that are. A first pass adds up a 64-bit hash of
-each pair; the hashes that reach ``least`` set bits in a table of FILTER_BITS, which tells the second pass what it need
-not extend. A hash or bit that several pairs share lets more through and loses none, so that all counts stay exact.
+A phrase that is to be counted ``least`` times holds only words and pairs of words that are. A first pass adds up a hash
+of each; the hashes that reach ``least`` set bits in a table of FILTER_BITS, which tells the second pass what it need not
+return or extend. A hash or bit that several share lets more through and loses none, so that all counts stay exact.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from lumenframe.llm.common import flat_bytes, lower_ascii, mix64, runs, slices,
 
 #: Text bytes of a shard, and bits of the table of frequent pairs.
 SHARD_BYTES, FILTER_BITS = 4 << 20, 1 << 26
+_SHORT = np.uint64((1 << 32) - 1)
 
 _END = np.zeros(256, dtype=bool)
 _END[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -132,20 +133,31 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray
                     yield name, ids[own], begins[own], hashes, names.dictionary
 
 
-def _pair_hash(lang: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _seed(lang: str) -> np.ndarray:
     name = np.frombuffer(lang.encode() or b"\0", dtype=np.uint8)
-    seed = span_hashes(name, np.zeros(1, np.int64), np.array([len(name)]))
-    return mix64(mix64(a + seed) + b * np.uint64(0x9E3779B97F4A7C15))
+    return span_hashes(name, np.zeros(1, np.int64), np.array([len(name)]))
+
+
+def _pair_hash(lang: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix64(mix64(a + _seed(lang)) + b * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _word_hash(lang: str, a: np.ndarray) -> np.ndarray:
+    return mix64(a ^ _seed(lang))
+
+
+def _hash_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each shard has each hash of a word or pair. 32 bits of it are enough for the table, and half as long."""
     for lang, ids, begins, hashes, _ in _shards(batches):
         inside = np.flatnonzero(~begins[1:])
-        h = np.sort(_pair_hash(lang, hashes[ids[inside]], hashes[ids[inside + 1]]).view(np.int64))
-        start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
-        count = np.diff(np.concatenate((start, [len(h)])))
-        for k in range(0, len(start), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(h[start[k : k + (1 << 16)]]), pa.array(count[k : k + (1 << 16)])], names=["h", "c"])
+        n = np.bincount(ids)
+        used = np.flatnonzero(n)
+        pair = np.sort(_pair_hash(lang, hashes[ids[inside]], hashes[ids[inside + 1]]) & _SHORT)
+        start = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1]))) if len(pair) else np.zeros(0, np.int64)
+        count = np.diff(np.concatenate((start, [len(pair)])))
+        for h, c in ((_word_hash(lang, hashes[used]) & _SHORT, n[used]), (pair[start], count)):
+            for k in range(0, len(h), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(h[k : k + (1 << 16)].astype(np.int64)), pa.array(c[k : k + (1 << 16)].astype(np.int64))], names=["h", "c"])
 
 
 def phrase_counts(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", depth: int = 3, least: int = 10) -> DataFrame:
@@ -155,7 +167,7 @@ def phrase_counts(docs: DataFrame, *, text_col: str = "text", lang_col: str = "l
     """
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").alias("text")).filter("text is not null")
-    frequent = texts.mapInArrow(_pair_counts, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") >= least)
+    frequent = texts.mapInArrow(_hash_counts, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") >= least)
     place = F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1))
     bits = frequent.select(F.shiftright(place, 6).alias("w"), place.bitwiseAND(F.lit(63)).cast("int").alias("b")).groupBy("w").agg(F.expr("bit_or(shiftleft(1L, b))").alias("bits"))
     rows = bits.toArrow()  # FILTER_BITS / 64 rows at most
@@ -165,17 +177,24 @@ def phrase_counts(docs: DataFrame, *, text_col: str = "text", lang_col: str = "l
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
+
+        def told(h: np.ndarray) -> np.ndarray:
+            at = h & np.uint64(FILTER_BITS - 1)
+            return ((table[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
+
         for lang, ids, begins, hashes, names in _shards(batches):
             seq = np.zeros(len(ids) + int(begins.sum()) + 1, dtype=np.int64)
             seq[np.arange(len(ids)) + np.cumsum(begins)] = ids + 1
 
             def keep(a: np.ndarray, b: np.ndarray, lang=lang, hashes=hashes) -> np.ndarray:
-                at = _pair_hash(lang, hashes[a - 1], hashes[b - 1]) & np.uint64(FILTER_BITS - 1)
-                return ((table[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
+                return told(_pair_hash(lang, hashes[a - 1], hashes[b - 1]))
 
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([0], pa.int32()), pa.array([""]), pa.array([len(ids)], pa.int64())], names=["lang", "words", "phrase", "f"])
             text = names.cast(pa.large_string())
             for phrase, size in BiIndex(seq, depth, len(names) + 1).phrases(keep):
+                if phrase.shape[1] == 1:
+                    kept = told(_word_hash(lang, hashes[phrase[:, 0] - 1]))
+                    phrase, size = phrase[kept], size[kept]
                 for k in range(0, len(size), 1 << 16):
                     part = phrase[k : k + (1 << 16)]
                     cells = [text.take(pa.array(part[:, j] - 1)) for j in range(part.shape[1])]
