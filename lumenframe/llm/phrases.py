@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm.common import flat_bytes, lower_ascii, mix64, runs, slices, span_hashes, stored, with_row_id
 
-#: Text bytes of a shard, and bits of the table of frequent pairs.
-SHARD_BYTES, FILTER_BITS = 4 << 20, 1 << 26
+#: Text bytes of a shard, bits of the table of frequent words and pairs, and parts that a language's list is dealt in.
+SHARD_BYTES, FILTER_BITS, PARTS = 4 << 20, 1 << 26, 64
 _SHORT = np.uint64((1 << 32) - 1)
 
 _END = np.zeros(256, dtype=bool)
@@ -234,8 +234,9 @@ def collocations(docs: DataFrame, *, text_col: str = "text", lang_col: str = "la
     best = best.filter(F.col("longer").isNull() | (100 * F.col("longer") < part_of * F.col("cut.a"))).select("lang", "phrase", "cut.a", "cut.l", "cut.r", "cut.score")
     # all lists are sorted as one, by ranges, so that no task sorts a language's; its first place is taken off
     placed = stored(with_row_id(best, ["lang", F.desc("score"), F.desc("a"), "phrase"], "place"))
-    first = placed.groupBy("lang").agg(F.min("place").alias("first"))
-    best = placed.join(first, "lang").withColumn("rank", F.col("place") - F.col("first") + 1).filter(F.col("rank") <= top)
+    first = placed.groupBy("lang").agg(F.min("place").alias("first")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    # a language may hold most rows: they meet its one row in parts
+    best = placed.withColumn("part", (F.col("place") % PARTS).cast("int")).join(first, ["lang", "part"]).withColumn("rank", F.col("place") - F.col("first") + 1).filter(F.col("rank") <= top)
     totals = counts.filter("words = 0").select("lang", F.col("f").alias("n"))
     return best.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
