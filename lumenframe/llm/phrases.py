@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from lumenframe.llm.common import flat_bytes, lower_ascii, mix64, runs, slices, span_hashes, stored, with_row_id
 
 #: Text bytes of a shard, bits of the table of frequent words and pairs, and parts that a language's list is dealt in.
-SHARD_BYTES, FILTER_BITS, PARTS = 4 << 20, 1 << 26, 64
+SHARD_BYTES, FILTER_BITS, PARTS = 2 << 20, 1 << 26, 64
 _SHORT = np.uint64((1 << 32) - 1)
 
 _END = np.zeros(256, dtype=bool)
