@@ -6,6 +6,10 @@ contexts a word follows. A shard's hashes are one sorted array beside its counts
 score, every bucket of documents asks the shards for its distinct bigrams and words; a worker maps a shard's
 arrays into memory from a file of its own and searches them, and the answers meet the bucket's texts again. No
 task holds more than a shard or a bucket, and their number follows the input.
+
+A corpus that repeats itself makes the bigrams sure of what follows a frequent word, far too sure for a text that puts
+known words in an order of its own. So a text is, with probability PLAIN, one of independent words: its probability is that
+of the two models, mixed text by text, and never more than PLAIN under what single words give.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ COUNT_BYTES = 10 << 20
 MAP_ENTRIES = 1 << 18
 #: Hash bits that are kept of a word or bigram within its shard; a lookup errs once in 2**40 over a shard's entries.
 WIDTH = 5
+#: How likely a text is one of independent words: little enough that it tells in no text that the bigrams fit.
+PLAIN = 1e-6
 START, END = np.uint64(0x51ED270B2C9E3A17), np.uint64(0xC3A5C85C97CB3127)
 
 _PART = "kind int, shard int, bucket int, a binary, b binary, c binary, d binary, e binary"
@@ -269,7 +275,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     """(id, n_tokens, n_known, base_score, score, perplexity) of each text; logarithms to base 10.
 
     score is the model's log probability of the text's words and its end, base_score that of single words with half a
-    count added. A null text is empty: its end alone is scored. Repeated rows are scored each. A model of
+    count added, which has a share of PLAIN in the model. A null text is empty: its end alone is scored. Repeated rows are scored each. A model of
     nothing gives every token the same probability, 1.
     """
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -345,6 +351,9 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
             p = np.zeros(len(w))
         tokens = np.diff(off)
         sums = [np.add.reduceat(x, off[:-1]) for x in (p, base[w], (n[w] > 0).astype(np.int64))]
+        if size["types"]:
+            e = np.log(10)
+            sums[0] = np.logaddexp(e * sums[0] + np.log1p(-PLAIN), e * sums[1] + np.log(PLAIN)) / e
         return pa.table([left.column("id"), pa.array(tokens, pa.int64()), pa.array(sums[2].astype(np.int64)), pa.array(sums[1]), pa.array(sums[0]), pa.array(10.0 ** np.minimum(300, -sums[0] / tokens))], names=["id", "n_tokens", "n_known", "base_score", "score", "perplexity"])
 
     asked = src.groupBy("bucket").applyInArrow(ask, _PART)

@@ -118,6 +118,21 @@ def test_op1_odd(spark, odd, odd_rows, none):
     assert {r["score"] for r in kneser_ney.score(odd, kneser_ney.train(none)).collect()} == {0.0}
 
 
+def test_op1_other_order(spark):
+    """Known words in an order of their own, after texts that repeat another: never far below single words."""
+    words = [f"w{k}" for k in range(26)]
+    texts = [" ".join(words)] * 40
+    others = [" ".join(words[::-1] * 10), " ".join(words[::2] * 30), " ".join(words), "", "w3 w3 unknown"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts + others)], "doc_id long, text string")
+    model, found = brute.KneserNey(texts), {r["doc_id"]: r for r in kneser_ney.held_out(docs, F.col("doc_id") < 40).collect()}
+    for k, t in enumerate(others, 40):
+        *_, base, plain = model.score(t)
+        r = found[k]
+        assert r["base_score"] == pytest.approx(base) and r["score"] == pytest.approx(max(plain, base - 6) + np.log10(1 + 10 ** -abs(plain - base + 6)), abs=1e-5)
+        assert r["score"] > r["base_score"] - 6.001
+    assert model.score(others[0])[-1] < model.score(others[0])[-2] - 100
+
+
 def test_op2(spark, odd, none):
     found = queries.op2_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").toPandas()
     assert len(found) == 200 and found["score"].between(0, 1).all()
