@@ -5,9 +5,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rows of curves and points that a task takes at once.
+BUCKET_ROWS = 1 << 18
+
 
 def pchip_slopes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Slopes at the nodes of a monotone cubic: weighted harmonic means, one-sided at the ends."""
@@ -37,18 +41,59 @@ def pchip(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (2 * t**3 - 3 * t**2 + 1) * y[k] + (t**3 - 2 * t**2 + t) * h * m[k] + (3 * t**2 - 2 * t**3) * y[k + 1] + (t**3 - t**2) * h * m[k + 1]
 
 
-def resample_curves(nodes: DataFrame, points: DataFrame, *, key: str, x: str = "x", y: str = "y") -> DataFrame:
-    """(key, x, y): each key's curve through its nodes, at its points."""
-    kind = dict(nodes.dtypes)[key]
+def pchip_all(x: np.ndarray, y: np.ndarray, first: np.ndarray, at: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """``pchip`` of many curves at once: curve c has the nodes first[c] to first[c + 1], and at[i] is a place on curve of[i]."""
+    size = np.diff(first)
+    order = np.lexsort((np.repeat((0, 1), (len(x), len(at))), np.concatenate((x, at)), np.concatenate((np.repeat(np.arange(len(size)), size), of))))
+    before = np.empty(len(order), dtype=np.int64)  # nodes of this curve and those before it that are not beyond a place
+    before[order] = np.cumsum(order < len(x))
+    k = np.maximum(first[of], np.minimum(before[len(x) :] - 1, first[of + 1] - 2))
+    m = np.zeros(len(x))
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        h = np.diff(x)
+        d = np.diff(y) / h
+        w1, w2 = 2 * h[1:] + h[:-1], h[1:] + 2 * h[:-1]
+        m[1:-1] = np.where(d[:-1] * d[1:] > 0, (w1 + w2) / (w1 / d[:-1] + w2 / d[1:]), 0.0)
+        two, more = first[:-1][size == 2], size > 2
+        m[two] = m[two + 1] = d[two]
+        for node, i, j in ((first[:-1][more], 0, 1), (first[1:][more] - 1, -1, -2)):
+            h0, h1, d0, d1 = h[node + i], h[node + j], d[node + i], d[node + j]
+            end = ((2 * h0 + h1) * d0 - h0 * d1) / (h0 + h1)
+            m[node] = np.where(end * d0 <= 0, 0.0, np.where((d0 * d1 <= 0) & (abs(end) > 3 * abs(d0)), 3 * d0, end))
+        n = np.minimum(k + 1, len(x) - 1)
+        h = x[n] - x[k]
+        t = (at - x[k]) / h
+        out = (2 * t**3 - 3 * t**2 + 1) * y[k] + (t**3 - 2 * t**2 + t) * h * m[k] + (3 * t**2 - 2 * t**3) * y[n] + (t**3 - t**2) * h * m[n]
+    return np.where(size[of] == 1, y[first[of]], out)
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame(columns=[key, x, y], dtype=object)
-        left = left.sort_values(x).drop_duplicates(x)
-        values = pchip(left[x].to_numpy(float), left[y].to_numpy(float), right[x].to_numpy(float))
-        return pd.DataFrame({key: right[key], x: right[x].astype(float), y: values})
 
-    return nodes.select(key, x, y).groupBy(key).cogroup(points.select(key, x).groupBy(key)).applyInPandas(run, f"`{key}` {kind}, `{x}` double, `{y}` double")
+def resample_curves(nodes: DataFrame, points: DataFrame, *, key: str, x: str = "x", y: str = "y") -> DataFrame:
+    """(key, x, y): each key's curve through its nodes, at its points. Of nodes at one place that of the least y counts.
+
+    Keys meet in buckets of about BUCKET_ROWS rows, whose curves are taken at once.
+    """
+    kind = dict(nodes.dtypes)[key]
+    nodes = nodes.select(F.col(key).alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    points = points.select(F.col(key).cast(kind).alias("k"), F.col(x).cast("double").alias("x"))
+    buckets = 1 + (nodes.count() + points.count()) // BUCKET_ROWS
+    bucket = F.pmod(F.xxhash64("k"), F.lit(buckets)).alias("bucket")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        n = left.num_rows
+        codes = pa.chunked_array([*left.column("k").chunks, *right.column("k").chunks], left.schema.field("k").type).combine_chunks().dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+        curve, of = codes[:n].astype(np.int64), codes[n:].astype(np.int64)
+        at, px, py = (c.to_numpy().astype(float) for c in (right.column("x"), left.column("x"), left.column("y")))
+        order = np.lexsort((py, px, curve))
+        curve, px, py = curve[order], px[order], py[order]
+        same = (curve[1:] == curve[:-1]) & ((px[1:] == px[:-1]) | (np.isnan(px[1:]) & np.isnan(px[:-1])))
+        one = np.concatenate((np.ones(min(n, 1), bool), ~same))
+        curve, px, py = curve[one], px[one], py[one]
+        first = np.searchsorted(curve, np.arange(codes.max(initial=-1) + 2))
+        have = np.flatnonzero(np.diff(first)[of] > 0)
+        values = pchip_all(px, py, first, at[have], of[have]) if len(have) else np.zeros(0)
+        return pa.table([right.column("k").take(pa.array(have)), pa.array(at[have]), pa.array(values)], names=[key, x, y])
+
+    return nodes.select(bucket, "*").groupBy("bucket").cogroup(points.select(bucket, "*").groupBy("bucket")).applyInArrow(run, f"`{key}` {kind}, `{x}` double, `{y}` double")
 
 
 def spline_coefficients(values: np.ndarray) -> np.ndarray:

@@ -115,6 +115,23 @@ def test_keys_of_text_on_one_side_only(spark):
     assert [tuple(r) for r in curve] == [("q", 6.0, 5.0)]
 
 
+def test_curves_by_buckets(spark, monkeypatch):
+    """Many curves at once are those of one key each, whatever their number of nodes, also where buckets are many."""
+    rng = np.random.default_rng(5)
+    curves = {f"k{c}": sorted((float(x), float(y)) for x, y in zip(rng.choice(20, n, replace=False), rng.integers(0, 4, n), strict=True)) for c in range(60) for n in [c % 7 + 1]}
+    curves[None] = [(1.0, 2.0), (3.0, 5.0)]
+    at = {k: [float(v) for v in rng.uniform(-3, 23, 5)] + [curves[k][0][0], curves[k][-1][0]] for k in curves}
+    nodes = spark.createDataFrame([(k, x, y) for k, c in curves.items() for x, y in c + [(c[0][0], c[0][1] + 1)]], "k string, x double, y double")
+    points = spark.createDataFrame([(k, x) for k, v in at.items() for x in v] + [("none", 1.0)], "k string, x double")
+    expected = sorted((str(k), x, float(v)) for k, c in curves.items() for x, v in zip(at[k], kernels.pchip(*np.array(c).T, np.array(at[k])), strict=True))
+    for rows in (1 << 18, 50):
+        monkeypatch.setattr(kernels, "BUCKET_ROWS", rows)
+        found = kernels.resample_curves(nodes, points, key="k")
+        assert "FlatMapCoGroupsInArrow [bucket" in found._jdf.queryExecution().toString()  # no call of Python for each key
+        for a, b in zip(sorted((str(r["k"]), r["x"], r["y"]) for r in found.collect()), expected, strict=True):
+            assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-9, abs=1e-9)
+
+
 def test_status_of_an_item_left_out(spark):
     df = spark.createDataFrame([(True, None), (None, None), (None, 1), (None, 2), (False, 1)], "manual boolean, o int")
     s = quality.status(F.col("manual"), F.lit(True), {"ctf": F.col("o")}, {"ctf": (F.lit(True), F.lit(1))}, F.lit(False))
