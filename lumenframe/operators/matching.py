@@ -9,17 +9,22 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Bytes of names, 64 more for each, that are told to all tasks.
+TOLD = 10 << 20
+
 
 def contains_join(rows: DataFrame, names: DataFrame, text: str, name: str) -> DataFrame:
     """Pairs of a row and a name that its text contains; null and empty names match nothing.
 
     Not a product of both tables: names are found by their first characters, as many as the shortest one has, 8 at most,
-    among the distinct stretches of that length in the texts; only such pairs are compared whole.
+    among the distinct stretches of that length in the texts; only such pairs are compared whole. Names of TOLD bytes in
+    all are told to all tasks; beyond that both sides are sorted. The stretches are never told, few as their texts may seem.
     """
     known = names.filter(F.col(name) != "")
-    q = known.agg(F.least(F.lit(8), F.min(F.length(name)))).first()[0] or 1
+    q, size = known.agg(F.least(F.lit(8), F.min(F.length(name))), F.sum(F.octet_length(name).cast("long") + 64)).first()
+    q = q or 1
     grams = F.when(F.length(text) >= q, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - q + 1), lambda i: F.substr(F.col(text), i, F.lit(q)))))
-    heads = known.withColumn("_gram", F.substring(name, 1, q))
+    heads = known.withColumn("_gram", F.substring(name, 1, q)).hint("broadcast" if (size or 0) <= TOLD else "merge")
     return rows.withColumn("_gram", F.explode(grams)).join(heads, "_gram").filter(F.col(text).contains(F.col(name))).drop("_gram")
 
 

@@ -132,6 +132,19 @@ def test_curves_by_buckets(spark, monkeypatch):
             assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-9, abs=1e-9)
 
 
+def test_containment_sends_no_texts_to_the_driver(spark, tmp_path, monkeypatch):
+    """Texts that are few bytes in their file, but many rows of stretches, are on the side that is not broadcast."""
+    spark.range(3000).select("id", F.concat(F.lit("a word and n"), F.col("id") % 3).alias("label")).write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    names = rows.select(F.substring("label", 8, 9).alias("word")).union(rows.select(F.lit("a word").alias("word"))).distinct()
+    for told in (matching.TOLD, 0):
+        monkeypatch.setattr(matching, "TOLD", told)
+        found = matching.contains_join(rows, names, "label", "word")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BuildLeft" not in plan and ("BuildRight" in plan) == (told > 0)
+        assert found.count() == 6000 and found.filter("word = 'a word'").count() == 3000
+
+
 def test_status_of_an_item_left_out(spark):
     df = spark.createDataFrame([(True, None), (None, None), (None, 1), (None, 2), (False, 1)], "manual boolean, o int")
     s = quality.status(F.col("manual"), F.lit(True), {"ctf": F.col("o")}, {"ctf": (F.lit(True), F.lit(1))}, F.lit(False))
