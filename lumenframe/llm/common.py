@@ -171,7 +171,9 @@ def bit_table(hashes: DataFrame, column: str, bits: int | None = None) -> np.nda
     bits = bits or FILTER_BITS
     place = F.col(column).bitwiseAND(F.lit(bits - 1))
     words = hashes.select(F.shiftright(place, 6).alias("w"), place.bitwiseAND(F.lit(63)).cast("int").alias("b")).groupBy("w").agg(F.expr("bit_or(shiftleft(1L, b))").alias("bits"))
+    words = stored(words)  # whose shuffle files then go at once
     rows = words.toArrow()  # bits / 64 rows at most
+    dropped(words)
     table = np.zeros(bits // 64, dtype=np.uint64)
     table[rows.column("w").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
     return table

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import flat_bytes, lower_ascii, mix64, runs, slices, span_hashes, stored, with_row_id
+from lumenframe.llm.common import bit_table, flat_bytes, lower_ascii, mix64, runs, slices, span_hashes, stored, with_row_id
 
 #: Text bytes of a shard, bits of the table of frequent words and pairs, and parts that a language's list is dealt in.
 SHARD_BYTES, FILTER_BITS, PARTS = 2 << 20, 1 << 26, 64
@@ -168,12 +168,7 @@ def phrase_counts(docs: DataFrame, *, text_col: str = "text", lang_col: str = "l
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").alias("text")).filter("text is not null")
     frequent = texts.mapInArrow(_hash_counts, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") >= least)
-    place = F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1))
-    bits = frequent.select(F.shiftright(place, 6).alias("w"), place.bitwiseAND(F.lit(63)).cast("int").alias("b")).groupBy("w").agg(F.expr("bit_or(shiftleft(1L, b))").alias("bits"))
-    rows = bits.toArrow()  # FILTER_BITS / 64 rows at most
-    table = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
-    table[rows.column("w").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
-    shared = spark.sparkContext.broadcast(table)
+    shared = spark.sparkContext.broadcast(bit_table(frequent, "h", FILTER_BITS))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value

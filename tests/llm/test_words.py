@@ -149,6 +149,17 @@ def test_op12_shards(spark, monkeypatch):
         assert got(phrases.collocations(docs, least=4, top=top), *PHRASES) == want(collocations(given, 3, 4, 50, top))
 
 
+def test_op12_first_pass_leaves_no_shuffle(spark, monkeypatch):
+    """When the second pass begins, what the first one shuffled is gone."""
+    blocks = lambda: {str(f) for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if ".data" in str(f)}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").repartition(4).select("text", "lang")
+    seen, real = [], phrases.stored
+    monkeypatch.setattr(phrases, "stored", lambda df: (seen.append(blocks()), real(df))[1])
+    before = blocks()
+    phrases.phrase_counts(docs)
+    assert len(seen) == 1 and not seen[0] - before
+
+
 def test_op12_large_counts(spark):
     """Products beyond 64 bits stay exact."""
     rows = [(10**14 + k, 10**14 + 3 * k + 1, 10**14 + 7 * k) for k in range(50)]
