@@ -17,7 +17,6 @@ before the shared shingle, as a rule the text that the others are edits of; then
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -123,7 +122,7 @@ def _both(pairs: DataFrame, sides: DataFrame) -> DataFrame:
     return pairs.join(sides.select(F.col("node").alias("a"), side.alias("x")), "a").join(sides.select(F.col("node").alias("b"), side.alias("y")), "b")
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def _similar(pairs: DataFrame, docs: DataFrame, heads: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) whose sets are similar.
 
     What two sets share lies in both of their heads or behind the head that ends first, so heads rule most pairs out.
@@ -131,7 +130,7 @@ def _similar(pairs: DataFrame, docs: DataFrame, rows: DataFrame, shingle: int, s
     """
     pairs = stored(pairs.distinct())
     met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    heads = stored(rows.join(met, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("head").alias("head"), F.min("_id").alias("_id")))
+    heads = stored(heads.join(met, "node", "left_semi"))
     behind = F.ceil(similarity * F.greatest("x.n", "y.n") - 1e-9) - 1
     could = F.size(F.array_intersect("x.head", "y.head")) + behind >= similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-9
     left = stored(_both(pairs, heads.select("node", "n", "head")).filter(could).select("a", "b"))
@@ -164,37 +163,34 @@ def _sets_of(nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     return out
 
 
-def _places(rows: DataFrame, docs: DataFrame, shingle: int, similarity: float, known) -> DataFrame:
+def _places(heads: DataFrame, docs: DataFrame, shingle: int, similarity: float, known) -> DataFrame:
     """(token, node, n, i): stored; the shingles of heads at which sets meet, with each set's size and the shingle's place in the order."""
     spark = docs.sparkSession
-    heads = stored(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("head").alias("head"), F.min("_id").alias("_id")))
-    counts = stored(heads.select(F.explode("head").alias("token")).groupBy("token").agg(F.count("*").alias("c")).filter("c > 1"))
-    new, hot = counts.filter(F.col("c") > HOT).select("token"), np.zeros(0, np.int64)
-    parts, again, met = [], None, heads.limit(0).select("node", "_id")
+    counts = stored(_tokens(heads).groupBy("token").agg(F.count("*").alias("c")).filter("c > 1"))
+    new, hot = stored(counts.filter(F.col("c") > HOT).select("token")), np.zeros(0, np.int64)
+    again = None
     for _ in range(ROUNDS):
         n = new.count()
         if not n:
             break
         if len(hot) + n > TOLD:
-            for x in parts:
-                dropped(x)
+            dropped(new, *([] if again is None else [again]))
             return _exact_places(heads, counts, docs, shingle, similarity)
         hot = np.union1d(hot, new.toArrow().column("token").to_numpy())
+        dropped(new, *([] if again is None else [again]))
         told = spark.sparkContext.broadcast(hot)
-        more = stored(_hot_heads(heads, told).join(met, "node", "left_anti"))
-        parts.append(_sets_of(more, docs, shingle))
-        met = met.unionByName(more)
-        sets = reduce(DataFrame.unionAll, parts)
-        if again is not None:
-            dropped(again)
-        again = stored(sets.mapInArrow(_heads_of(known, told, similarity), "node long, n int, head array<long>"))
-        seen = again.select(F.explode("head").alias("token")).groupBy("token").agg(F.count("*").alias("c")).filter(F.col("c") > HOT).select("token")
-        new = seen.join(F.broadcast(spark.createDataFrame(pa.table({"token": hot}))), "token", "left_anti")  # TOLD rows at most
-    final, worth = heads.select("node", "n", "head"), counts.select("token")
+        again = _heads_again(stored(_hot_heads(heads, told)), docs, shingle, known, told, similarity)
+        seen = _tokens(again).groupBy("token").agg(F.count("*").alias("c")).filter(F.col("c") > HOT).select("token")
+        new = stored(seen.join(F.broadcast(spark.createDataFrame(pa.table({"token": hot}))), "token", "left_anti"))  # TOLD rows at most
+    dropped(new)
+    final = heads.select("node", "n", "head")
     if again is not None:
+        # what two sets have in the heads that they have now
         final = _cold_heads(final, told).unionByName(again)
-        worth = worth.unionByName(again.select(F.explode("head").alias("token")))
-    shared = spark.sparkContext.broadcast(bit_table(worth, "token"))
+        dropped(counts)
+        counts = stored(_tokens(final).groupBy("token").agg(F.count("*").alias("c")).filter("c > 1"))
+    # two bits for each, so that few others are let through
+    shared = spark.sparkContext.broadcast(bit_table(counts.select(F.explode(F.array("token", F.shiftrightunsigned("token", 32))).alias("token")), "token"))
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,15 +201,29 @@ def _places(rows: DataFrame, docs: DataFrame, shingle: int, similarity: float, k
                 size = np.diff(lists.offsets.to_numpy())
                 of = np.repeat(np.arange(part.num_rows), size)
                 i = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
-                kept = in_table(shared.value, token)
+                kept = in_table(shared.value, token) & in_table(shared.value, token.view(np.uint64) >> np.uint64(32))
                 of, i = of[kept], i[kept].astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(token[kept]), part.column("node").take(pa.array(of)), part.column("n").take(pa.array(of)), pa.array(i)], names=["token", "node", "n", "i"])
 
     places = stored(final.mapInArrow(explode, "token long, node long, n int, i int"))
-    dropped(heads, counts, *parts, *([] if again is None else [again]))
+    dropped(counts, *([] if again is None else [again]))
     return places
 
 
+def _tokens(heads: DataFrame) -> DataFrame:
+    return heads.select(F.explode("head").alias("token"))
+
+
+def _heads_again(nodes: DataFrame, docs: DataFrame, shingle: int, known, told, similarity: float) -> DataFrame:
+    """(node, n, head): stored; the heads of the stored (node, _id) by the order that puts hot shingles last. Whole sets are not kept, but made from the texts in passing."""
+    texts = nodes.select(F.col("_id").alias("of")).distinct()
+    sets = shingle_sets(docs.join(texts, F.col("_id").eqNullSafe(F.col("of")), "left_semi"), shingle=shingle)
+    heads = sets.mapInArrow(_heads_of(known, told, similarity), "node long, n int, head array<long>")
+    out = stored(heads.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("head").alias("head")))
+    dropped(nodes)
+    return out
+
+
 def _overlap(batch: pa.RecordBatch, told) -> np.ndarray:
     """Which rows have a hot shingle in their head."""
     lists = batch.column("head")
@@ -273,7 +283,7 @@ def _exact_places(heads: DataFrame, counts: DataFrame, docs: DataFrame, shingle:
     # the two orders are told apart by their tokens
     again = again.select(F.xxhash64("t.token", F.lit(2)).alias("token"), "node", "n", (F.col("alone") + F.col("k")).alias("i"))
     out = stored(cold.unionByName(again))
-    dropped(heads, counts, places, hot, sets, often)
+    dropped(counts, places, hot, sets, often)
     return out
 
 
@@ -291,10 +301,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     known = docs.sparkSession.sparkContext.broadcast(_common(docs, shingle))
-    rows = stored(signatures(docs, shingle=shingle, similarity=similarity, known=known))
+    signed = stored(signatures(docs, shingle=shingle, similarity=similarity, known=known))
+    heads = stored(signed.groupBy("node").agg(F.first("n").alias("n"), F.first("head").alias("head"), F.min("_id").alias("_id")))
+    rows = stored(signed.select("_id", "node", "print"))
+    dropped(signed)
 
     def similar(pairs: DataFrame) -> DataFrame:
-        return _similar(pairs, docs, rows, shingle, similarity)
+        return _similar(pairs, docs, heads, shingle, similarity)
 
     close = similar(_close(rows, reach))
     roots = cut(components(close))
@@ -305,7 +318,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         small, large = F.least(n, m), F.greatest(n, m)
         return (small >= similarity * large - 1e-9) & (F.least(F.col(n) - F.col(i), F.col(m) - F.col(j)) >= share * (F.col(n) + F.col(m)) - 1e-9)
 
-    places = _places(rows, docs, shingle, similarity, known)
+    places = _places(heads, docs, shingle, similarity, known)
     # the text that holds the least before the token: edits of one text share most with it
     hub = F.min(F.struct((F.col("i") / F.col("n")).alias("part"), "node", "n", "i")).alias("hub")
     hubs = places.join(places.groupBy("token").agg(hub), "token").select(F.col("hub.part").alias("part"), F.col("hub.node").alias("a"), F.col("hub.n").alias("m"), F.col("hub.i").alias("j"), F.col("node").alias("b"), "n", "i")
@@ -331,7 +344,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     on = [F.col("t") == F.col("token"), F.col("z") == F.col("size"), order, F.col("r") != F.col("root"), fits("n", "i", "m", "j")]
     rest = small.join(places, on).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
     roots = cut(components(links.unionByName(similar(rest))))
-    dropped(places)
+    dropped(places, heads)
     named = stored(rows.select("_id", "node").join(roots, "node", "left").select("_id", F.coalesce("root", "node").alias("root")))
     dropped(rows)
     lowest = cut(named.groupBy("root").agg(F.min("_id").alias("component_id")))

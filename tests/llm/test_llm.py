@@ -392,6 +392,18 @@ def test_near_copies_without_hub(spark):
         assert got(jaccard.near_duplicates(docs, reach=reach), "doc_id", "component_id") == want((k, c) for k, c in enumerate(of))
 
 
+def test_near_copies_keep_shared_places_only(spark, monkeypatch):
+    """Sets that are ordered anew, as a passage is hot, make no rows of shingles that no other has."""
+    monkeypatch.setattr(jaccard, "SAMPLE", 1)
+    made, real = [], jaccard._places
+    monkeypatch.setattr(jaccard, "_places", lambda *a: (made.append(real(*a)), made.append(made[0].count()), made[0])[2])
+    given = [(k, " ".join([f"b{x}" for x in range(100)] + [f"o{k}x{x}" for x in range(45)])) for k in range(150)]
+    given.append((150, given[7][1].replace("b50", "changed")))
+    found = got(jaccard.near_duplicates(spark.createDataFrame(given, "doc_id long, text string").repartition(4), reach=0), "doc_id", "component_id")
+    assert found == want((k, 7 if k == 150 else k) for k, _ in given)
+    assert 0 < made[1] < 100
+
+
 def test_near_copies_and_boilerplate(spark, monkeypatch):
     """Texts that share most of their words, but too few to link, meet in no more pairs than there are texts; those that link do."""
     monkeypatch.setattr(jaccard, "SAMPLE", 1)  # the shared passage is not in the sample
