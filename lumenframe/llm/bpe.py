@@ -19,7 +19,6 @@ from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -215,6 +214,8 @@ def encode_decode(docs: DataFrame, vocabulary: str, *, text_col: str = "text", l
     keyed = stored(kept.filter(long).withColumn(row, F.monotonically_increasing_id()))
     if keyed.isEmpty():
         return rest
+    import pandas as pd  # for long texts only: it would stay in the driver's memory
+
     text_of = keyed.select(F.col(row).alias("_row"), F.col(text_col).alias("_text"))
 
     def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -5,12 +5,11 @@ close copies. Sets of similarity t can differ in far more bits, where no tree of
 prefixes find the rest: two sets whose similarity is t or more share a shingle among the first n - ceil(t n) + 1 of each,
 in any one order of all shingles, and behind the first that they share both hold enough for the overlap that t asks for.
 Only sets that meet so are compared, and no pair is lost. Stored are those prefixes, the heads; whole sets are made again
-from the texts, for pairs that the heads don't rule out. Shingles that are common in a bounded sample come last in the
-order. What is common but not in the sample shows as a head's shingle that more than HOT sets have there: such hot shingles
-come last too, in the same order for all, and the sets that had one take what comes next, until no more turn up. A passage
-in few of very many texts so makes no pairs. Hot shingles, fewer than one in HOT of those in heads, are told to all tasks up
-to TOLD; beyond that the sets that have one are ordered anew among themselves by exact counts, which needs them only
-in the tables that Spark deals out. Of the heads only shingles that two sets have go on. Each meeting's sets are first compared with the one that holds the least
+from the texts, for pairs that the heads don't rule out, by a pass that takes the texts where they lie. Shingles that are
+common in one text of SAMPLE come last in the order, so that a passage in few of very many texts makes no pairs. The commonest are
+told to all tasks with their counts, the others as a table of bits of fixed size; which shingles that takes for common only
+changes where sets meet. Of the heads only shingles that two sets have go on. Sets also carry 256 parities of their shingles:
+as many as differ, so many shingles at least are in one set only, which rules out most that meet by chance before a row is made. Each meeting's sets are first compared with the one that holds the least
 before the shared shingle, as a rule the text that the others are edits of; then only pairs of different components are.
 """
 
@@ -31,10 +30,10 @@ from lumenframe.llm.simhash import SEED, _majority, link
 SHINGLE, SIMILARITY = 5, 0.8
 #: Differing bits within which fingerprints meet in the tree.
 REACH = 3
-#: Sets that may meet at one shingle before it is hot, hot shingles that are told to all tasks, and rounds of looking for them.
-HOT, TOLD, ROUNDS = 64, 1 << 22, 8
-#: Texts that are looked at for common shingles, in how many of them one is common, and how many are told to all tasks.
-SAMPLE, COMMON, MOST = 5000, 3, 50_000
+#: One text of so many is looked at for common shingles, in how many of those one is common, and how many are told to all tasks by name.
+SAMPLE, COMMON, TOLD = 8, 3, 50_000
+#: The longs of a set's marks: 256 bits by the highest eight of a shingle, each set if an odd number of its shingles has them.
+MARKS = ["g0", "g1", "g2", "g3"]
 
 
 def _shingles(words: list[bytes], shingle: int) -> np.ndarray:
@@ -74,27 +73,51 @@ def shingle_sets(docs: DataFrame, *, shingle: int) -> DataFrame:
     return docs.select("_text").mapInArrow(run, "node long, s array<long>")
 
 
-def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that are common in a sample of the distinct texts, sorted, and in how many of them each is."""
-    keyed = docs.select(F.xxhash64("_text").alias("h"), "_text")
-    last = keyed.select("h").distinct().orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
-    some = keyed.filter(F.col("h") <= (0 if last is None else last)).groupBy("h").agg(F.first("_text").alias("_text"))
+def _sets_of(nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(node, s): stored; the sets of (node, _id), made again from their texts.
+
+    Texts are not shuffled: a table of bits tells which ids are worth it, and sets that it lets through besides go.
+    """
+    table = bit_table(nodes.select(F.xxhash64("_id").alias("of")), "of")
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_table(shared.value, batch.column("_of").to_numpy())))
+
+    # no id asked for, no text read
+    some = docs.select(F.xxhash64("_id").alias("_of"), "_text").filter(F.lit(bool(table.any()))).mapInArrow(run, "_of long, _text string")
+    return stored(shingle_sets(some, shingle=shingle).join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.first("s").alias("s")))
+
+
+def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """The shingles that are most common in a sample of the distinct texts, sorted; in how many of them each is; the bits of all common ones, if there are others."""
+    some = docs.select(F.xxhash64("_text").alias("h"), "_text").filter(F.pmod("h", F.lit(SAMPLE)) == 0).groupBy("h").agg(F.first("_text").alias("_text"))
     counts = stored(shingle_sets(some, shingle=shingle).select(F.explode("s").alias("token")).groupBy("token").count().filter(F.col("count") >= COMMON))
-    rows = counts.orderBy(F.desc("count"), "token").limit(MOST).collect()
+    rows = counts.orderBy(F.desc("count"), "token").limit(TOLD).toArrow()
+    table = bit_table(_two(counts), "token") if rows.num_rows == TOLD else None
     dropped(counts)
-    known = np.array([r[0] for r in rows], dtype=np.int64)
+    known = rows.column("token").to_numpy()
     by = np.argsort(known)
-    return known[by], np.array([r[1] for r in rows], dtype=np.int64)[by]
+    return known[by], rows.column("count").to_numpy()[by], table
+
+
+def _two(tokens: DataFrame) -> DataFrame:
+    """Both halves of each token: two bits of a table for each, so that few others are let through."""
+    return tokens.select(F.explode(F.array("token", F.shiftrightunsigned("token", 32))).alias("token"))
 
 
-def _ordered(x: np.ndarray, known: tuple[np.ndarray, np.ndarray], hot: np.ndarray | None = None) -> np.ndarray:
-    """A set's shingles in the one order of all: hot ones last, before them those of the sample by their counts, then by hash."""
-    tokens, counts = known
-    often = np.zeros(len(x), dtype=np.int64)
-    for these, much in ((tokens, counts), (hot, None)):
-        if these is not None and len(these):
-            at = np.minimum(np.searchsorted(these, x), len(these) - 1)
-            often = np.where(these[at] == x, (1 << 40) if much is None else much[at], often)
+def _in_both(table: np.ndarray, token: np.ndarray) -> np.ndarray:
+    return in_table(table, token) & in_table(table, token.view(np.uint64) >> np.uint64(32))
+
+
+def _ordered(x: np.ndarray, common: tuple[np.ndarray, np.ndarray, np.ndarray | None]) -> np.ndarray:
+    """A set's shingles in the one order of all: those of the sample last, by their counts if these are told, then by hash."""
+    tokens, counts, table = common
+    often = np.zeros(len(x), dtype=np.int64) if table is None else _in_both(table, x).astype(np.int64)
+    if len(tokens):
+        at = np.minimum(np.searchsorted(tokens, x), len(tokens) - 1)
+        often = np.where(tokens[at] == x, counts[at], often)
     return x[np.lexsort((x, often))]
 
 
@@ -102,8 +125,18 @@ def _head(n: int, similarity: float) -> int:
     return n - int(np.ceil(similarity * n - 1e-9)) + 1
 
 
+def _marks(sets: list[np.ndarray]) -> list[pa.Array]:
+    """The four longs of each set's marks."""
+    bits = np.zeros((len(sets), 256), dtype=np.uint8)
+    token = np.concatenate(sets).view(np.uint64) if sets else np.zeros(0, np.uint64)
+    place = np.repeat(np.arange(len(sets)), [len(s) for s in sets]) * 256 + (token >> np.uint64(56)).astype(np.int64)
+    bits.reshape(-1)[:] = np.bincount(place, minlength=bits.size) & 1
+    longs = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+    return [pa.array(np.ascontiguousarray(longs[:, k])) for k in range(len(MARKS))]
+
+
 def signatures(docs: DataFrame, *, shingle: int, similarity: float, known=None) -> DataFrame:
-    """(_id, node, print, n, head): a digest of the set of each text's shingles, its fingerprint, how many it holds, and the first of them."""
+    """(_id, node, print, n, head, marks): a digest of the set of each text's shingles, its fingerprint, how many it holds, the first of them, and MARKS."""
     shared = known or docs.sparkSession.sparkContext.broadcast(_common(docs, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,9 +144,9 @@ def signatures(docs: DataFrame, *, shingle: int, similarity: float, known=None)
             prints = np.array([_majority(s.view(np.uint64)) for s in sets], dtype=np.uint64).view(np.int64)
             n = pa.array(np.array([len(s) for s in sets], dtype=np.int32))
             heads = [_ordered(s, shared.value)[: _head(len(s), similarity)] for s in sets]
-            yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(node), pa.array(prints), n, _lists(heads)], names=["_id", "node", "print", "n", "head"])
+            yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(node), pa.array(prints), n, _lists(heads), *_marks(sets)], names=["_id", "node", "print", "n", "head", *MARKS])
 
-    return docs.mapInArrow(run, extended(docs.select("_id").schema, "node long, print long, n int, head array<long>"))
+    return docs.mapInArrow(run, extended(docs.select("_id").schema, "node long, print long, n int, head array<long>, " + ", ".join(f"{g} long" for g in MARKS)))
 
 
 def _both(pairs: DataFrame, sides: DataFrame) -> DataFrame:
@@ -135,12 +168,11 @@ def _similar(pairs: DataFrame, docs: DataFrame, heads: DataFrame, shingle: int,
     could = F.size(F.array_intersect("x.head", "y.head")) + behind >= similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-9
     left = stored(_both(pairs, heads.select("node", "n", "head")).filter(could).select("a", "b"))
     met = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = stored(heads.select("node", "_id").join(met, "node", "left_semi").select(F.col("_id").alias("of")))
-    sets = stored(shingle_sets(docs.join(texts, F.col("_id").eqNullSafe(F.col("of")), "left_semi"), shingle=shingle))
-    one = stored(sets.groupBy("node").agg(F.first("s").alias("s")))
+    nodes = stored(heads.select("node", "_id").join(met, "node", "left_semi"))
+    one = _sets_of(nodes, docs, shingle)
     shared, total = F.size(F.array_intersect("x.s", "y.s")), F.size("x.s") + F.size("y.s")
     out = stored(_both(left, one).select("a", "b", shared.alias("i"), total.alias("n")).filter(F.col("i") >= similarity * (F.col("n") - F.col("i")) - 1e-9).select("a", "b"))
-    dropped(pairs, heads, left, texts, sets, one)
+    dropped(pairs, heads, left, nodes, one)
     return out
 
 
@@ -154,43 +186,12 @@ def _close(rows: DataFrame, reach: int) -> DataFrame:
     return far.unionByName(same).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def _sets_of(nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """(node, s): stored; the sets of (node, _id), made again from one text each."""
-    texts = stored(nodes.select(F.col("_id").alias("of")).distinct())
-    sets = shingle_sets(docs.join(texts, F.col("_id").eqNullSafe(F.col("of")), "left_semi"), shingle=shingle)
-    out = stored(sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("s").alias("s")))
-    dropped(texts)
-    return out
-
-
-def _places(heads: DataFrame, docs: DataFrame, shingle: int, similarity: float, known) -> DataFrame:
-    """(token, node, n, i): stored; the shingles of heads at which sets meet, with each set's size and the shingle's place in the order."""
-    spark = docs.sparkSession
-    counts = stored(_tokens(heads).groupBy("token").agg(F.count("*").alias("c")).filter("c > 1"))
-    new, hot = stored(counts.filter(F.col("c") > HOT).select("token")), np.zeros(0, np.int64)
-    again = None
-    for _ in range(ROUNDS):
-        n = new.count()
-        if not n:
-            break
-        if len(hot) + n > TOLD:
-            dropped(new, *([] if again is None else [again]))
-            return _exact_places(heads, counts, docs, shingle, similarity)
-        hot = np.union1d(hot, new.toArrow().column("token").to_numpy())
-        dropped(new, *([] if again is None else [again]))
-        told = spark.sparkContext.broadcast(hot)
-        again = _heads_again(stored(_hot_heads(heads, told)), docs, shingle, known, told, similarity)
-        seen = _tokens(again).groupBy("token").agg(F.count("*").alias("c")).filter(F.col("c") > HOT).select("token")
-        new = stored(seen.join(F.broadcast(spark.createDataFrame(pa.table({"token": hot}))), "token", "left_anti"))  # TOLD rows at most
-    dropped(new)
-    final = heads.select("node", "n", "head")
-    if again is not None:
-        # what two sets have in the heads that they have now
-        final = _cold_heads(final, told).unionByName(again)
-        dropped(counts)
-        counts = stored(_tokens(final).groupBy("token").agg(F.count("*").alias("c")).filter("c > 1"))
-    # two bits for each, so that few others are let through
-    shared = spark.sparkContext.broadcast(bit_table(counts.select(F.explode(F.array("token", F.shiftrightunsigned("token", 32))).alias("token")), "token"))
+def _places(heads: DataFrame) -> DataFrame:
+    """(token, node, n, i, marks): stored; the shingles of heads at which sets meet, with each set's size, the shingle's place in the order and MARKS."""
+    counts = heads.select(F.explode("head").alias("token")).groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
+    counts = stored(counts)
+    shared = heads.sparkSession.sparkContext.broadcast(bit_table(_two(counts), "token"))
+    dropped(counts)
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,90 +202,12 @@ def _places(heads: DataFrame, docs: DataFrame, shingle: int, similarity: float,
                 size = np.diff(lists.offsets.to_numpy())
                 of = np.repeat(np.arange(part.num_rows), size)
                 i = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
-                kept = in_table(shared.value, token) & in_table(shared.value, token.view(np.uint64) >> np.uint64(32))
+                kept = _in_both(shared.value, token)
                 of, i = of[kept], i[kept].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(token[kept]), part.column("node").take(pa.array(of)), part.column("n").take(pa.array(of)), pa.array(i)], names=["token", "node", "n", "i"])
-
-    places = stored(final.mapInArrow(explode, "token long, node long, n int, i int"))
-    dropped(counts, *([] if again is None else [again]))
-    return places
+                node, n, *marks = part.select(["node", "n", *MARKS]).take(pa.array(of)).columns
+                yield pa.RecordBatch.from_arrays([pa.array(token[kept]), node, n, pa.array(i), *marks], names=["token", "node", "n", "i", *MARKS])
 
-
-def _tokens(heads: DataFrame) -> DataFrame:
-    return heads.select(F.explode("head").alias("token"))
-
-
-def _heads_again(nodes: DataFrame, docs: DataFrame, shingle: int, known, told, similarity: float) -> DataFrame:
-    """(node, n, head): stored; the heads of the stored (node, _id) by the order that puts hot shingles last. Whole sets are not kept, but made from the texts in passing."""
-    texts = nodes.select(F.col("_id").alias("of")).distinct()
-    sets = shingle_sets(docs.join(texts, F.col("_id").eqNullSafe(F.col("of")), "left_semi"), shingle=shingle)
-    heads = sets.mapInArrow(_heads_of(known, told, similarity), "node long, n int, head array<long>")
-    out = stored(heads.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("head").alias("head")))
-    dropped(nodes)
-    return out
-
-
-def _overlap(batch: pa.RecordBatch, told) -> np.ndarray:
-    """Which rows have a hot shingle in their head."""
-    lists = batch.column("head")
-    token, hot = lists.flatten().to_numpy(), told.value
-    at = np.minimum(np.searchsorted(hot, token), len(hot) - 1)
-    of = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-    return np.bincount(of[hot[at] == token], minlength=batch.num_rows) > 0
-
-
-def _hot_heads(heads: DataFrame, told) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(_overlap(batch, told))).select(["node", "_id"])
-
-    return heads.select("node", "_id", "head").mapInArrow(run, heads.select("node", "_id").schema)
-
-
-def _cold_heads(heads: DataFrame, told) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(~_overlap(batch, told)))
-
-    return heads.mapInArrow(run, heads.schema)
-
-
-def _heads_of(known, told, similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("s")
-            token, off = lists.flatten().to_numpy(), lists.offsets.to_numpy()
-            off = off - off[0] if len(off) else off
-            sets = [token[a:b] for a, b in zip(off[:-1], off[1:], strict=True)]
-            heads = [_ordered(s, known.value, told.value)[: _head(len(s), similarity)] for s in sets]
-            if heads:
-                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(np.array([len(s) for s in sets], dtype=np.int32)), _lists(heads)], names=["node", "n", "head"])
-
-    return run
-
-
-def _exact_places(heads: DataFrame, counts: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The same without telling hot shingles to all tasks: the sets that have one in their head are ordered anew among themselves, by how many of them hold each shingle."""
-    places = heads.select("node", "_id", "n", F.posexplode("head").alias("i", "token"))
-    places = stored(places.join(counts, "token").select("token", "node", "_id", "n", "i", "c"))
-    hot = stored(places.filter(F.col("c") > HOT).select("node", "_id").distinct())
-    # two sets that meet at a hot shingle are both among these; any others meet elsewhere, where groups are small
-    cold = places.filter(F.col("c") <= HOT).drop("c", "_id")
-    sets = _sets_of(hot, docs, shingle)
-    held = sets.select("node", F.explode("s").alias("token"))
-    # a shingle that one set only holds comes first, without a row
-    often = stored(held.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1"))
-    shared = held.join(often, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("last"))
-    n = F.size("s")
-    alone = n - F.coalesce(F.size("last"), F.lit(0))
-    length = n - F.ceil(similarity * n - 1e-9).cast("int") + 1
-    head = sets.join(shared, "node", "left").select("node", n.alias("n"), alone.alias("alone"), F.slice("last", 1, F.greatest(F.lit(0), length - alone)).alias("head"))
-    again = head.select("node", "n", "alone", F.posexplode("head").alias("k", "t"))
-    # the two orders are told apart by their tokens
-    again = again.select(F.xxhash64("t.token", F.lit(2)).alias("token"), "node", "n", (F.col("alone") + F.col("k")).alias("i"))
-    out = stored(cold.unionByName(again))
-    dropped(counts, places, hot, sets, often)
-    return out
+    return stored(heads.select("node", "n", "head", *MARKS).mapInArrow(explode, "token long, node long, n int, i int, " + ", ".join(f"{g} long" for g in MARKS)))
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -302,7 +225,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     known = docs.sparkSession.sparkContext.broadcast(_common(docs, shingle))
     signed = stored(signatures(docs, shingle=shingle, similarity=similarity, known=known))
-    heads = stored(signed.groupBy("node").agg(F.first("n").alias("n"), F.first("head").alias("head"), F.min("_id").alias("_id")))
+    heads = stored(signed.groupBy("node").agg(F.first("n").alias("n"), F.first("head").alias("head"), *[F.first(g).alias(g) for g in MARKS], F.min("_id").alias("_id")))
     rows = stored(signed.select("_id", "node", "print"))
     dropped(signed)
 
@@ -316,12 +239,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     def fits(n: str, i: str, m: str, j: str) -> Column:
         small, large = F.least(n, m), F.greatest(n, m)
-        return (small >= similarity * large - 1e-9) & (F.least(F.col(n) - F.col(i), F.col(m) - F.col(j)) >= share * (F.col(n) + F.col(m)) - 1e-9)
+        apart = sum((F.bit_count(F.col(g).bitwiseXOR(F.col(f"{g}b"))) for g in MARKS), F.lit(0))
+        return (small >= similarity * large - 1e-9) & (apart <= (1 - 2 * share) * (F.col(n) + F.col(m)) + 1e-9) & (F.least(F.col(n) - F.col(i), F.col(m) - F.col(j)) >= share * (F.col(n) + F.col(m)) - 1e-9)
 
-    places = _places(heads, docs, shingle, similarity, known)
+    places = _places(heads)
     # the text that holds the least before the token: edits of one text share most with it
-    hub = F.min(F.struct((F.col("i") / F.col("n")).alias("part"), "node", "n", "i")).alias("hub")
-    hubs = places.join(places.groupBy("token").agg(hub), "token").select(F.col("hub.part").alias("part"), F.col("hub.node").alias("a"), F.col("hub.n").alias("m"), F.col("hub.i").alias("j"), F.col("node").alias("b"), "n", "i")
+    hub = F.min(F.struct((F.col("i") / F.col("n")).alias("part"), "node", "n", "i", *MARKS)).alias("hub")
+    hubs = places.join(places.groupBy("token").agg(hub), "token").select(F.col("hub.part").alias("part"), F.col("hub.node").alias("a"), F.col("hub.n").alias("m"), F.col("hub.i").alias("j"), *[F.col(f"hub.{g}").alias(f"{g}b") for g in MARKS], F.col("node").alias("b"), "n", "i", *MARKS)
     hubs = hubs.filter(F.col("a") != F.col("b")).filter(fits("n", "i", "m", "j"))
     hubs = stored(hubs.groupBy("a", "b").agg(F.min("part").alias("part")))
     # each text with its best hub first; then with those of other components only
@@ -339,7 +263,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     places = stored(rooted.join(open_, "token", "left_semi").withColumn("size", size))
     dropped(rooted, open_)
     small = places.filter(F.col("n") - F.col("i") >= 2 * share * F.col("n") - 1e-9)
-    small = small.select(F.col("token").alias("t"), F.explode(F.array("size", F.col("size") + 1)).alias("z"), F.col("node").alias("a"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("r"))
+    small = small.select(F.col("token").alias("t"), F.explode(F.array("size", F.col("size") + 1)).alias("z"), F.col("node").alias("a"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("r"), *[F.col(g).alias(f"{g}b") for g in MARKS])
     order = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("a") < F.col("node")))
     on = [F.col("t") == F.col("token"), F.col("z") == F.col("size"), order, F.col("r") != F.col("root"), fits("n", "i", "m", "j")]
     rest = small.join(places, on).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))

@@ -107,9 +107,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     every text scores low. What the driver holds are the sample's counts by feature and its sentences' selected features.
     """
     one = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).dropna().groupBy("_id").agg((F.max("_label") > 0).cast("int").alias("_label"))
-    held = one.sparkSession.createDataFrame([], one.schema)
-    for value in (0, 1):
-        held = held.unionByName(one.filter(F.col("_label") == value).orderBy(F.xxhash64("_id"), "_id").limit(per_class))
+    clean, toxic = (one.filter(F.col("_label") == value).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for value in (0, 1))
+    held = clean.unionByName(toxic)
     sample = stored(docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(held), "_id").select("_label", "_text"))
     width = 1 + len(BEGINNINGS)
 
@@ -128,8 +127,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             keys, n = np.concatenate((keys, [-1, -2])), np.concatenate((n, [(label == 0).sum(), (label == 1).sum()]))
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n, pa.int64())], names=["key", "n"])
 
-    counts = sample.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 2 or key < 0").toPandas()
-    key, n = counts["key"].to_numpy(), counts["n"].to_numpy()
+    counts = sample.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 2 or key < 0").toArrow()  # without pandas, which would stay in the driver's memory
+    key, n = counts.column("key").to_numpy(), counts.column("n").to_numpy()
     real = key >= 0
     # only features that are there take up memory
     there, at = np.unique(key[real] % BUCKETS, return_inverse=True)

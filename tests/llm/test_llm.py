@@ -404,6 +404,16 @@ def test_near_copies_keep_shared_places_only(spark, monkeypatch):
     assert 0 < made[1] < 150 * 29 / 3, made[1]
 
 
+def test_near_copies_leave_texts_where_they_lie(spark, monkeypatch):
+    """Sets are made again from texts that no join has dealt out."""
+    plans, real = [], jaccard.shingle_sets
+    monkeypatch.setattr(jaccard, "shingle_sets", lambda docs, **k: (plans.append(docs._jdf.queryExecution().executedPlan().toString()), real(docs, **k))[1])
+    given = [(k, " ".join(f"w{k // 2}x{x}" if x != 9 * (k % 2) else "edited" for x in range(150))) for k in range(12)]
+    found = got(jaccard.near_duplicates(spark.createDataFrame(given, "doc_id long, text string")), "doc_id", "component_id")
+    assert found == want((k, k - k % 2) for k, _ in given)
+    assert len(plans) > 1 and not any("Join" in p for p in plans), plans
+
+
 def test_near_copies_and_boilerplate(spark, monkeypatch):
     """Texts that share most of their words, but too few to link, meet in no more pairs than there are texts; those that link do."""
     monkeypatch.setattr(jaccard, "SAMPLE", 1)  # the shared passage is not in the sample
